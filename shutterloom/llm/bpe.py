@@ -1,6 +1,6 @@
 """Byte-level BPE by corpus-level merge replay.
 
-A task keeps the distinct words (matches of the splitting pattern) of the texts it has seen. The new words of a batch
+A worker keeps the distinct words (matches of the splitting pattern) of the texts it has seen. The new words of a batch
 are laid out in one array of token ids; an inverted index leads from each adjacent pair that the vocabulary can merge
 to its positions, over all words. Merges are replayed in rank order from a heap of pairs; each application touches
 only the two neighbours of its position. Texts are then encoded by looking their words up. Nothing is shuffled.
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .shared import text_or_empty, tuned
 
-#: Distinct words that a task remembers; beyond it the memory is emptied and words are replayed anew.
-REMEMBERED = 300_000
+#: Distinct words after which a worker starts a new memory; it keeps the previous one and takes over words met again.
+REMEMBERED = 150_000
 #: Characters of text whose new words are replayed together.
 PART = 4_000_000
 #: Ids are below 2^WIDTH; GAP ends a word, GONE is the right half of a merged pair.
@@ -49,8 +49,13 @@ class MergeReplay:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, compiled(pattern)
-        self.names = {i: b for b, i in ranks.items()}
+        self.names: list[bytes] = [b""] * (max(ranks.values(), default=0) + 1)
+        for token, rank in ranks.items():
+            self.names[rank] = token
+        #: One object per id, so that remembered words share them.
+        self.ids, self.numbers = list(range(len(self.names))), [str(i) for i in range(len(self.names))]
         self.memory: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.merges: dict[int, int] = {}
 
@@ -88,8 +93,9 @@ class MergeReplay:
         alive = ids >= 0
         flat = ids[alive].tolist()
         bounds = np.concatenate(([0], np.cumsum(np.bincount(owners[alive], minlength=len(raws))))).tolist()
+        share = self.ids.__getitem__
         for w, word in enumerate(spelled):
-            self.memory[word] = tuple(flat[bounds[w] : bounds[w + 1]])
+            self.memory[word] = tuple(map(share, flat[bounds[w] : bounds[w + 1]]))
         for w in again:
             self.memory[spelled[w]] = self._one_by_one(raws[w])
 
@@ -169,9 +175,12 @@ class MergeReplay:
         for part in in_parts(texts):
             split = [self.pattern.findall(t) for t in part]
             distinct = set().union(*split)
-            if len(self.memory) + len(distinct) > REMEMBERED:
-                self.memory.clear()
+            if len(self.memory) > REMEMBERED:
+                self.older, self.memory = self.memory, {}
             new = distinct.difference(self.memory)
+            known = new.intersection(self.older)
+            self.memory.update((w, self.older[w]) for w in known)
+            new -= known
             if new:
                 self.learn(new)
             find = self.memory.__getitem__
@@ -194,6 +203,17 @@ def in_parts(texts: list[str], chars: int = PART) -> Iterator[list[str]]:
         yield part
 
 
+_kept: dict[str, MergeReplay] = {}
+
+
+def replay_of(ranks: dict[bytes, int], pattern: str, key: str) -> MergeReplay:
+    """The worker's replay for this vocabulary, with the words that its earlier tasks have learned."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = MergeReplay(ranks, pattern)
+    return _kept[key]
+
+
 def with_tokens(df: DataFrame, ranks: dict[bytes, int], pattern: str, finish: Callable[[list[int], MergeReplay], tuple], schema: str, column: str = "text") -> DataFrame:
     """`df` without `column`, plus the columns of `schema` (DDL) that `finish` makes of each row's ids.
 
@@ -201,6 +221,7 @@ def with_tokens(df: DataFrame, ranks: dict[bytes, int], pattern: str, finish: Ca
     """
     spark = tuned(df.sparkSession)
     sent = spark.sparkContext.broadcast(ranks)
+    key = hashlib.sha256(pattern.encode() + b"".join(sorted(ranks))).hexdigest()
     added = spark.createDataFrame([], schema).schema
     carried = [c for c in df.columns if c != column and c not in added.fieldNames()]
     rows = df.select(*[F.col(f"`{c}`") for c in carried], text_or_empty(column).alias(column))
@@ -212,7 +233,7 @@ def with_tokens(df: DataFrame, ranks: dict[bytes, int], pattern: str, finish: Ca
     names = whole.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay = MergeReplay(sent.value, pattern)
+        replay = replay_of(sent.value, pattern, key)
         for batch in batches:
             got = [finish(ids, replay) for ids in replay.encode(batch.column(batch.num_columns - 1).to_pylist())]
             made = [pa.array(column, kind) for column, kind in zip(zip(*got, strict=True) if got else [()] * len(kinds), kinds, strict=True)]
@@ -223,7 +244,7 @@ def with_tokens(df: DataFrame, ranks: dict[bytes, int], pattern: str, finish: Ca
 
 def digests(ids: list[int], replay: MergeReplay) -> tuple[int, str, str]:
     """(n_tokens, ids_sha256, decoded_sha256)."""
-    return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(replay.decode(ids)).hexdigest()
+    return len(ids), hashlib.sha256(" ".join(map(replay.numbers.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(replay.decode(ids)).hexdigest()
 
 
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, parity_join, suffixes, toxicity
-from .shared import Tables, table
+from . import bpe, chat, fingerprints, mixing, neighbours, parity_join, shards, suffixes, toxicity, url_rules
+from .shared import Tables, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,57 @@ def _held_out() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
 
 
+#: Arrivals that the documents come in, and bytes of a merged file.
+ARRIVALS, SHARD_BYTES = 16, 32 << 20
+#: Weights of the mix: half the tokens from the bulk source, languages and the other sources as given.
+MIX_LEVELS = ["domain", "lang", "source"]
+MIX_WEIGHTS = {("bulk",): 1.0, ("curated",): 1.0, (None, "en"): 4.0, (None, "de"): 2.0, (None, "fr"): 2.0, (None, "es"): 2.0}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.9, 2, 7
+#: The url rules: verdict, host, path.
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("domain", F.when(F.col("source") == "src0", "bulk").otherwise("curated"))
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended in arrivals, compacted, and read back: each row with the shard that holds it now."""
+    docs = table(spark, sf_dir, "documents")
+    store = shards.Store(spark, shared_folder(spark))
+    store.append_arrivals(docs, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
+    store.compact(SHARD_BYTES)
+    store.remove_dead()
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return store.read().select("doc_id", "lang", "source", "n_chars", digest.alias("text_sha256"), "shard")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_domain(table(spark, sf_dir, "documents"))
+    return mixing.mixed_to_weights(docs, MIX_LEVELS, MIX_WEIGHTS, None, MIX_SHARE, MIX_EPOCHS, MIX_SEED).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens")
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = f"{chat.END}{chat.START}assistant ok"
+    planted = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.chat_windows(turns.unionByName(planted)))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    buckets = min(4096, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return fingerprints.edited_and_next(docs, buckets)
+
+
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), Tables(spark))
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(table(spark, sf_dir, "pages").select("page_id", "url"), url_rules.host_path_rules(spark, URL_RULES))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(toxicity.training_rows(docs, labels, ~_held_out()))
@@ -43,7 +94,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_toxicity, op7_parity_join, op8_byte_bpe, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_mixing, op3_chat_format, op4_fingerprints, op5_toxicity, op6_near_vectors, op7_parity_join, op8_byte_bpe, op9_suffix_dedup, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
