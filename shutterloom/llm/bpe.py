@@ -25,7 +25,7 @@ from .shared import text_or_empty, tuned
 #: Distinct words after which a worker starts a new memory; it keeps the previous one and takes over words met again.
 REMEMBERED = 150_000
 #: Characters of text whose new words are replayed together.
-PART = 4_000_000
+PART = 12_000_000
 #: Ids are below 2^WIDTH; GAP ends a word, GONE is the right half of a merged pair.
 WIDTH, GAP, GONE, NEVER = 24, -1, -2, 1 << 60
 #: The Unicode property White_Space, which \s stands for in the patterns of rank files.
@@ -105,6 +105,7 @@ class MergeReplay:
         after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
         index: dict[int, tuple[set[int], list[np.ndarray]]] = {}
         heap: list[int] = []
+        known = self.merges.get
         doubt: set[int] = set()
 
         def enter(left: np.ndarray, right: np.ndarray, now: int = -1) -> list[np.ndarray]:
@@ -112,11 +113,14 @@ class MergeReplay:
             pairs = (ids[left] << WIDTH) | ids[right]
             order = np.argsort(pairs, kind="stable")
             pairs = pairs[order]
-            first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))).tolist()
-            lower = []
-            for key, places in zip(pairs[first].tolist(), np.split(left[order], first[1:]), strict=True):
-                rank = self.merged(key)
+            first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+            lower, sorted_left = [], left[order]
+            first, found = first.tolist(), pairs[first].tolist()
+            for key, a, b in zip(found, first, [*first[1:], len(pairs)], strict=True):
+                rank = known(key)
+                rank = self.merged(key) if rank is None else rank
                 if rank >= 0:
+                    places = sorted_left[a:b]
                     if rank not in index:
                         index[rank] = set(), []
                         heapq.heappush(heap, rank)
@@ -132,7 +136,9 @@ class MergeReplay:
         while heap:
             rank = heapq.heappop(heap)
             keys, lists = index.pop(rank)
-            places = np.unique(np.concatenate(lists)) if len(lists) > 1 else np.sort(lists[0])
+            places = np.sort(np.concatenate(lists)) if len(lists) > 1 else np.sort(lists[0])
+            if len(lists) > 1:
+                places = places[np.concatenate(([True], places[1:] != places[:-1]))]
             places = places[ids[places] >= 0]
             partner = after[places]
             pairs = (ids[places] << WIDTH) | np.maximum(ids[partner], 0)
@@ -153,7 +159,8 @@ class MergeReplay:
             left, right = before[places], beyond
             has_left, has_right = left >= 0, ids[right] >= 0
             has_left[has_left] = ids[left[has_left]] >= 0
-            whole = np.unique(np.concatenate((left[has_left], places[has_right])))
+            whole = np.sort(np.concatenate((left[has_left], places[has_right])))
+            whole = whole[np.concatenate(([True], whole[1:] != whole[:-1]))] if len(whole) else whole
             if len(whole) and (lower := enter(whole, after[whole], rank)):
                 # A pair of lower rank has come up. Where a word merged at several places in this step,
                 # the lower pair might have come before the later places: such words are done one by one.
@@ -203,6 +210,19 @@ def in_parts(texts: list[str], chars: int = PART) -> Iterator[list[str]]:
         yield part
 
 
+def in_larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about PART bytes, so that many words are replayed together."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= PART:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 _kept: dict[str, MergeReplay] = {}
 
 
@@ -234,7 +254,7 @@ def with_tokens(df: DataFrame, ranks: dict[bytes, int], pattern: str, finish: Ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = replay_of(sent.value, pattern, key)
-        for batch in batches:
+        for batch in in_larger(batches):
             got = [finish(ids, replay) for ids in replay.encode(batch.column(batch.num_columns - 1).to_pylist())]
             made = [pa.array(column, kind) for column, kind in zip(zip(*got, strict=True) if got else [()] * len(kinds), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names)
