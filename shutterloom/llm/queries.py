@@ -90,7 +90,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffixes.repeated_spans(docs, suffixes.repeats(docs, Tables(spark)))
+    return suffixes.repeated_spans(suffixes.repeats(docs, Tables(spark)))
 
 
 def queries() -> dict[str, Query]:

@@ -62,11 +62,34 @@ def long_grams(hashes: np.ndarray, q: int) -> np.ndarray:
     return mixed(part[:n] * _PLACE[0] + rest * _PLACE[1] + (part[half : half + n] * _PLACE[2] if q - half > half else _U(0)) + _U(q))
 
 
+_ROWS = "key long, doc long, place int"
+
+
+def _folded(keys: list[np.ndarray], rows: list[np.ndarray], places: list[np.ndarray], ids: np.ndarray) -> pa.RecordBatch:
+    """Rows (key, doc, 4 * place + kind) of one batch, in which only the first of equal keys keeps its key.
+
+    kind: 0 alone in its batch, 1 the first of several, 2 a later one. The last get keys of their own, because nothing
+    more has to be learned about them; so a passage that very many documents share meets once per batch.
+    """
+    key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+    doc = ids[np.concatenate(rows)] if rows else np.zeros(0, np.int64)
+    place = np.concatenate(places).astype(np.int32) if places else np.zeros(0, np.int32)
+    order = np.lexsort((place, doc, key))
+    key, doc, place = key[order], doc[order], place[order]
+    kind = np.zeros(len(key), np.int32)
+    if len(key) > 1:
+        same = key[1:] == key[:-1]
+        kind[:-1][same] = 1
+        kind[1:][same] = 2
+        later = kind == 2
+        key[later] = mixed(doc[later].view(np.uint64) * _PLACE[3] + place[later].astype(np.uint64) * _PLACE[4])
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(place * 4 + kind)], ["key", "doc", "place"])
+
+
 def _kept_suffixes(k: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            keys, docs, places = [], [], []
+            keys, rows, places = [], [], []
             for words in word_chunks(batch.column(1)):
                 every = long_grams(words.hashes, k)
                 for i in range(len(words)):
@@ -76,10 +99,8 @@ def _kept_suffixes(k: int, window: int):
                         at = minimisers(own, window)
                         keys.append(own[at])
                         places.append(at)
-                        docs.append(np.full(len(at), words.first + i))
-            if keys:
-                rows = pa.array(np.concatenate(docs))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), ids.take(rows), pa.array(np.concatenate(places).astype(np.int32))], ["key", "doc", "place"])
+                        rows.append(np.full(len(at), words.first + i))
+            yield _folded(keys, rows, places, np.asarray(batch.column(0)))
 
     return run
 
@@ -90,25 +111,24 @@ def _passages(k: int, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, repeated = batch.column(0), batch.column(2)
+            repeated = batch.column(2)
+            keys, rows, places = [], [], []
             for words in word_chunks(batch.column(1)):
                 short, full = long_grams(words.hashes, k), long_grams(words.hashes, least)
-                keys, docs, places = [], [], []
                 for i in range(len(words)):
                     a, b = words.bounds[i], words.bounds[i + 1]
                     if b - a < least:
                         continue
                     # A passage goes with its own minimiser only: another suffix inside it may be kept for words beyond it.
+                    marks = np.frombuffer(repeated[words.first + i].as_buffer(), np.int32)
                     marked = np.zeros(b - a - k + 1, bool)
-                    marked[np.frombuffer(repeated[words.first + i].as_buffer(), np.int32)] = True
+                    marked[marks[marks < len(marked)]] = True
                     least_of = sliding_window_view(short[a : b - k + 1], window).argmin(1)
                     at = np.flatnonzero(marked[least_of + np.arange(len(least_of))])
                     keys.append(full[a:][at])
                     places.append(at)
-                    docs.append(np.full(len(at), words.first + i))
-                if keys:
-                    rows = pa.array(np.concatenate(docs))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), ids.take(rows), pa.array(np.concatenate(places).astype(np.int32))], ["key", "doc", "place"])
+                    rows.append(np.full(len(at), words.first + i))
+            yield _folded(keys, rows, places, np.asarray(batch.column(0)))
 
     return run
 
@@ -126,10 +146,12 @@ def _joined_places(places: DataFrame, name: str) -> DataFrame:
 
 
 def _equal_neighbours(rows: DataFrame) -> DataFrame:
-    """Rows in the order (key, doc, place) with an equal key beside them; later: not the first of its key."""
+    """Rows in the order (key, doc, place) that have an equal key beside them; later: not the first of its key."""
     order = Window.partitionBy("key").orderBy("doc", "place")
-    rows = rows.select("doc", "place", F.lag("doc").over(order).isNotNull().alias("later"), F.lead("doc").over(order).isNotNull().alias("earlier"))
-    return rows.where("later or earlier").select("doc", "place", "later")
+    kind = F.col("place").bitwiseAND(3)
+    later = F.lag("doc").over(order).isNotNull() | (kind == 2)
+    earlier = F.lead("doc").over(order).isNotNull() | (kind == 1)
+    return rows.select("doc", F.shiftright("place", 2).alias("place"), later.alias("later"), earlier.alias("earlier")).where("later or earlier").select("doc", "place", "later")
 
 
 def repeats(docs: DataFrame, tables: Tables, least: int = 50, prefix: int = PREFIX) -> DataFrame:
@@ -145,11 +167,11 @@ def repeats(docs: DataFrame, tables: Tables, least: int = 50, prefix: int = PREF
     spark = tuned(docs.sparkSession)
     window = least - prefix + 1
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text"))
-    kept = texts.mapInArrow(_kept_suffixes(prefix, window), "key long, doc long, place int")
+    kept = texts.mapInArrow(_kept_suffixes(prefix, window), _ROWS)
     marked = _joined_places(_equal_neighbours(kept), "repeated")
     marked = tables.put(marked, "repeated-suffixes")
     stretches = texts.join(marked, "doc").select("doc", "text", "repeated")
-    passages = _equal_neighbours(stretches.mapInArrow(_passages(prefix, window), "key long, doc long, place int"))
+    passages = _equal_neighbours(stretches.mapInArrow(_passages(prefix, window), _ROWS))
     packed = passages.groupBy(F.col("doc").alias("doc_id")).agg(
         F.collect_list(F.when(F.col("later"), F.col("place"))).alias("later"), F.collect_list(F.when(~F.col("later"), F.col("place"))).alias("first")
     )
@@ -165,35 +187,23 @@ def _runs(starts: np.ndarray, least: int) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1]) + least) for p in np.split(starts, cut)]
 
 
-_SPANS = "doc_id long, start_word int, end_word int, start_char long, end_char long, kept boolean"
+_SPANS = "doc_id long, start_word int, end_word int, kept boolean"
 
 
-def repeated_spans(docs: DataFrame, found: DataFrame, least: int = 50) -> DataFrame:
-    """One row per maximal span of repeated passages: kept where it is the first occurrence, else to be cut."""
+def repeated_spans(found: DataFrame, least: int = 50) -> DataFrame:
+    """One row per maximal span of repeated passages (from word, to word): kept where it is the first occurrence, else to be cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            ids, later, first = (batch.column(k) for k in (0, 2, 3))
-            for words in word_chunks(batch.column(1)):
-                for i in range(len(words)):
-                    a, b = words.bounds[i], words.bounds[i + 1]
-                    base = words.offsets[i]
-                    for starts, kept in ((later, False), (first, True)):
-                        for x, y in _runs(np.asarray(starts[words.first + i].values, np.int64), least):
-                            if y > b - a:
-                                continue
-                            s, e = words.starts[a + x], words.ends[a + y - 1]
-                            lead = words.data[base:e] & 0xC0 != 0x80
-                            head = int(lead[: s - base].sum())
-                            out.append((ids[words.first + i].as_py(), x, y, head, head + int(lead[s - base :].sum()), kept))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "start_word", "end_word", "start_char", "end_char", "kept"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = texts.join(found, "doc_id").select("doc_id", "text", "later", "first")
-    return rows.mapInArrow(run, _SPANS)
+            for k, kept in ((1, False), (2, True)):
+                for doc, starts in zip(batch.column(0).to_pylist(), batch.column(k), strict=True):
+                    out += [(doc, x, y, kept) for x, y in _runs(np.asarray(starts.values, np.int64), least)]
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "start_word", "end_word", "kept"])
+
+    return found.select("doc_id", "later", "first").mapInArrow(run, _SPANS)
 
 
 def without_repeats(docs: DataFrame, found: DataFrame, least: int = 50) -> DataFrame:
