@@ -8,9 +8,9 @@ hashes, which is a linear digest of its parity bits. Blocks with one shingle or
 document leaves them out unless it has more than s of them, which loses no pair: if all 1 + s equal blocks of a pair
 are such, both documents have more than s.
 
-Documents that share a key are first compared with the key's smallest document. Only documents of a key that are
-then still in different components are compared with each other, in blocks, by compact sketches; what these cannot
-exclude is verified exactly. So large groups of copies cost one comparison per member and no link between components
+Documents that share a key are first compared with the key's smallest document, by compact sketches and, where these
+cannot exclude a link, exactly. Only documents of a key that are then still in different components are compared with
+each other, in blocks, in the same two steps. So large groups of copies cost one comparison per member and no link between components
 is lost. Exact copies inside an input partition are folded before anything is shuffled.
 """
 
@@ -149,6 +149,20 @@ def _verify(q: int, num: int, den: int):
     return run
 
 
+def _plausible(num: int, den: int):
+    """Rows (a, b, n_a, n_b, sketch_a, sketch_b): the pairs (a, b) that sizes and sketches do not exclude."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (np.asarray(batch.column(k)) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
+            apart = np.bitwise_count(x ^ y).sum(1)
+            good = (np.minimum(n_a, n_b) * den >= np.maximum(n_a, n_b) * num) & (apart * (den + num) <= (den - num) * (n_a + n_b))
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    return run
+
+
 def _residual(num: int, den: int):
     """Rows (key, part, side, doc, component, n, sketch) sorted by key and part: pairs that may link."""
     empty = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
@@ -212,7 +226,11 @@ def parity_join(docs: DataFrame, tables: Tables, q: int = 5, num: int = 4, den:
     shared = keys.select("key", "doc", F.min("doc").over(whole).alias("hub"), F.max("doc").over(whole).alias("top"))
     shared = tables.put(shared.where("hub <> top").select("key", "doc", "hub"), "shared-keys")
 
+    sizes = ready.where("sketch is not null").select(F.col("doc_id").alias("doc"), "n_shingles", "sketch")
     to_hub = shared.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
+    for side in ("a", "b"):
+        to_hub = to_hub.join(sizes.select(F.col("doc").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+    to_hub = to_hub.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_plausible(num, den), "a long, b long").distinct()
     links = tables.put(verified(texts, to_hub, tables, q, num, den), "hub-links")
     comps = components(links, tables)
 
@@ -222,7 +240,6 @@ def parity_join(docs: DataFrame, tables: Tables, q: int = 5, num: int = 4, den:
     open_keys = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"))
     open_keys = open_keys.where("x <> y").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
     rest = rest.join(open_keys, "key")
-    sizes = ready.where("sketch is not null").select(F.col("doc_id").alias("doc"), "n_shingles", "sketch").dropDuplicates(["doc"])
     own = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     rest = rest.select("*", own.alias("own")).select("*", other).select(

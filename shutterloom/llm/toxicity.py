@@ -73,9 +73,10 @@ class _Text:
         np.cumsum(_BYTE[letters[self.data]] * _power_tables(len(self.data) + 1)[0][: len(self.data)], out=total[1:])
         return total
 
-    def beginnings(self, total: np.ndarray, size: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(words that are so long, hashes of their first `size` bytes); None: of the whole words."""
-        at = np.arange(len(self.starts)) if size is None else np.flatnonzero(self.sizes >= size)
+    def beginnings(self, total: np.ndarray, size: int | None, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(words that are so long, hashes of their first `size` bytes); None: of the whole words. among: only of these words."""
+        at = np.arange(len(self.starts)) if among is None else among
+        at = at if size is None else at[self.sizes[at] >= size]
         start = self.starts[at]
         length = self.sizes[at] if size is None else np.full(len(at), size)
         raw = (total[start + length] - total[start]) * _power_tables(len(self.data) + 1)[1][start]
@@ -108,16 +109,22 @@ _YOU = np.sort(np.array([_word_hash(w) for w in SECOND_PERSON.split()], np.uint6
 
 
 def _in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
-    if not len(sorted_set):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)
-    return sorted_set[at] == values
-
-
-def _lexicon_words(t: _Text, total: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+    """Membership; a table of low bits spares most values the search."""
+    out = np.zeros(len(values), bool)
+    if len(sorted_set):
+        low = np.zeros(1 << 16, bool)
+        low[sorted_set & _U(0xFFFF)] = True
+        some = np.flatnonzero(low[values & _U(0xFFFF)])
+        at = np.minimum(np.searchsorted(sorted_set, values[some]), len(sorted_set) - 1)
+        out[some] = sorted_set[at] == values[some]
+    return out
+
+
+def _lexicon_words(t: _Text, total: np.ndarray, lexicon: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
+    """Words with a beginning in the lexicon, of all or of the given ones."""
     hit = np.zeros(len(t.starts), bool)
     for size in (*BEGINNINGS, None):
-        at, hashes = t.beginnings(total, size)
+        at, hashes = t.beginnings(total, size, among)
         hit[at] |= _in(hashes, lexicon)
     return hit
 
@@ -142,8 +149,8 @@ def features(column: pa.Array, lexicons: tuple[np.ndarray, np.ndarray]) -> np.nd
         letters = np.concatenate(([0], np.cumsum(_LETTER[data])))
         has_sign = stand_ins[t.ends] > stand_ins[t.starts]
         has_letter = letters[t.ends] > letters[t.starts]
-        restored = _lexicon_words(t, plain, lexicon) & ~hit & has_sign & has_letter if has_sign.any() else np.zeros(len(hit), bool)
-        any_hit, strong = hit | restored, _lexicon_words(t, written, strong_lexicon)
+        restored = _lexicon_words(t, plain, lexicon, np.flatnonzero(~hit & has_sign & has_letter))
+        any_hit, strong = hit | restored, _lexicon_words(t, written, strong_lexicon, np.flatnonzero(hit))
         you = _in(t.beginnings(written, None)[1], _YOU)
         near = np.zeros(len(hit), bool)
         for d in range(1, NEAR + 1):
