@@ -30,8 +30,8 @@ from .components import components
 from .shared import Tables, text_or_empty, tuned
 
 _U = np.uint64
-#: Bits of the compact sketch that residual pairs are filtered by.
-SKETCH_BITS = 1024
+#: Bits of a compact sketch at least; it has the power of two from twice the set's size on.
+SKETCH_BITS = 512
 #: Ratio of the bounds of neighbouring size bands.
 BAND_RATIO = 1.3
 #: Documents of one key that are compared in one task at once.
@@ -78,11 +78,32 @@ def block_keys(own: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """The compact parity sketch: SKETCH_BITS bits, one toggled by every shingle."""
-    odd = np.bincount((mixed(own + _U(77)) % _U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """The compact parity sketch, one bit toggled by every shingle."""
+    size = max(SKETCH_BITS, 1 << (2 * len(own) - 1).bit_length())
+    odd = np.bincount((mixed(own + _U(77)) & _U(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Sketches, one per row, as sketches of `width` words: the halves of a sketch are XORed, as its places coincide then."""
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def stacked(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of several sizes in one array, all folded to the smallest."""
+    width = min(map(len, sketches)) // 8
+    out = np.empty((len(sketches), width), np.uint64)
+    by_size: dict[int, list[int]] = {}
+    for i, x in enumerate(sketches):
+        by_size.setdefault(len(x), []).append(i)
+    for size, rows in by_size.items():
+        out[rows] = folded(np.frombuffer(b"".join([sketches[i] for i in rows]), np.uint64).reshape(-1, size // 8), width)
+    return out
+
+
 _PREPARED = "doc_id long, rep long, n_shingles long, sketch binary, keys array<long>"
 
 
@@ -155,8 +176,13 @@ def _plausible(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_a, n_b = (np.asarray(batch.column(k)) for k in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
-            apart = np.bitwise_count(x ^ y).sum(1)
+            x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            sizes = np.array([min(len(v), len(w)) for v, w in zip(x, y, strict=True)], np.int64)
+            apart = np.zeros(len(sizes), np.int64)
+            for size in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == size)
+                both = stacked([x[i] for i in rows] + [y[i] for i in rows])
+                apart[rows] = np.bitwise_count(both[: len(rows)] ^ both[len(rows) :]).sum(1)
             good = (np.minimum(n_a, n_b) * den >= np.maximum(n_a, n_b) * num) & (apart * (den + num) <= (den - num) * (n_a + n_b))
             yield batch.select([0, 1]).filter(pa.array(good))
 
@@ -169,7 +195,7 @@ def _residual(num: int, den: int):
 
     def pairs(rows: list[tuple], sent: set) -> Iterator[tuple[int, int]]:
         side, doc, comp, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-        bits = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1)
+        bits = stacked([r[4] for r in rows])
         left = np.flatnonzero(side <= 0)
         right = np.flatnonzero(side >= 0) if (side > 0).any() else left
         for i in left:
