@@ -219,11 +219,11 @@ def a17(df):
 
 @query("a16_a18_error_union", GROUPED, "SELECT * FROM (SELECT 'missing_tag_shot' AS error_type, class_id, CAST(NULL AS INT) AS student_number, group_key FROM {source} AS a WHERE student_number IS NULL UNION ALL SELECT 'multiple_card_detected', class_id, student_number, min(group_key) FROM {source} AS b WHERE student_number IS NOT NULL GROUP BY class_id, student_number HAVING count(*) > 1) AS t")
 def a18(df):
-    """Both kinds of error, ordered by type, class, number as text and group."""
+    """Both kinds of error, ordered by class, type, number as text and group."""
     missing = df.where("student_number is null").select(F.lit("missing_tag_shot").alias("error_type"), "class_id", "student_number", "group_key")
     double = df.where("student_number is not null").groupBy("class_id", "student_number").agg(F.min("group_key").alias("group_key"), F.count("*").alias("n")).where("n > 1")
     both = missing.unionByName(double.select(F.lit("multiple_card_detected").alias("error_type"), "class_id", "student_number", "group_key"))
-    return both.orderBy("error_type", "class_id", F.coalesce(c("student_number").cast("string"), F.lit("")), "group_key")
+    return both.orderBy("class_id", "error_type", F.coalesce(c("student_number").cast("string"), F.lit("")), "group_key")
 
 
 @query("a27_path_index", GROUPED, "SELECT path, CASE WHEN hash_last THEN 'card' ELSE 'portrait' END AS role, class_id FROM (SELECT path, class_id, student_number % 2 = 1 AS hash_last FROM {source} AS s WHERE student_number IS NOT NULL) AS t")
