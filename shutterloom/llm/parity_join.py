@@ -36,6 +36,8 @@ SKETCH_BITS = 512
 BAND_RATIO = 1.3
 #: Documents of one key that are compared in one task at once.
 BLOCK = 1024
+#: Up to so many pairs, their ids are sent to where texts are read; beyond, texts are dealt by id to meet them.
+SENT_PAIRS = 250_000
 #: Members of one hub that are verified in one task, about.
 MEMBERS = 2000
 
@@ -292,6 +294,8 @@ def verified(texts: DataFrame, pairs: DataFrame, tables: Tables, q: int, num: in
     members = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("doc_id"))
     hubs = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"))
     wanted = members.unionByName(hubs)
+    if pairs.count() <= SENT_PAIRS:
+        wanted = F.broadcast(wanted)
     rows = texts.join(wanted, "doc_id").repartition("a", "part")
     rows = rows.select("a", "part", "doc_id", "text", (F.col("a") != F.col("doc_id")).alias("member"))
     rows = rows.sortWithinPartitions("a", "part", "member").select("a", "doc_id", "text")
