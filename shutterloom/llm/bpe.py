@@ -109,7 +109,7 @@ class MergeReplay:
         doubt: set[int] = set()
 
         def enter(left: np.ndarray, right: np.ndarray, now: int = -1) -> list[np.ndarray]:
-            """Index the pairs at the positions `left`, with partners `right`; the positions that rank below `now`."""
+            """Index the pairs at the positions `left`, with partners `right`; the positions that rank `now` or lower."""
             pairs = (ids[left] << WIDTH) | ids[right]
             order = np.argsort(pairs, kind="stable")
             pairs = pairs[order]
@@ -126,7 +126,7 @@ class MergeReplay:
                         heapq.heappush(heap, rank)
                     index[rank][0].add(key)
                     index[rank][1].append(places)
-                    if rank < now:
+                    if rank <= now:
                         lower.append(places)
             return lower
 
@@ -155,6 +155,12 @@ class MergeReplay:
                 at = np.arange(len(places)) - np.maximum.accumulate(at)
                 places, partner = places[at % 2 == 0], partner[at % 2 == 0]
             beyond = after[partner]
+            # Between two merges side by side the first one's token meets the second's left half for a moment.
+            side = np.flatnonzero(beyond[:-1] == places[1:])
+            if len(side):
+                moment = (rank << WIDTH) | ids[beyond[side]]
+                early = [k for k in np.unique(moment).tolist() if 0 <= self.merged(k) <= rank]
+                doubt.update(owners[places[side[np.isin(moment, early)]]].tolist())
             ids[places], ids[partner], after[places], before[beyond] = rank, GONE, beyond, places
             left, right = before[places], beyond
             has_left, has_right = left >= 0, ids[right] >= 0
@@ -162,7 +168,7 @@ class MergeReplay:
             whole = np.sort(np.concatenate((left[has_left], places[has_right])))
             whole = whole[np.concatenate(([True], whole[1:] != whole[:-1]))] if len(whole) else whole
             if len(whole) and (lower := enter(whole, after[whole], rank)):
-                # A pair of lower rank has come up. Where a word merged at several places in this step,
+                # A pair of lower or equal rank has come up. Where a word merged at several places in this step,
                 # the lower pair might have come before the later places: such words are done one by one.
                 own = owners[places]
                 doubt.update(np.intersect1d(own[1:][own[1:] == own[:-1]], owners[np.concatenate(lower)]).tolist())
