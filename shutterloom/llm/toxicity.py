@@ -182,7 +182,7 @@ class Trees:
     BINS, DEPTH, ROUNDS, RATE, RIDGE, LEAST = 32, 3, 80, 0.15, 1.0, 3.0
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.BINS + 1)[1:-1])) for c in x.T]
+        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.BINS + 1)[1:-1])) if len(c) else c for c in x.T]
         b, n, k = self.binned(x), len(y), x.shape[1]
         rate = np.clip(y.mean() if n else 0.0, 1e-3, 1 - 1e-3)
         self.base, self.trees = float(np.log(rate / (1 - rate))), []
