@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer document is a chunk of its own.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))

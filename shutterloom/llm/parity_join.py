@@ -295,7 +295,7 @@ def verified(texts: DataFrame, pairs: DataFrame, tables: Tables, q: int, num: in
     hubs = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"))
     wanted = members.unionByName(hubs)
     if pairs.count() <= SENT_PAIRS:
-        wanted = F.broadcast(wanted)
+        wanted = F.broadcast(wanted)  # at most twice as many rows of three numbers
     rows = texts.join(wanted, "doc_id").repartition("a", "part")
     rows = rows.select("a", "part", "doc_id", "text", (F.col("a") != F.col("doc_id")).alias("member"))
     rows = rows.sortWithinPartitions("a", "part", "member").select("a", "doc_id", "text")

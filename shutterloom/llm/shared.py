@@ -65,6 +65,11 @@ class Tables:
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sent_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A written table of a few narrow columns, marked for broadcasting if it has at most `rows` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

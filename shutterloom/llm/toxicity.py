@@ -90,7 +90,7 @@ class _Text:
         return np.bincount(self.docs, weights, self.n)
 
 
-def _chunks(column: pa.Array, size: int = 1 << 19) -> Iterator[_Text]:
+def _chunks(column: pa.Array, size: int = 1 << 18) -> Iterator[_Text]:
     offsets, data = string_bytes(column)
     first, n = 0, len(offsets) - 1
     while first < n:
