@@ -83,6 +83,9 @@ def _folded(keys: list[np.ndarray], rows: list[np.ndarray], places: list[np.ndar
         kind[1:][same] = 2
         later = kind == 2
         key[later] = mixed(doc[later].view(np.uint64) * _PLACE[3] + place[later].astype(np.uint64) * _PLACE[4])
+        # In the order of documents, so that shuffle files compress.
+        order = np.lexsort((place, doc))
+        key, doc, place, kind = key[order], doc[order], place[order], kind[order]
     return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(place * 4 + kind)], ["key", "doc", "place"])
 
 
