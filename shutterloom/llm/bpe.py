@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from .shared import text_or_empty, tuned
 
 #: Distinct words after which a worker starts a new memory; it keeps the previous one and takes over words met again.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Characters of text whose new words are replayed together.
-PART = 12_000_000
+PART = 2_000_000
 #: Ids are below 2^WIDTH; GAP ends a word, GONE is the right half of a merged pair.
 WIDTH, GAP, GONE, NEVER = 24, -1, -2, 1 << 60
 #: The Unicode property White_Space, which \s stands for in the patterns of rank files.
@@ -64,7 +64,7 @@ class MergeReplay:
         found = self.merges.get(pair)
         if found is None:
             found = self.ranks.get(self.names[pair >> WIDTH] + self.names[pair & ((1 << WIDTH) - 1)], -1)
-            if len(self.merges) > 1_000_000:
+            if len(self.merges) > 300_000:
                 self.merges.clear()
             self.merges[pair] = found
         return found
