@@ -24,7 +24,8 @@ def components(links: DataFrame, tables: Tables, most_rounds: int = 60) -> DataF
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = tables.put(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        before, e = e, tables.put(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        tables.drop(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break

@@ -254,6 +254,10 @@ def parity_join(docs: DataFrame, tables: Tables, q: int = 5, num: int = 4, den:
     shared = keys.select("key", "doc", F.min("doc").over(whole).alias("hub"), F.max("doc").over(whole).alias("top"))
     shared = tables.put(shared.where("hub <> top").select("key", "doc", "hub"), "shared-keys")
 
+    # The keys are most of what was written, and have served.
+    written, ready = ready, tables.put(ready.drop("keys"), "sets")
+    tables.drop(written)
+
     sizes = ready.where("sketch is not null").select(F.col("doc_id").alias("doc"), "n_shingles", "sketch")
     to_hub = shared.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     for side in ("a", "b"):

@@ -39,6 +39,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.written = spark, shared_folder(spark), 0
+        self.paths: dict[int, str] = {}
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write and reread; the lineage and the shuffle files behind `df` are no longer needed afterwards."""
@@ -48,7 +49,9 @@ class Tables:
         schema = df.schema
         del df
         self.release()
-        return self.spark.read.schema(schema).parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
 
     def release(self) -> None:
         """Let the context cleaner find shuffles nobody refers to, else they stay until the driver collects garbage."""
@@ -56,13 +59,10 @@ class Tables:
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, df: DataFrame) -> None:
-        """Delete a table of this run that nothing will read again."""
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if not path.startswith("file:") and "://" not in path:
-                continue
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        """Delete a table that put() returned and that nothing will read again."""
+        path = self.paths.pop(id(df))
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def sent_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
