@@ -30,7 +30,7 @@ class FunctionProvider:
 
 
 def asked(rows: DataFrame, prompt: Column, provider: Provider, name: str = "answer", attempts: int = 1) -> DataFrame:
-    """`rows` with the provider's answer. Failures give null; each row is tried `attempts` times.
+    """`rows` with the provider's answer. Failures give null; each row is tried `attempts` times.
 
     The call is not deterministic, so filters meant to spare calls must come before it in the plan.
     """

@@ -68,7 +68,7 @@ def first_fit(emb: np.ndarray, seconds: np.ndarray, steps: np.ndarray, focus: np
 
 
 def best_fit(emb: np.ndarray, seconds: np.ndarray, steps: np.ndarray, shape: Sequence[str], quality: Sequence[tuple], zero_gap_unknown: bool = False) -> list[tuple[int, float, str]]:
-    """(cluster, score, rule) of each row, in order. Of the clusters that accept a row the one with the highest
+    """(cluster, score, rule) of each row, in order. Of the clusters that accept a row the one with the highest
     cosine to centroid or representative wins, the earlier of two. quality orders members; the highest represents.
     zero_gap_unknown keeps the older treatment of a gap of exactly zero to the representative as unknown."""
     unit = _unit(emb)

@@ -27,7 +27,7 @@ def buckets(df: DataFrame, by: Sequence[str], score: str, position: str, best: i
 
 
 def first_of(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """The first row of each group in an order."""
+    """The first row of each group in an order."""
     return numbered(df, by, order, "_first").where("_first = 1").drop("_first")
 
 

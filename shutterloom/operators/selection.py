@@ -1,4 +1,4 @@
-"""Choosing an event's photos under quotas. One fold per folder over evaluated photos."""
+"""Choosing an event's photos under quotas. One fold per folder over evaluated photos."""
 
 from __future__ import annotations
 

@@ -27,7 +27,7 @@ def checked(name: str) -> str:
 
 
 def members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -> DataFrame:
-    """The members of all archives under `path`, by Spark's reader, so any store will do."""
+    """The members of all archives under `path`, by Spark's reader, so any store will do."""
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,3 +45,16 @@ def members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -> D
 def top_folders(rows: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
     """Members whose first folder is one of those handed out."""
     return rows.where(F.split_part("member", F.lit("/"), F.lit(1)).isin(*allowed))
+
+
+def archives(rows: DataFrame) -> DataFrame:
+    """Members (archive, member, content) as one zip per archive: (archive, content). An archive is built in one task."""
+
+    def pack(p: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for r in p.sort_values("member", kind="stable").itertuples(index=False):
+                z.writestr(checked(r.member), bytes(r.content))
+        return pd.DataFrame({"archive": [p.archive.iloc[0]], "content": [out.getvalue()]})
+
+    return rows.select("archive", "member", "content").groupBy("archive").applyInPandas(pack, "archive string, content binary")

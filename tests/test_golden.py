@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shutterloom.functions import names, providers, scalars, scores
 from shutterloom.operators import ranking, relational, review
-from shutterloom.sources import files, sinks, zips
+from shutterloom.sources import documents, files, sinks, zips
 
 
 def bucket_counts(spark, n, best=None):
@@ -106,7 +106,26 @@ def test_zip_members(spark, tmp_path):
         with pytest.raises(zips.UnsafeMember):
             zips.checked(bad)
     assert zips.checked("a\\b.jpg") == "a/b.jpg"
-    assert io.BytesIO(b"").read() == b""
+    packed = zips.archives(spark.createDataFrame([("z", "b/2", bytearray(b"two")), ("z", "a/1", bytearray(b"one"))], "archive string, member string, content binary")).first()
+    with zipfile.ZipFile(io.BytesIO(packed.content)) as z:
+        assert z.namelist() == ["a/1", "b/2"] and z.read("b/2") == b"two"
+
+
+def test_pages_through_an_injected_parser(spark):
+    files = spark.createDataFrame([("a.pdf", bytearray(b"one two|three")), ("b.pdf", bytearray(b"!"))], "path string, content binary")
+
+    def words():
+        def parse(content):
+            if content == b"!":
+                raise ValueError
+            return [[(k * 10, 5, k * 10 + 8, 9, w) for k, w in enumerate(page.split())] for page in content.decode().split("|")]
+
+        return parse
+
+    got = sorted((r.file, r.page, r.x0, r.text) for r in documents.page_words(files, words).collect())
+    assert got == [("a.pdf", 1, 0.0, "one"), ("a.pdf", 1, 10.0, "two"), ("a.pdf", 2, 0.0, "three")]
+    pages = documents.page_pictures(files, lambda: lambda content: [np.zeros((2, 3, 3), np.uint8)] * len(content), 4)
+    assert sorted((r.file, r.page) for r in pages.collect()) == [("a.pdf", 1), ("a.pdf", 2), ("a.pdf", 3), ("a.pdf", 4), ("b.pdf", 1)]
 
 
 def test_listing_and_sinks(spark, tmp_path):
