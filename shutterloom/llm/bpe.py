@@ -1,6 +1,6 @@
 """Byte-level BPE by corpus-level merge replay.
 
-A worker keeps the distinct words (matches of the splitting pattern) of the texts it has seen. The new words of a batch
+A task keeps the distinct words (matches of the splitting pattern) of the texts it has seen. The new words of a batch
 are laid out in one array of token ids; an inverted index leads from each adjacent pair that the vocabulary can merge
 to its positions, over all words. Merges are replayed in rank order from a heap of pairs; each application touches
 only the two neighbours of its position. Texts are then encoded by looking their words up. Nothing is shuffled.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .shared import text_or_empty, tuned
 
-#: Distinct words after which a worker starts a new memory; it keeps the previous one and takes over words met again.
+#: Distinct words after which a task starts a new memory; it keeps the previous one and takes over words met again.
 REMEMBERED = 100_000
 #: Characters of text whose new words are replayed together.
 PART = 2_000_000
@@ -59,6 +59,11 @@ class MergeReplay:
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.merges: dict[int, int] = {}
 
+    def forget(self) -> None:
+        """Give up all words and pairs; the vocabulary stays."""
+        for part in (self.memory, self.older, self.merges):
+            part.clear()
+
     def merged(self, pair: int) -> int:
         """The token that joins two tokens (left << WIDTH | right), or -1; looked up once per pair."""
         found = self.merges.get(pair)
@@ -233,7 +238,7 @@ _kept: dict[str, MergeReplay] = {}
 
 
 def replay_of(ranks: dict[bytes, int], pattern: str, key: str) -> MergeReplay:
-    """The worker's replay for this vocabulary, with the words that its earlier tasks have learned."""
+    """The worker's replay for this vocabulary, whose tables its tasks share."""
     if key not in _kept:
         _kept.clear()
         _kept[key] = MergeReplay(ranks, pattern)
@@ -264,6 +269,9 @@ def with_tokens(df: DataFrame, ranks: dict[bytes, int], pattern: str, finish: Ca
             got = [finish(ids, replay) for ids in replay.encode(batch.column(batch.num_columns - 1).to_pylist())]
             made = [pa.array(column, kind) for column, kind in zip(zip(*got, strict=True) if got else [()] * len(kinds), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names)
+        # The worker lives on; what comes next may need the memory.
+        replay.forget()
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, whole)
 
