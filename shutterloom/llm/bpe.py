@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from .shared import text_or_empty, tuned
 
 #: Distinct words after which a task starts a new memory; it keeps the previous one and takes over words met again.
-REMEMBERED = 100_000
+REMEMBERED = 150_000
 #: Characters of text whose new words are replayed together.
-PART = 2_000_000
+PART = 4_000_000
 #: Ids are below 2^WIDTH; GAP ends a word, GONE is the right half of a merged pair.
 WIDTH, GAP, GONE, NEVER = 24, -1, -2, 1 << 60
 #: The Unicode property White_Space, which \s stands for in the patterns of rank files.
