@@ -169,8 +169,12 @@ def j03(portraits, anchors):
     return out.select("id", "anchor", F.round("score", 5).alias("score"))
 
 
-@query_of("j25_top_similar", {"index": PORTRAITS, "queries": "SELECT vec_id AS query, embedding AS query_emb FROM embeddings WHERE vec_id % 50 = 0"}, "SELECT query, id, rank FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS rank FROM (SELECT q.query, p.id, list_cosine_similarity(list_transform(p.emb, lambda x: CAST(x AS DOUBLE)), list_transform(q.query_emb, lambda x: CAST(x AS DOUBLE))) AS s FROM {index} AS p, {queries} AS q) AS t) AS u WHERE rank <= 5")
+INDEX = "SELECT vec_id AS id, embedding AS emb FROM embeddings"
+
+
+@query_of("j25_top_similar", {"index": INDEX, "queries": "SELECT vec_id AS query, embedding AS query_emb FROM embeddings WHERE vec_id % 50 = 0"}, "SELECT query, id, rank FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS rank FROM (SELECT q.query, p.id, list_cosine_similarity(list_transform(p.emb, lambda x: CAST(x AS DOUBLE)), list_transform(q.query_emb, lambda x: CAST(x AS DOUBLE))) AS s FROM {index} AS p, {queries} AS q) AS t) AS u WHERE rank <= 5")
 def j25(index, queries):
+    """Every fiftieth vector against all rows, itself among them."""
     return J.top_similar(index, queries, 5).select("query", "id", "rank")
 
 
