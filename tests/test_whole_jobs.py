@@ -16,3 +16,10 @@ def test_top_similar_searches_all_rows(spark, sf):
     assert rows.count() == 5 * asked
     assert rows.where("rank = 1 and id = query").count() == asked
     assert rows.where("id % 10 = 0 and id <> query").count() > 0
+
+
+def test_collisions_are_numbered_over_all_events(spark, sf):
+    rows = QUERIES["s08_collisions"](spark, sf)
+    wanted = table(spark, sf, "events").where("event_id % 3 <> 2").count()
+    assert rows.count() == rows.select("flat").distinct().count() == wanted
+    assert rows.where(F.col("flat").rlike(r"_\d+_1\.")).count() > 0
