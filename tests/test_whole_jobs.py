@@ -23,3 +23,17 @@ def test_collisions_are_numbered_over_all_events(spark, sf):
     wanted = table(spark, sf, "events").where("event_id % 3 <> 2").count()
     assert rows.count() == rows.select("flat").distinct().count() == wanted
     assert rows.where(F.col("flat").rlike(r"_\d+_1\.")).count() > 0
+
+
+def grown(spark, sf, tmp_path, name, key):
+    """A folder with the table twice, the second time with ids far above."""
+    rows = table(spark, sf, name)
+    rows = rows.unionByName(rows.withColumn(key, F.col(key) + 1_000_000))
+    rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path), rows.count()
+
+
+def test_every_event_is_asked_about(spark, sf, tmp_path):
+    at, wanted = grown(spark, sf, tmp_path, "events", "event_id")
+    rows = QUERIES["m02_provider_calls"](spark, at)
+    assert rows.where("technical is not null").select("id").distinct().count() == rows.count() == wanted
