@@ -37,3 +37,9 @@ def test_every_event_is_asked_about(spark, sf, tmp_path):
     at, wanted = grown(spark, sf, tmp_path, "events", "event_id")
     rows = QUERIES["m02_provider_calls"](spark, at)
     assert rows.where("technical is not null").select("id").distinct().count() == rows.count() == wanted
+
+
+def test_every_part_has_its_picture(spark, sf, tmp_path):
+    at, wanted = grown(spark, sf, tmp_path, "part", "p_partkey")
+    rows = QUERIES["e07_pixel_features"](spark, at)
+    assert rows.where("failure is null and focus is not null").select("id").distinct().count() == rows.count() == wanted
