@@ -186,6 +186,17 @@ def x04(df):
     return pairs.select(c("a.id").alias("a"), c("b.id").alias("b"), F.round(vectors.cosine(c("a.emb"), c("b.emb")), 6).alias("cosine"))
 
 
+VECTORS = "SELECT vec_id AS id, label AS grp, embedding AS emb FROM embeddings"
+
+
+@query("x04_centroid_cosine", VECTORS, """SELECT s.id, round(list_cosine_similarity(list_transform(s.emb, lambda x: CAST(x AS DOUBLE)), m.mean), 6) AS cosine FROM {source} AS s JOIN
+ (SELECT grp, list(x ORDER BY dim) AS mean FROM (SELECT grp, dim, avg(CAST(x AS DOUBLE)) AS x FROM (SELECT grp, unnest(emb) AS x, generate_subscripts(emb, 1) AS dim FROM {source} AS a) AS b GROUP BY grp, dim) AS d GROUP BY grp) AS m ON m.grp = s.grp""")
+def x04_centroid(df):
+    """X04, X05 and A04 once per row: each vector against its group's centroid."""
+    rows = df.join(J.small(vectors.centroids(df, ["grp"])), "grp")
+    return rows.select("id", F.round(vectors.cosine(c("emb"), c("centroid")), 6).alias("cosine"))
+
+
 RULES = ((0.30, 4 * 3600, 40), (0.15, 3600, 10), (0.10, 1800, None))
 GAP_SQL = "abs(date_diff('microsecond', a.ts, b.ts)) / 1e6"
 

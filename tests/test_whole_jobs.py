@@ -43,3 +43,8 @@ def test_every_part_has_its_picture(spark, sf, tmp_path):
     at, wanted = grown(spark, sf, tmp_path, "part", "p_partkey")
     rows = QUERIES["e07_pixel_features"](spark, at)
     assert rows.where("failure is null and focus is not null").select("id").distinct().count() == rows.count() == wanted
+
+
+def test_cosine_is_given_for_every_vector(spark, sf):
+    rows = QUERIES["x04_centroid_cosine"](spark, sf)
+    assert rows.where("cosine is not null").select("id").distinct().count() == rows.count() == table(spark, sf, "embeddings").count()
