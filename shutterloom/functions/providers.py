@@ -5,12 +5,13 @@ The engine holds no image or language model. TableProvider answers from stored r
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scalars
@@ -29,32 +30,43 @@ class FunctionProvider:
         return self.answer
 
 
-def asked(rows: DataFrame, prompt: Column, provider: Provider, name: str = "answer", attempts: int = 1) -> DataFrame:
-    """`rows` with the provider's answer. Failures give null; each row is tried `attempts` times.
+def asked(rows: DataFrame, prompt: Column, provider: Provider, name: str = "answer", attempts: int = 1, usable: Callable[[str], bool] = lambda _: True) -> DataFrame:
+    """The call of M01 to M10, M12 to M15, H14, H15: `rows` with the provider's answer. Failures give null; each row is tried `attempts` times.
 
-    The call is not deterministic, so filters meant to spare calls must come before it in the plan.
+    What an answer or its lack means is in evaluation(), eye_judgement(), same_group() and card_reading(). A null prompt is not sent,
+    and an answer that is not `usable` is a failure. The call is not deterministic, so filters meant to spare calls must come before it in the plan.
     """
 
     def answers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         answer = provider.load()
 
-        def once(text: str) -> str | None:
+        def once(text: str | None) -> str | None:
+            if text is None:
+                return None
             for _ in range(attempts):
                 try:
                     got = answer(text)
                 except Exception:
                     got = None
-                if got is not None:
+                if got is not None and usable(got):
                     return got
             return None
 
         for batch in batches:
-            yield batch.map(once)
+            yield pd.Series([once(None if pd.isna(text) else text) for text in batch], index=batch.index, dtype=object)
 
     call = F.pandas_udf(answers, "string", F.PandasUDFType.SCALAR_ITER).asNondeterministic()
     return rows.withColumn(name, call(prompt))
 
 
+def holds_object(answer: str) -> bool:
+    """Whether there is a JSON object in an answer, also with text around it."""
+    try:
+        return isinstance(json.loads(answer[answer.index("{") : answer.rindex("}") + 1]), dict)
+    except ValueError:
+        return False
+
+
 def answered_from(rows: DataFrame, answers: DataFrame, key: str, name: str = "answer") -> DataFrame:
     """The table-backed provider: answers (key, answer) computed elsewhere, joined."""
     return rows.join(answers.select(key, F.col("answer").alias(name)).dropDuplicates([key]), key, "left")
@@ -81,6 +93,48 @@ def evaluation(answer: Column) -> Column:
     )
 
 
+#: Pixels of a face's shorter side under which M04, and M05, judge without a call.
+LEAST_FACE, LEAST_NOTEBOOK_FACE = 30, 40
+
+
+def eye_judgement(answer: Column, width: Column, height: Column, least: int = LEAST_FACE) -> Column:
+    """struct(has_clear_face, eyes_closed, confidence); a face under `least` pixels, or no answer, is false, false, low."""
+    e = scalars.json_fields(answer, "has_clear_face string, eyes_closed string, confidence string")
+    judged = F.coalesce((width >= least) & (height >= least), F.lit(False)) & e.isNotNull()
+    flag = lambda n: judged & scalars.as_boolean(e[n])
+    return F.struct(
+        flag("has_clear_face").alias("has_clear_face"), flag("eyes_closed").alias("eyes_closed"),
+        F.when(judged, F.coalesce(e["confidence"], F.lit("medium"))).otherwise("low").alias("confidence"),
+    )
+
+
+def judged_eyes(faces: DataFrame, request: Column, provider: Provider, least: int = LEAST_FACE, attempts: int = 1) -> DataFrame:
+    """M04, and M05 with LEAST_NOTEBOOK_FACE and two attempts: `faces` (width, height, ...) with `eyes`; those under `least` pixels are not sent."""
+    large = (F.col("width") >= least) & (F.col("height") >= least)
+    rows = asked(faces, F.when(large, request), provider, "_answer", attempts, holds_object)
+    return rows.withColumn("eyes", eye_judgement(F.col("_answer"), F.col("width"), F.col("height"), least)).drop("_answer")
+
+
+def same_group(answer: Column) -> Column:
+    """struct(same_group, confidence, adjusted); a split of low confidence counts as the same group, and so does no answer."""
+    e = scalars.json_fields(answer, "same_group string, confidence string")
+    said, sure = scalars.as_boolean(e["same_group"], True), F.lower(F.coalesce(e["confidence"], F.lit("low")))
+    weak = ~said & (sure == "low")
+    return F.struct(
+        F.when(e.isNull(), True).otherwise(said | weak).alias("same_group"), F.when(e.isNull(), "low").otherwise(sure).alias("confidence"), F.when(e.isNull(), True).otherwise(weak).alias("adjusted"),
+    )
+
+
+def adjacent_groups(photos: DataFrame, folder: str, position: str, photo: str, request: Callable[[Column, Column], Column], provider: Provider) -> DataFrame:
+    """`photos` with `boundary`, the decision on the photo before in its folder (null for the first), and `group`, counted from 0."""
+    order = Window.partitionBy(folder).orderBy(position)
+    rows = photos.withColumn("_first", F.row_number().over(order) == 1).withColumn("_before", F.lag(photo).over(order))
+    rows = asked(rows, F.when(~F.col("_first"), request(F.col("_before"), F.col(photo))), provider, "_answer")
+    rows = rows.withColumn("boundary", F.when(~F.col("_first"), same_group(F.col("_answer"))))
+    splits = F.sum(F.when(F.col("boundary.same_group"), 0).when(F.col("_first"), 0).otherwise(1))
+    return rows.withColumn("group", splits.over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_first", "_before", "_answer")
+
+
 def card_reading(answer: Column, grade: Column) -> Column:
     """struct(accepted, class_id, student_number, reason) of a card reader's answer."""
     a = scalars.json_object(answer, "has_card string, label string, confidence double", "label")

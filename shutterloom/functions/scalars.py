@@ -424,6 +424,13 @@ def json_object(text: Column, schema: str, required: str) -> Column:
     return F.when(whole[required].isNotNull(), whole).when(inner[required].isNotNull(), inner)
 
 
+def json_fields(text: Column, schema: str) -> Column:
+    """As json_object() without a required field: null only if there is no object."""
+    fields, inner = F.from_json(text, schema), F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    whole = F.get_json_object(text, "$").startswith("{")
+    return F.when(whole, fields).when(F.get_json_object(inner, "$").isNotNull(), F.from_json(inner, schema))
+
+
 def class_id_of(text: Column) -> Column:
     """Grade and class from a sheet's title, such as 3-1 or the year-and-class form; null if there is none."""
     own = narrow(text)

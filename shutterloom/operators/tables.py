@@ -128,7 +128,7 @@ def rounded_points(landmarks: Column, first: int, last: int) -> Column:
 
 
 def pages_by_way(rows_per_page: DataFrame, least: int = 8) -> DataFrame:
-    """Pages with at least `least` text rows go the text way, others the picture way."""
+    """The choice of M11 by page: pages with at least `least` text rows go the text way, others the picture way."""
     return rows_per_page.groupBy("file", "page").agg(F.count("row").alias("n")).withColumn("way", F.when(F.col("n") >= least, "text").otherwise("picture"))
 
 

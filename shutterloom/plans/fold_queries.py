@@ -332,6 +332,48 @@ def m02(df):
     return rows.select("id", X.json_object(c("answer"), "technical double", "technical")["technical"].alias("technical"))
 
 
+FACES = "SELECT event_id AS id, CAST(20 + event_id % 50 AS INT) AS width, CAST(25 + event_id % 40 AS INT) AS height FROM events"
+EYES_SQL = "SELECT id, least(width, height) >= {least} AND id % 7 <> 0 AS clear, least(width, height) >= {least} AND id % 7 <> 0 AND id % 3 = 0 AS closed, CASE WHEN least(width, height) < {least} OR id % 7 = 0 THEN 'low' WHEN id % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence FROM {source} AS s"
+
+
+def _eyes(text: str) -> str | None:
+    n = int(text)
+    if n % 7 == 0:
+        raise ValueError(text)
+    return '{"has_clear_face": true, "eyes_closed": %s%s}' % ("true" if n % 3 == 0 else "false", ', "confidence": "high"' if n % 2 == 0 else "")
+
+
+@query("m04_eye_judgements", FACES, EYES_SQL.replace("{least}", "30"))
+def m04(df):
+    rows = providers.judged_eyes(df, c("id").cast("string"), providers.FunctionProvider(_eyes))
+    return rows.select("id", c("eyes.has_clear_face").alias("clear"), c("eyes.eyes_closed").alias("closed"), c("eyes.confidence").alias("confidence"))
+
+
+@query("m05_notebook_eyes", FACES, EYES_SQL.replace("{least}", "40"))
+def m05(df):
+    rows = providers.judged_eyes(df, c("id").cast("string"), providers.FunctionProvider(_eyes), providers.LEAST_NOTEBOOK_FACE, 2)
+    return rows.select("id", c("eyes.has_clear_face").alias("clear"), c("eyes.eyes_closed").alias("closed"), c("eyes.confidence").alias("confidence"))
+
+
+def _boundary(text: str) -> str | None:
+    n = int(text.split()[1])
+    if n % 5 == 0:
+        raise ValueError(text)
+    return '{"same_group": %s, "confidence": "%s"}' % ("false" if n % 3 == 0 else "true", "Low" if n % 2 == 0 else "high")
+
+
+@query("m06_adjacent_groups", "SELECT user_id AS usr, event_id AS id FROM events", "SELECT id, CAST(sum(CASE WHEN n > 1 AND id % 5 <> 0 AND id % 3 = 0 AND id % 2 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY usr ORDER BY id) AS INT) AS grp FROM (SELECT *, row_number() OVER (PARTITION BY usr ORDER BY id) AS n FROM {source} AS a) AS t")
+def m06(df):
+    rows = providers.adjacent_groups(df, "usr", "id", "id", lambda a, b: F.concat_ws(" ", a, b), providers.FunctionProvider(_boundary))
+    return rows.select("id", c("group").alias("grp"))
+
+
+@query_of("m11_extracted_staff", {"rows": "SELECT concat('f', CAST(s_nationkey AS STRING)) AS file, 1 AS page, s_suppkey AS row FROM supplier WHERE s_nationkey % 2 = 0", "records": STAFF.replace("concat('f', CAST(s_suppkey % 3 AS STRING)) AS file", "concat('f', CAST(s_nationkey AS STRING)) AS file")})
+def m11_staff(rows, records):
+    """Files of even nations have text rows, and the records of the picture way carry a note."""
+    return staff.extracted_staff(rows, _records(records), _records(records).withColumn("notes", F.lit("picture")))
+
+
 @query("e07_pixel_features", "SELECT p_partkey AS id, 12 AS height, 12 AS width, p_size AS k FROM part")
 def e07(df):
     """E01 to E05, E07 and E13 over small synthetic pictures."""

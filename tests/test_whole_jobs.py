@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from shutterloom.functions import providers
+from shutterloom.operators import staff
 from shutterloom.plans import fold_queries, ranking_queries, relational_queries, scalar_queries, table_queries  # noqa: F401
 from shutterloom.plans.registry import QUERIES
 
@@ -48,3 +50,60 @@ def test_every_part_has_its_picture(spark, sf, tmp_path):
 def test_cosine_is_given_for_every_vector(spark, sf):
     rows = QUERIES["x04_centroid_cosine"](spark, sf)
     assert rows.where("cosine is not null").select("id").distinct().count() == rows.count() == table(spark, sf, "embeddings").count()
+
+
+def test_tiny_faces_are_not_sent_and_failures_are_low(spark):
+    faces = spark.createDataFrame([("tiny", 29, 90), ("small", 35, 39), ("bad", 90, 90), ("good", 40, 40), ("empty", 50, 50)], "id string, width int, height int")
+
+    def answer(text):
+        if text in ("tiny", "bad"):
+            raise ValueError(text)
+        return "{}" if text == "empty" else '```json\n{"has_clear_face": true, "eyes_closed": true}\n```'
+
+    for least, small in ((providers.LEAST_FACE, (True, True, "medium")), (providers.LEAST_NOTEBOOK_FACE, (False, False, "low"))):
+        rows = providers.judged_eyes(faces, F.col("id"), providers.FunctionProvider(answer), least)
+        got = {r.id: tuple(r.eyes) for r in rows.collect()}
+        assert got == {"tiny": (False, False, "low"), "small": small, "bad": (False, False, "low"), "good": (True, True, "medium"), "empty": (False, False, "medium")}
+
+
+def test_tiny_faces_reach_no_provider(spark, tmp_path):
+    def answer(text):
+        (tmp_path / text).touch()
+        return "{}"
+
+    faces = spark.createDataFrame([("tiny", 29, 90), ("large", 90, 90)], "id string, width int, height int")
+    providers.judged_eyes(faces, F.col("id"), providers.FunctionProvider(answer)).collect()
+    assert [p.name for p in tmp_path.iterdir()] == ["large"]
+
+
+def test_only_a_sure_split_parts_neighbours(spark):
+    said = {"b": '{"same_group": false, "confidence": "Low"}', "c": None, "d": '{"same_group": false, "confidence": "high"}', "e": "{}", "f": '{"same_group": false}', "g": '{"same_group": true, "confidence": "high"}'}
+    photos = spark.createDataFrame([("x", k, p) for k, p in enumerate("abcdefg")] + [("y", 0, "d")], "folder string, pos int, photo string")
+    rows = providers.adjacent_groups(photos, "folder", "pos", "photo", lambda a, b: F.concat_ws(">", a, b), providers.FunctionProvider(lambda text: said[text[-1]]))
+    got = {(r.folder, r.photo): (r.group, r.boundary and tuple(r.boundary)) for r in rows.collect()}
+    assert got == {
+        ("x", "a"): (0, None), ("x", "b"): (0, (True, "low", True)), ("x", "c"): (0, (True, "low", True)), ("x", "d"): (1, (False, "high", False)),
+        ("x", "e"): (1, (True, "low", False)), ("x", "f"): (1, (True, "low", True)), ("x", "g"): (1, (True, "high", False)), ("y", "d"): (0, None),
+    }
+
+
+def test_staff_comes_by_text_or_by_picture_and_is_flat(spark):
+    kind = "pos long, teacher_name string, surname string, given_name string, role_tags array<string>, subjects array<string>, classes_or_grades array<string>, confidence double, source_type string, notes string, file string, page int"
+
+    def records(way):
+        return spark.createDataFrame([(k, f"{way} person {f}", "", "", ["教頭"], ["数学"], ["3"], 0.9, "roster", "", f, 1) for k, f in enumerate(("long", "short", "none"))], kind)
+
+    rows = spark.createDataFrame([("long", k % 3, k) for k in range(8)] + [("short", 1, k) for k in range(7)], "file string, page int, row int")
+    got = {r.file: (r.name, r.subject, r.role) for r in staff.extracted_staff(rows, records("text"), records("picture")).collect()}
+    assert got == {f: (f"{way} person {f}", "数学", "教頭") for f, way in (("long", "text"), ("short", "picture"), ("none", "picture"))}
+
+
+def test_an_unreadable_judgement_is_asked_for_again(spark, tmp_path):
+    def answer(text):
+        again = (tmp_path / text).exists()
+        (tmp_path / text).touch()
+        return '{"has_clear_face": true}' if again else "sorry {"
+
+    faces = spark.createDataFrame([("one", 90, 90)], "id string, width int, height int")
+    rows = providers.judged_eyes(faces, F.col("id"), providers.FunctionProvider(answer), providers.LEAST_NOTEBOOK_FACE, 2)
+    assert tuple(rows.first().eyes) == (True, False, "medium")
