@@ -94,7 +94,9 @@ def w10(separators):
 
 
 GUIDES = "SELECT p_brand AS page, p_partkey AS guide, p_retailprice / 10 AS y FROM part"
-FRAMES = "SELECT p_brand AS page, p_partkey AS frame, p_retailprice / 10 + 3.3 AS top, p_retailprice / 10 + 3.3 + p_size AS bottom FROM part WHERE p_partkey % 5 = 0"
+ALL_FRAMES = "SELECT p_brand AS page, p_partkey AS frame, p_retailprice / 10 + 3.3 AS top, p_retailprice / 10 + 3.3 + p_size AS bottom FROM part"
+#: A share of them, to stand among guides.
+FRAMES = f"{ALL_FRAMES} WHERE p_partkey % 5 = 0"
 
 
 @query_of("j12_guides_in_frames", {"guides": GUIDES, "frames": FRAMES}, "SELECT frame, count(*) AS n, round(min(y - top), 4) AS first_guide, round(max(y - top), 4) AS last_guide FROM {guides} AS g JOIN {frames} AS f ON g.page = f.page AND y > top + 0.5 AND y < bottom - 0.5 GROUP BY frame")
@@ -319,7 +321,7 @@ def o01(df):
     return ranking.numbered(df, ["usr"], [F.col("ts").asc_nulls_first(), "name", "id"], "place").select("id", "place")
 
 
-@query("o12_largest", FRAMES, "SELECT page, arg_max(frame, bottom - top) AS frame FROM (SELECT * FROM {source} AS a ORDER BY frame) AS s WHERE (page, bottom - top) IN (SELECT page, max(bottom - top) FROM {source} AS b GROUP BY page) AND frame = (SELECT min(frame) FROM {source} AS d WHERE d.page = s.page AND d.bottom - d.top = s.bottom - s.top) GROUP BY page")
+@query("o12_largest", ALL_FRAMES, "SELECT page, arg_max(frame, bottom - top) AS frame FROM (SELECT * FROM {source} AS a ORDER BY frame) AS s WHERE (page, bottom - top) IN (SELECT page, max(bottom - top) FROM {source} AS b GROUP BY page) AND frame = (SELECT min(frame) FROM {source} AS d WHERE d.page = s.page AND d.bottom - d.top = s.bottom - s.top) GROUP BY page")
 def o12(df):
     return df.groupBy("page").agg(F.max_by("frame", F.struct(c("bottom") - c("top"), -c("frame"))).alias("frame"))
 

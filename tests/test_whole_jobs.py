@@ -107,3 +107,18 @@ def test_an_unreadable_judgement_is_asked_for_again(spark, tmp_path):
     faces = spark.createDataFrame([("one", 90, 90)], "id string, width int, height int")
     rows = providers.judged_eyes(faces, F.col("id"), providers.FunctionProvider(answer), providers.LEAST_NOTEBOOK_FACE, 2)
     assert tuple(rows.first().eyes) == (True, False, "medium")
+
+
+def test_every_part_is_a_frame_in_reading_order(spark, sf):
+    assert QUERIES["o10_reading_order"](spark, sf).select("frame").distinct().count() == table(spark, sf, "part").count()
+
+
+def test_the_largest_frame_is_that_of_all_parts(spark, sf):
+    sizes = table(spark, sf, "part").groupBy("p_brand").agg(F.max("p_size").alias("most"))
+    found = QUERIES["o12_largest"](spark, sf).join(table(spark, sf, "part"), F.col("frame") == F.col("p_partkey"))
+    assert found.join(sizes, F.col("page") == sizes["p_brand"]).where("p_size = most").count() == sizes.count()
+
+
+def test_every_line_is_a_word_on_its_page(spark, sf):
+    words = QUERIES["c06_page_rows"](spark, sf).select(F.explode(F.split("text", " ")).alias("word"))
+    assert words.where("word like 'w%'").count() >= 0.99 * table(spark, sf, "lineitem").count()
