@@ -80,19 +80,27 @@ class _Conversation:
                 before = []
             room = self.budget - sum(t[2] for t in lead)
             kept, spent = [], 0
-            for t in reversed(before[-64:]):
+            for t in reversed(before):
                 if t is self.system or spent + t[2] > self.history or spent + t[2] + self.turns[at][2] > room:
                     break
-                kept.insert(0, t)
+                kept.append(t)
                 spent += t[2]
             end = max(int(np.searchsorted(total, total[at] + room - spent, "right")) - 1, at + 1)
             if end >= n and not last and at > 0:
                 break
-            yield self.window(lead + kept, self.turns[at:end])
+            yield self.window(lead + kept[::-1], self.turns[at:end])
             at = end
-        self.past = (self.past + self.turns[:at])[-64:]
+        self.past = self.tail(self.past + self.turns[:at])
         self.turns = self.turns[at:]
 
+    def tail(self, before: list[tuple]) -> list[tuple]:
+        """The last turns whose tokens fit the history; no window repeats earlier ones."""
+        k, spent = len(before), 0
+        while k and spent + before[k - 1][2] <= self.history:
+            k -= 1
+            spent += before[k][2]
+        return before[k:]
+
     def window(self, repeated: list[tuple], new: list[tuple]) -> tuple:
         parts, spans, size = [], [], 0
         for k, (role, text, _) in enumerate(repeated + new):
