@@ -22,16 +22,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import mixed, shingle_sets, word_chunks
 from .components import components
-from .shared import Tables, text_or_empty, tuned
+from .shared import Tables, text_or_empty, thrifty, tuned
 
 _U = np.uint64
-#: Bits of a compact sketch at least; it has the power of two from twice the set's size on.
-SKETCH_BITS = 512
+#: Bits of a compact sketch at least and at most; between, it has the power of two from twice the set's size on.
+SKETCH_BITS, MOST_BITS = 512, 1 << 17
 #: Ratio of the bounds of neighbouring size bands.
 BAND_RATIO = 1.3
 #: Documents of one key that are compared in one task at once.
@@ -40,6 +40,8 @@ BLOCK = 1024
 SENT_PAIRS = 250_000
 #: Members of one hub that are verified in one task, about.
 MEMBERS = 2000
+#: Distinct sets that a task remembers to fold copies by.
+REMEMBERED = 200_000
 
 
 @lru_cache(1 << 16)
@@ -81,7 +83,7 @@ def block_keys(own: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def sketch(own: np.ndarray) -> bytes:
     """The compact parity sketch, one bit toggled by every shingle."""
-    size = max(SKETCH_BITS, 1 << (2 * len(own) - 1).bit_length())
+    size = min(max(SKETCH_BITS, 1 << (2 * len(own) - 1).bit_length()), MOST_BITS)
     odd = np.bincount((mixed(own + _U(77)) & _U(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -120,6 +122,8 @@ def _prepare(q: int, num: int, den: int):
                     sizes.append(len(own))
                     rep, new = ids[i], False
                     if rep is not None and len(own):
+                        if len(first) >= REMEMBERED:
+                            first.clear()
                         digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                         rep = first.setdefault(digest, rep)
                         new = rep == ids[i]
@@ -210,7 +214,7 @@ def _residual(num: int, den: int):
                 for k in j[apart * (den + num) <= (den - num) * (n[j] + n[i])]:
                     pair = (min(doc[i], doc[k]), max(doc[i], doc[k]))
                     if pair not in sent:
-                        if len(sent) > 200_000:
+                        if len(sent) > REMEMBERED:
                             sent.clear()
                         sent.add(pair)
                         yield pair
@@ -243,26 +247,31 @@ def parity_join(docs: DataFrame, tables: Tables, q: int = 5, num: int = 4, den:
     Two documents link when den * |intersection| >= num * |union| of their sets of q-word shingles. component_id is
     the smallest doc_id reachable by links. A null or wordless text has an empty set and links with nothing. A row
     without doc_id gets its set size and a null component. Rows that repeat a doc_id count as one node of the link
-    graph: it has the links of each of its texts. An empty table gives an empty table.
+    graph: it has the links of each of its texts. Very long texts are read whole; their compact sketches stop growing,
+    so that more of their pairs are verified. doc_id must be of an integer type. An empty table gives an empty table.
     """
+    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("doc_id must be of an integer type")
     spark = tuned(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    ready = tables.put(texts.mapInArrow(_prepare(q, num, den), _PREPARED), "prepared")
+    ready = tables.put(texts.mapInArrow(thrifty(_prepare(q, num, den)), _PREPARED), "prepared")
 
     keys = ready.where("keys is not null").select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
-    whole = Window.partitionBy("key")
-    shared = keys.select("key", "doc", F.min("doc").over(whole).alias("hub"), F.max("doc").over(whole).alias("top"))
-    shared = tables.put(shared.where("hub <> top").select("key", "doc", "hub"), "shared-keys")
+    # A key that very many documents share is one row per task here, and the join may split its rows.
+    hubs = keys.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("top")).where("hub <> top").select("key", "hub")
+    hubs = tables.put(hubs, "hubs")
+    shared = tables.put(keys.join(hubs, "key").select("key", "doc", "hub"), "shared-keys")
 
     # The keys are most of what was written, and have served.
     written, ready = ready, tables.put(ready.drop("keys"), "sets")
-    tables.drop(written)
+    for done in (written, hubs):
+        tables.drop(done)
 
     sizes = ready.where("sketch is not null").select(F.col("doc_id").alias("doc"), "n_shingles", "sketch")
     to_hub = shared.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     for side in ("a", "b"):
         to_hub = to_hub.join(sizes.select(F.col("doc").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
-    to_hub = to_hub.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_plausible(num, den), "a long, b long").distinct()
+    to_hub = to_hub.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(thrifty(_plausible(num, den)), "a long, b long").distinct()
     links = tables.put(verified(texts, to_hub, tables, q, num, den), "hub-links")
     comps = components(links, tables)
 
@@ -271,7 +280,7 @@ def parity_join(docs: DataFrame, tables: Tables, q: int = 5, num: int = 4, den:
     rest = rest.select("key", "doc", F.coalesce("component", "doc").alias("comp"))
     open_keys = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"))
     open_keys = open_keys.where("x <> y").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
-    rest = rest.join(open_keys, "key")
+    rest = rest.join(tables.put(open_keys, "open-keys"), "key")
     own = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     rest = rest.select("*", own.alias("own")).select("*", other).select(
@@ -280,7 +289,7 @@ def parity_join(docs: DataFrame, tables: Tables, q: int = 5, num: int = 4, den:
     )
     rest = rest.join(sizes, "doc").select("key", "part", "side", "doc", "comp", "n_shingles", "sketch")
     rest = rest.repartition("key", "part").sortWithinPartitions("key", "part")
-    more = rest.mapInArrow(_residual(num, den), "a long, b long").distinct()
+    more = rest.mapInArrow(thrifty(_residual(num, den)), "a long, b long").distinct()
     more = tables.put(verified(texts, tables.put(more, "residual"), tables, q, num, den), "more-links")
 
     folded = ready.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
@@ -303,4 +312,4 @@ def verified(texts: DataFrame, pairs: DataFrame, tables: Tables, q: int, num: in
     rows = texts.join(wanted, "doc_id").repartition("a", "part")
     rows = rows.select("a", "part", "doc_id", "text", (F.col("a") != F.col("doc_id")).alias("member"))
     rows = rows.sortWithinPartitions("a", "part", "member").select("a", "doc_id", "text")
-    return rows.mapInArrow(_verify(q, num, den), "a long, b long").distinct()
+    return rows.mapInArrow(thrifty(_verify(q, num, den)), "a long, b long").distinct()

@@ -1,13 +1,16 @@
 """Repeated passages by sparse suffix arrays.
 
 Of all suffixes of the corpus (a suffix starts at a word) only those at minimiser positions are kept: in every run of
-`window` places the one whose next `k` words hash lowest. Two occurrences of a passage of `least` = window + k - 1 or
-more words keep suffixes at the same places of it. The kept suffixes are sorted by their first k words and each is
-compared with its neighbours in that order. Where a neighbour is equal, the match is extended left and right over the
-document's words: every passage of `least` words for which the suffix is the minimiser is compared exactly (by 64-bit
-hash) with all others, again by sorting and looking at neighbours, and passages that overlap grow into one span.
+`window` places the one whose next `prefix` words hash lowest. Two occurrences of a passage of `least` = window +
+prefix - 1 or more words keep suffixes at the same places of it. Kept suffixes whose beginning no other has go first.
 
-So the expensive comparison runs around repeated suffixes only, and a passage is found whatever document it is in.
+Each of the others gets the words to its left and right that a passage anchored at it can reach. Suffixes are sorted
+by their beginnings and compared with their neighbours; a match is extended left and right, so that each passage of
+`least` words around the suffix is known to be repeated or not. Hashes only bring candidates beside each other: a
+passage counts as repeated when all its words are equal, word for word. Passages that overlap grow into one span.
+
+A beginning that very many suffixes share is dealt by whole passages instead, so its rows are spread over tasks, and a
+task sends equal surroundings twice at most: further copies are known to be repeated where they are found.
 """
 
 from __future__ import annotations
@@ -17,14 +20,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import _PLACE, _U, grams, mixed, word_chunks
-from .shared import Tables, text_or_empty, tuned
+from .bytewords import _BLANK, _LOWER, _PLACE, _U, Words, grams, mixed, word_chunks
+from .shared import Tables, free_names, one_row_each, sent_if_small, text_mark, text_or_empty, thrifty, tuned
 
 #: Words of the start of a suffix by which suffixes are sorted.
 PREFIX = 25
+#: Suffixes with one beginning that are compared in one task; beyond, their passages are dealt one by one.
+MANY = 10_000
+#: Bytes of surroundings that are compared at once, and that a task remembers to know copies by.
+COMPARED, REMEMBERED = 4 << 20, 16 << 20
 
 
 def _window_minima(x: np.ndarray, w: int) -> np.ndarray:
@@ -62,39 +69,18 @@ def long_grams(hashes: np.ndarray, q: int) -> np.ndarray:
     return mixed(part[:n] * _PLACE[0] + rest * _PLACE[1] + (part[half : half + n] * _PLACE[2] if q - half > half else _U(0)) + _U(q))
 
 
-_ROWS = "key long, doc long, place int"
-
-
-def _folded(keys: list[np.ndarray], rows: list[np.ndarray], places: list[np.ndarray], ids: np.ndarray) -> pa.RecordBatch:
-    """Rows (key, doc, 4 * place + kind) of one batch, in which only the first of equal keys keeps its key.
-
-    kind: 0 alone in its batch, 1 the first of several, 2 a later one. The last get keys of their own, because nothing
-    more has to be learned about them; so a passage that very many documents share meets once per batch.
-    """
-    key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    doc = ids[np.concatenate(rows)] if rows else np.zeros(0, np.int64)
-    place = np.concatenate(places).astype(np.int32) if places else np.zeros(0, np.int32)
-    order = np.lexsort((place, doc, key))
-    key, doc, place = key[order], doc[order], place[order]
-    kind = np.zeros(len(key), np.int32)
-    if len(key) > 1:
-        same = key[1:] == key[:-1]
-        kind[:-1][same] = 1
-        kind[1:][same] = 2
-        later = kind == 2
-        key[later] = mixed(doc[later].view(np.uint64) * _PLACE[3] + place[later].astype(np.uint64) * _PLACE[4])
-        # In the order of documents, so that shuffle files compress.
-        order = np.lexsort((place, doc))
-        key, doc, place, kind = key[order], doc[order], place[order], kind[order]
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(place * 4 + kind)], ["key", "doc", "place"])
+_KEPT = "key long, doc long, mark long, place int"
 
 
 def _kept_suffixes(k: int, window: int):
+    """The kept suffixes of each text, with the hash of their first k words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows, places = [], [], []
-            for words in word_chunks(batch.column(1)):
+            docs, marks = (np.asarray(batch.column(c)) for c in (0, 1))
+            for words in word_chunks(batch.column(2)):
                 every = long_grams(words.hashes, k)
+                keys, rows, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for i in range(len(words)):
                     a, b = words.bounds[i], words.bounds[i + 1]
                     if b - a >= k + window - 1:
@@ -103,82 +89,261 @@ def _kept_suffixes(k: int, window: int):
                         keys.append(own[at])
                         places.append(at)
                         rows.append(np.full(len(at), words.first + i))
-            yield _folded(keys, rows, places, np.asarray(batch.column(0)))
+                rows = np.concatenate(rows)
+                columns = [np.concatenate(keys).view(np.int64), docs[rows], marks[rows], np.concatenate(places).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc", "mark", "place"])
 
     return run
 
 
-def _passages(k: int, window: int):
-    """Hashes of all passages of k + window - 1 words whose minimiser is a repeated suffix."""
+def _spelled(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a chunk, lower-cased, each with one blank behind it: where they start (and the end), and the bytes."""
+    sizes = words.ends - words.starts
+    starts = np.concatenate(([0], np.cumsum(sizes + 1)))
+    out = np.full(int(starts[-1]), 0x20, np.uint8)
+    out[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = _LOWER[words.data[~_BLANK[words.data]]]
+    return starts, out
+
+
+_AROUND = "deal long, doc long, mark long, place int, passages int, words binary"
+
+
+class _Sent:
+    """Surroundings that a task has sent, by their words, up to a bound of bytes."""
+
+    def __init__(self):
+        self.seen: dict[tuple[bytes, int], list] = {}
+        self.size = 0
+
+    def verdict(self, words: bytes, passages: int, at: tuple) -> str:
+        """send: the first two of their kind; repeat: the same place again; known: sent twice from places before `at`."""
+        found = self.seen.get((words, passages))
+        if found is None:
+            if self.size > REMEMBERED:
+                self.seen.clear()
+                self.size = 0
+            self.seen[words, passages] = [at]
+            self.size += len(words) + 200
+            return "send"
+        if at in found:
+            return "repeat"
+        if len(found) < 2:
+            found.append(at)
+            return "send"
+        if at > min(found):
+            return "known"
+        found[:] = [at, min(found)]
+        return "send"
+
+
+def _surroundings(k: int, window: int):
+    """For each suffix at hand the passages anchored at it: the place of the first, their number, and all their words.
+
+    `places` holds 2 * place + 1 where the beginning is shared by very many, else 2 * place.
+    """
     least = k + window - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = _Sent()
         for batch in batches:
-            repeated = batch.column(2)
-            keys, rows, places = [], [], []
-            for words in word_chunks(batch.column(1)):
+            docs, marks = (batch.column(c).to_pylist() for c in (0, 1))
+            for words in word_chunks(batch.column(2)):
+                starts, data = _spelled(words)
                 short, full = long_grams(words.hashes, k), long_grams(words.hashes, least)
+                out: list[tuple] = []
+
+                def add(row: int, a: int, x: int, n: int, deal: np.uint64, data=data, starts=starts, out=out) -> None:
+                    held = data[starts[a + x] : starts[a + x + n - 1 + least]].tobytes()
+                    at = (docs[row], marks[row], x)
+                    verdict = sent.verdict(held, n, at)
+                    if verdict != "repeat":
+                        out.append((int(deal.view(np.int64)), *at, n, held if verdict == "send" else None))
+
                 for i in range(len(words)):
-                    a, b = words.bounds[i], words.bounds[i + 1]
+                    a, b, row = int(words.bounds[i]), int(words.bounds[i + 1]), words.first + i
                     if b - a < least:
                         continue
-                    # A passage goes with its own minimiser only: another suffix inside it may be kept for words beyond it.
-                    marks = np.frombuffer(repeated[words.first + i].as_buffer(), np.int32)
-                    marked = np.zeros(b - a - k + 1, bool)
-                    marked[marks[marks < len(marked)]] = True
-                    least_of = sliding_window_view(short[a : b - k + 1], window).argmin(1)
-                    at = np.flatnonzero(marked[least_of + np.arange(len(least_of))])
-                    keys.append(full[a:][at])
-                    places.append(at)
-                    rows.append(np.full(len(at), words.first + i))
-            yield _folded(keys, rows, places, np.asarray(batch.column(0)))
+                    at = np.unique(np.frombuffer(batch.column(3)[row].as_buffer(), np.int32))
+                    own = short[a : b - k + 1]
+                    anchor = sliding_window_view(own, window).argmin(1) + np.arange(len(own) - window + 1)
+                    low, high = np.searchsorted(anchor, at >> 1, "left").tolist(), np.searchsorted(anchor, at >> 1, "right").tolist()
+                    for place, x, y in zip(at.tolist(), low, high, strict=True):
+                        if place & 1:
+                            for z in range(x, y):
+                                add(row, a, z, 1, full[a + z])
+                        elif x < y:
+                            add(row, a, x, y - x, own[place >> 1])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                columns = list(zip(*out, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["deal", "doc", "mark", "place", "passages", "words"])
 
     return run
 
 
-def _joined_places(places: DataFrame, name: str) -> DataFrame:
-    """(doc, name): a document's places, ascending, as packed 32-bit integers; bounded by its length."""
-    rows = places.groupBy("doc").agg(F.collect_list("place").alias("all"))
+def passage_hashes(ids: np.ndarray, least: int) -> np.ndarray:
+    """Brings equal passages beside each other; need not be unique."""
+    return long_grams(mixed(ids.astype(np.uint64) + _U(1)), least)
+
+
+def _classes(ids: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): the passages that start at `at` in an order in which equal ones are neighbours and ties stay in
+    place, and whether each differs from the one before it, compared word by word."""
+    hashes = passage_hashes(ids, least)[at]
+    order = np.argsort(hashes, kind="stable")
+    h, place = hashes[order], at[order]
+    near = np.flatnonzero(h[1:] == h[:-1])
+    equal = np.ones(len(near), bool)
+    for j in range(least):
+        equal &= ids[place[near] + j] == ids[place[near + 1] + j]
+    new = np.ones(len(order), bool)
+    new[near + 1] = ~equal
+    # Runs of one hash that hold different words are sorted by the words themselves.
+    run = np.concatenate(([0], np.cumsum(h[1:] != h[:-1])))
+    for r in np.unique(run[near[~equal] + 1]).tolist():
+        a, b = np.searchsorted(run, (r, r + 1)).tolist()
+        groups: dict[bytes, list[int]] = {}
+        for p in range(a, b):
+            groups.setdefault(ids[place[p] : place[p] + least].tobytes(), []).append(p)
+        order[a:b] = order[[p for g in groups.values() for p in g]]
+        new[a:b] = [p == g[0] for g in groups.values() for p in g]
+    return order, new
+
+
+def _compared_rows(rows: pa.RecordBatch, least: int) -> pa.RecordBatch:
+    """(doc, mark, place, later, first) of surroundings, all of their beginnings: bit j of `later` is set if the passage
+    at place + j repeats one that comes before it, bit j of `first` if it is repeated and comes first."""
+    docs, marks, places, counts = (np.asarray(rows.column(c)).astype(np.int64) for c in (1, 2, 3, 4))
+    known = np.asarray(rows.column(5).is_null())
+    later = np.where(known, (np.int64(1) << counts) - 1, 0)
+    first = np.zeros(len(rows), np.int64)
+    at = np.flatnonzero(~known)
+    if len(at):
+        column = rows.column(5).take(pa.array(at))
+        _, offsets, data = column.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[: len(at) + 1]
+        data = np.frombuffer(data, np.uint8)[: offsets[-1]]
+        ends = (np.flatnonzero(data == 0x20) + 1).astype(np.int32)
+        spelled = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate((np.zeros(1, np.int32), ends))), pa.py_buffer(data)])
+        ids = np.asarray(spelled.dictionary_encode().indices).astype(np.int32)
+        begin = np.searchsorted(ends, offsets[:-1], "right")
+        n = counts[at]
+        row = np.repeat(np.arange(len(at)), n)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        order, new = _classes(ids, begin[row] + step, least)
+        row, step = row[order], step[order]
+        own = (docs[at[row]], marks[at[row]], places[at[row]] + step)
+        moved = np.ones(len(row), bool)
+        moved[1:] = (own[0][1:] != own[0][:-1]) | (own[1][1:] != own[1][:-1]) | (own[2][1:] != own[2][:-1])
+        nth = np.cumsum(moved)
+        starts = np.flatnonzero(new)
+        size = np.diff(np.append(starts, len(row)))
+        nth -= np.repeat(nth[starts], size)
+        several = np.repeat(np.maximum.reduceat(nth, starts) > 0, size)
+        bit = np.int64(1) << step
+        np.bitwise_or.at(later, at[row], np.where(nth > 0, bit, 0))
+        np.bitwise_or.at(first, at[row], np.where(several & (nth == 0), bit, 0))
+    some = np.flatnonzero((later | first) != 0)
+    columns = [docs[some], marks[some], places[some].astype(np.int32), later[some], first[some]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "mark", "place", "later", "first"])
+
+
+_FOUND = "doc long, mark long, place int, later long, first long"
+
+
+def _compared(least: int):
+    """Rows sorted by deal, doc, mark and place; whole beginnings are compared, several at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            packed = [np.unique(np.asarray(x.values, np.int32)).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc", name])
+            if not len(batch):
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size >= COMPARED:
+                rows = pa.concat_batches(held)
+                deals = np.asarray(rows.column(0))
+                cut = int(np.searchsorted(deals, deals[-1], "left"))
+                if cut:
+                    yield _compared_rows(rows.slice(0, cut), least)
+                held, size = [rows.slice(cut)], rows.slice(cut).nbytes
+        if held:
+            yield _compared_rows(pa.concat_batches(held), least)
+
+    return run
 
-    return rows.mapInArrow(run, f"doc long, {name} binary")
 
+def _packed_places(places: DataFrame) -> DataFrame:
+    """(doc, mark, places): those of a text, as packed 32-bit integers; bounded by its length."""
+    rows = places.groupBy("doc", "mark").agg(F.collect_list("place").alias("all"))
 
-def _equal_neighbours(rows: DataFrame) -> DataFrame:
-    """Rows in the order (key, doc, place) that have an equal key beside them; later: not the first of its key."""
-    order = Window.partitionBy("key").orderBy("doc", "place")
-    kind = F.col("place").bitwiseAND(3)
-    later = F.lag("doc").over(order).isNotNull() | (kind == 2)
-    earlier = F.lead("doc").over(order).isNotNull() | (kind == 1)
-    return rows.select("doc", F.shiftright("place", 2).alias("place"), later.alias("later"), earlier.alias("earlier")).where("later or earlier").select("doc", "place", "later")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [np.asarray(x.values, np.int32).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc", "mark", "places"])
 
+    return rows.mapInArrow(thrifty(run), "doc long, mark long, places binary")
 
-def repeats(docs: DataFrame, tables: Tables, least: int = 50, prefix: int = PREFIX) -> DataFrame:
-    """(doc_id, later, first): for each document with a passage of `least` words or more that occurs elsewhere too.
 
-    first and later are packed arrays of the word places at which such passages start: `later` where an equal passage
-    comes before it (in a smaller doc_id, or earlier in the same text), `first` where none does. Rows that repeat a
-    doc_id count as one document in which each text's passages keep their places. Rows with null doc_id or null, empty
-    or shorter text have no passage. An empty table gives an empty table.
+def _starts_of(found: DataFrame) -> DataFrame:
+    """(doc_id, mark, later, first): ascending places of a text at which repeated passages start."""
+    rows = found.groupBy("doc", "mark").agg(F.collect_list(F.struct("place", "later", "first")).alias("all"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[], []]
+            for x in batch.column(2):
+                place, *masks = (np.asarray(x.values.field(c)).astype(np.int64) for c in range(3))
+                # One place is seen once, but a text that is there twice may be told of a place twice.
+                for kind, mask in enumerate(masks):
+                    row, bit = np.nonzero((mask[:, None] >> np.arange(63)) & 1)
+                    out[kind].append(np.unique(place[row] + bit).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, part)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *part]))) for part in out]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "mark", "later", "first"])
+
+    return rows.mapInArrow(thrifty(run), "doc_id long, mark long, later array<int>, first array<int>")
+
+
+def repeats(docs: DataFrame, tables: Tables, least: int = 50, prefix: int = PREFIX) -> DataFrame:
+    """(doc_id, mark, later, first, copies, words) of each text with a passage of `least` or more words that occurs elsewhere.
+
+    first and later are ascending word places at which such passages start: `later` where an equal passage comes before
+    it (in a smaller doc_id; in the same doc_id in a text of smaller mark; or earlier in the same text), `first` where
+    none does. mark hashes the text, so rows that share a doc_id but not the text are texts of their own. Rows that
+    share both are one text with `copies` rows, which then is here, with its number of `words`, if it has `least` words;
+    else copies is 1 and words null. Rows with null doc_id, and null, empty or shorter texts, have no passage. Words
+    are as long as they are; very long texts are read in pieces of whole documents. Other columns are not read, so
+    their names cannot clash. An empty table gives an empty table.
     """
-    if not 4 < prefix < least:
-        raise ValueError("prefix must be above 4 and below least")
-    spark = tuned(docs.sparkSession)
+    if not 4 < prefix < least < prefix + 63:
+        raise ValueError("prefix must be above 4, below least and at most 62 below it")
+    tuned(docs.sparkSession)
     window = least - prefix + 1
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text"))
-    kept = texts.mapInArrow(_kept_suffixes(prefix, window), _ROWS)
-    marked = _joined_places(_equal_neighbours(kept), "repeated")
-    marked = tables.put(marked, "repeated-suffixes")
-    stretches = texts.join(marked, "doc").select("doc", "text", "repeated")
-    passages = _equal_neighbours(stretches.mapInArrow(_passages(prefix, window), _ROWS))
-    packed = passages.groupBy(F.col("doc").alias("doc_id")).agg(
-        F.collect_list(F.when(F.col("later"), F.col("place"))).alias("later"), F.collect_list(F.when(~F.col("later"), F.col("place"))).alias("first")
-    )
-    return tables.put(packed, "passages")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), text_mark().alias("mark"), text_or_empty().alias("text"))
+    kept = tables.put(texts.mapInArrow(thrifty(_kept_suffixes(prefix, window)), _KEPT), "suffixes")
+    shared = tables.put(kept.groupBy("key").count().where("count > 1").select("key", (F.col("count") > MANY).cast("int").alias("many")), "beginnings")
+    places = kept.join(shared, "key").select("doc", "mark", (F.col("place") * 2 + F.col("many")).alias("place"))
+    places = tables.put(_packed_places(places), "places")
+    for done in (kept, shared):
+        tables.drop(done)
+
+    around = texts.join(places, ["doc", "mark"]).select("doc", "mark", "text", "places").mapInArrow(thrifty(_surroundings(prefix, window)), _AROUND)
+    order = ["deal", "doc", "mark", "place"]
+    found = around.repartition("deal").sortWithinPartitions(*order).mapInArrow(thrifty(_compared(least)), _FOUND)
+    starts = tables.put(_starts_of(found), "passages")
+    tables.drop(places)
+
+    copies = texts.groupBy("doc", "mark").agg(F.count("*").alias("copies")).where("copies > 1")
+    copies = tables.put(copies.select(F.col("doc").alias("doc_id"), "mark", "copies"), "copies")
+    if copies.isEmpty():
+        return starts.select("*", F.lit(1).cast("long").alias("copies"), F.lit(None).cast("int").alias("words"))
+    words = F.size(F.array_remove(F.split("text", "[ \\t-\\r]+"), ""))
+    long = texts.join(sent_if_small(copies.select(F.col("doc_id").alias("doc"), "mark")), ["doc", "mark"], "left_semi").select("doc", "mark", words.alias("words"))
+    long = long.where(F.col("words") >= least).groupBy(F.col("doc").alias("doc_id"), "mark").agg(F.max("words").alias("words"))
+    out = starts.join(copies.join(long, ["doc_id", "mark"]), ["doc_id", "mark"], "full")
+    none = F.array().cast("array<int>")
+    return tables.put(out.select("doc_id", "mark", F.coalesce("later", none).alias("later"), F.coalesce("first", none).alias("first"), F.coalesce("copies", F.lit(1)).alias("copies"), "words"), "repeats")
 
 
 def _runs(starts: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -190,42 +355,51 @@ def _runs(starts: np.ndarray, least: int) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1]) + least) for p in np.split(starts, cut)]
 
 
-_SPANS = "doc_id long, start_word int, end_word int, kept boolean"
+_SPANS = "doc_id long, start_word int, end_word int, kept boolean, rows long"
 
 
 def repeated_spans(found: DataFrame, least: int = 50) -> DataFrame:
-    """One row per maximal span of repeated passages (from word, to word): kept where it is the first occurrence, else to be cut."""
+    """One row per maximal span of repeated passages (from word, to word) in `rows` rows: kept where it is the first
+    occurrence, else to be cut. Of rows with equal doc_id and text one has the spans found, and the others are one span
+    from the first word to the last that is to be cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
+            docs = batch.column(0).to_pylist()
             for k, kept in ((1, False), (2, True)):
-                for doc, starts in zip(batch.column(0).to_pylist(), batch.column(k), strict=True):
-                    out += [(doc, x, y, kept) for x, y in _runs(np.asarray(starts.values, np.int64), least)]
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "start_word", "end_word", "kept"])
+                for doc, starts in zip(docs, batch.column(k), strict=True):
+                    out += [(doc, x, y, kept, 1) for x, y in _runs(np.asarray(starts.values, np.int64), least)]
+            out += [(doc, 0, words, False, copies - 1) for doc, copies, words in zip(docs, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True) if copies > 1 and words]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "start_word", "end_word", "kept", "rows"])
 
-    return found.select("doc_id", "later", "first").mapInArrow(run, _SPANS)
+    return found.select("doc_id", "later", "first", "copies", "words").mapInArrow(thrifty(run), _SPANS)
 
 
 def without_repeats(docs: DataFrame, found: DataFrame, least: int = 50) -> DataFrame:
     """`docs` with every later occurrence of a repeated passage cut out of `text`; n_chars, if there, is set anew.
 
-    A row whose text had words and has none left is dropped; all others stay, null and empty texts as they are.
-    A cut leaves the blanks on both sides of it.
+    A row whose text had words and has none left is dropped; all others stay, null and empty texts as they are. Of rows
+    with equal doc_id and text, of `least` words or more, one stays (of other columns that differ, the least row). A cut
+    leaves the blanks on both sides of it. Columns of `docs` may have any names.
     """
-    sizes = "n_chars" in docs.columns
-    names = docs.columns
+    names, sizes = docs.columns, "n_chars" in docs.columns
     at = names.index("text")
-    rows = docs.join(found.where(F.size("later") > 0).select("doc_id", "later"), "doc_id", "left").select(*docs.columns, F.col("later"))
-    schema = docs.schema
+    own_id, own_mark, cut = free_names(names, "id", "mark", "cut")
+    rows = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_mark: text_mark()})
+    marked = found.select(F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark), F.col("later").alias(cut))
+    several = found.where("copies > 1").select(F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark))
+    if not several.isEmpty():
+        rows = one_row_each(rows, several, [own_id, own_mark], names)
+    rows = rows.join(marked.where(F.size(cut) > 0), [own_id, own_mark], "left").select(*[F.col(f"`{c}`") for c in names], cut)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            later, column = batch.column(batch.num_columns - 1), batch.column(at)
             texts: list[str | None] = [None] * batch.num_rows
             keep = np.ones(batch.num_rows, bool)
-            later, column = batch.column(batch.num_columns - 1), batch.column(at)
             for words in word_chunks(column):
                 for i in range(len(words)):
                     row = words.first + i
@@ -252,4 +426,4 @@ def without_repeats(docs: DataFrame, found: DataFrame, least: int = 50) -> DataF
                 columns[k] = pa.array([None if t is None else len(t) for t in texts], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(thrifty(run), docs.schema)
