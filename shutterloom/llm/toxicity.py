@@ -2,10 +2,10 @@
 
 The lexicon is learned: word beginnings that are much more frequent in toxic texts of the training rows. Features of a
 text are the densities of lexicon words (as written, and after undoing digit-for-letter spellings), how near they
-stand to second-person words, the rates of capitals, punctuation and obfuscated words, and sizes. Lexicon and trees
-are fitted crosswise on two halves of the training rows: features of one half use the lexicon of the other, and the
-calibration uses scores of trees that were grown on the other half. The model is a few kilobytes, so scoring is one
-pass over the texts without a shuffle.
+stand to second-person words, the rates of capitals, punctuation and obfuscated words, and sizes. Three quarters of the
+training rows fit the lexicon and the trees, crosswise in two halves: features of one half use the lexicon of the other,
+so no row's words vouch for it. The last quarter is scored by the finished model and calibrates it. The model is a few
+kilobytes, so scoring is one pass over the texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import _BASE, _BYTE, _LOWER, _U, _power_tables, mixed, string_bytes
-from .shared import text_or_empty, tuned
+from .shared import text_or_empty, thrifty, tuned
 
-#: Bound on the labelled rows that are fitted on (those with the smallest hash of their id), and on the lexicon.
+#: Bound on the labelled rows that are fitted on (those with the smallest hash of their id), and on the lexicon (the
+#: beginnings that are most in toxic rows before clean ones).
 TRAINING_ROWS, LEXICON_WORDS = 12_000, 4_000
 #: A word's beginnings of so many bytes may enter the lexicon.
 BEGINNINGS = (3, 4, 5, 6, 7, 8, 10, 12)
@@ -165,6 +166,8 @@ def features(column: pa.Array, lexicons: tuple[np.ndarray, np.ndarray]) -> np.nd
         tripled = np.zeros(len(data), bool)
         if len(data) > 2:
             tripled[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & _LETTER[data[2:]]
+            border = np.concatenate((t.offsets[1:-1], t.offsets[1:-1] + 1))
+            tripled[border[border < len(data)]] = False
         letter_count = np.maximum(t.per_text(_LETTER[data]), 1)
         columns = [
             np.log1p(np.bincount(t.docs, minlength=t.n)), t.per_words(any_hit) / words, np.log1p(t.per_words(any_hit)), t.per_words(strong) / words, np.log1p(t.per_words(strong)), t.per_words(restored) / words,
@@ -223,15 +226,16 @@ class Trees:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: (x at block means, non-decreasing values), to be interpolated."""
+    """Pool adjacent violators: (x at block means, increasing block means of y), to be interpolated. Equal x are one value."""
     order = np.argsort(x, kind="stable")
+    at, first, n = np.unique(x[order], return_index=True, return_counts=True)
     blocks: list[list[float]] = []
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([b, a, 1.0])
+    for a, total, size in zip(at.tolist(), (np.add.reduceat(y[order], first) if len(at) else at).tolist(), n.tolist(), strict=True):
+        blocks.append([total, a * size, size])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][2] >= blocks[-1][0] * blocks[-2][2]:
-            s, t, n = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + t, blocks[-1][2] + n]
-    return np.array([t / n for _, t, n in blocks]), np.array([(s + 0.02) / (n + 0.2) for s, _, n in blocks])
+            last = blocks.pop()
+            blocks[-1] = [u + v for u, v in zip(blocks[-1], last, strict=True)]
+    return np.array([t / n for _, t, n in blocks]), np.array([s / n for s, _, n in blocks])
 
 
 class ToxicityModel:
@@ -276,56 +280,74 @@ def _lexicon(counts: np.ndarray, clean: np.ndarray, toxic: np.ndarray, clean_row
     return np.sort(counts[good].view(np.uint64)), np.sort(counts[strong].view(np.uint64))
 
 
+#: Parts of the training rows: two halves that are fitted on crosswise, and the rows that calibrate.
+CALIBRATES = 2
+
+
 def fit(labelled: DataFrame, rows: int = TRAINING_ROWS) -> ToxicityModel:
-    """Fit on columns (doc_id, text, toxic); rows beyond the bound, and rows whose toxic is not 0 or 1, are not used.
+    """Fit on columns (doc_id, text, toxic), at most `rows` rows, as training_rows() chooses them; more are refused.
 
-    Where labels are all equal or absent, every score is about their mean.
+    Rows whose toxic is neither 0 nor 1 are not used; null text counts as empty. Where labels are all equal or absent,
+    every score is about their mean.
     """
-    spark = tuned(labelled.sparkSession)
+    tuned(labelled.sparkSession)
     key = F.xxhash64("doc_id")
-    texts = labelled.select(text_or_empty().alias("text"), (F.pmod(key, F.lit(2))).cast("int").alias("half"), F.col("toxic").cast("int").alias("toxic"), "doc_id")
-    counts = texts.mapInArrow(_beginning_counts, "h long, c0 long, t0 long, c1 long, t1 long").groupBy("h").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")])
+    part = F.when(F.pmod(F.shiftright(key, 8), F.lit(4)) == 0, CALIBRATES).otherwise(F.pmod(key, F.lit(2))).cast("int")
+    texts = labelled.where(F.col("toxic").isin(0, 1)).select(text_or_empty().alias("text"), part.alias("part"), F.col("toxic").cast("int").alias("toxic"), "doc_id")
+    sizes = np.zeros((3, 2), np.int64)
+    for k, t, n in texts.groupBy("part", "toxic").count().collect():
+        sizes[k, t] = n
+    if sizes.sum() > rows:
+        raise ValueError(f"{sizes.sum()} labelled rows are more than {rows}: choose them by training_rows()")
+    counts = texts.where(F.col("part") != CALIBRATES).mapInArrow(thrifty(_beginning_counts), "h long, c0 long, t0 long, c1 long, t1 long").groupBy("h").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")])
     toxic, clean = F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1")
     counts = counts.where((toxic >= 2) & (toxic >= clean * 0.3)).orderBy((toxic - clean).desc(), "h").limit(LEXICON_WORDS)
     c = np.array([tuple(r) for r in counts.collect()], np.int64).reshape(-1, 5)
-    sizes = np.zeros((2, 2), np.int64)
-    for half, t, n in texts.groupBy("half", "toxic").count().collect():
-        sizes[half, t] = n
     per_half = [_lexicon(c[:, 0], c[:, 1 + 2 * k], c[:, 2 + 2 * k], *sizes[k]) for k in (0, 1)]
-    whole = _lexicon(c[:, 0], c[:, 1] + c[:, 3], c[:, 2] + c[:, 4], *sizes.sum(0))
+    whole = _lexicon(c[:, 0], c[:, 1] + c[:, 3], c[:, 2] + c[:, 4], *sizes[:2].sum(0))
+    used = (per_half[1], per_half[0], whole)
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            half = np.asarray(batch.column(1))
-            x = np.where((half == 0)[:, None], features(batch.column(0), per_half[1]), features(batch.column(0), per_half[0]))
+            part = np.asarray(batch.column(1))
+            x = np.zeros((len(part), len(FEATURES)))
+            for k, lexicons in enumerate(used):
+                at = np.flatnonzero(part == k)
+                x[at] = features(batch.column(0).take(pa.array(at)), lexicons)
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), rows], ["half", "toxic", "doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), rows], ["part", "toxic", "doc_id", "x"])
 
     kind = dict(texts.dtypes)["doc_id"]
-    got = texts.mapInArrow(crossed, f"half int, toxic int, doc_id {kind}, x array<double>").collect()
-    got.sort(key=lambda r: str(r.doc_id))
+    got = texts.mapInArrow(thrifty(crossed), f"part int, toxic int, doc_id {kind}, x array<double>").collect()
+    got.sort(key=lambda r: (str(r.doc_id), r.toxic, r.x))
     x = np.array([r.x for r in got]).reshape(-1, len(FEATURES))
-    y, half = np.array([r.toxic for r in got], float), np.array([r.half for r in got], int)
-    out = np.zeros(len(y))
-    for k in (0, 1):
-        out[half == k] = Trees(x[half != k], y[half != k]).raw(x[half == k])
-    knots = isotonic(out, y) if len(set(y.tolist())) == 2 else (np.zeros(0), np.zeros(0))
-    return ToxicityModel(whole, Trees(x, y), knots)
+    y, part = np.array([r.toxic for r in got], float), np.array([r.part for r in got], int)
+    trees = Trees(x[part != CALIBRATES], y[part != CALIBRATES])
+    held = part == CALIBRATES
+    knots = isotonic(trees.raw(x[held]), y[held]) if len(set(y[held].tolist())) == 2 else (np.zeros(0), np.zeros(0))
+    return ToxicityModel(whole, trees, knots)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = TRAINING_ROWS) -> DataFrame:
-    """(doc_id, text, toxic) of at most `rows` labelled documents, those with the smallest hash of their id."""
+    """(doc_id, text, toxic) of at most `rows` labelled documents, those with the smallest hash of their id.
+
+    Labels other than 0 and 1 and null ids are left out; of several labels of an id the larger counts, of several texts
+    the first in their order. `learn_from` is a condition on the columns of `labels`.
+    """
     spark = docs.sparkSession
     chosen = labels.where(learn_from & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     chosen = chosen.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     ids = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
     few = spark.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(few), "doc_id")
+    return texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
 
 def scored(docs: DataFrame, model: ToxicityModel, column: str = "score", threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with `column` (0 to 1) of every row, null text scored as empty; a column of that name is replaced."""
+    """`docs` with `column` (0 to 1) of every row, null text scored as empty; a column of that name is replaced.
+
+    Texts are scored whole, however long. Equal texts have equal scores. An empty table gives an empty table.
+    """
     spark = tuned(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)
     base = docs.drop(column)
@@ -339,4 +361,4 @@ def scored(docs: DataFrame, model: ToxicityModel, column: str = "score", thresho
             score = pa.array(sent.value.scores(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, score], schema.fieldNames())
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(thrifty(run), schema)
