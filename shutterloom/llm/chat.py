@@ -19,13 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import tuned
+from .shared import thrifty, tuned
 
 #: Tokens of a window, and tokens of repeated history in it.
 BUDGET, HISTORY = 1024, 256
-#: Turns of a conversation whose prefix sums are taken at once; a longer one goes on with the next block.
-BLOCK = 4096
+#: Turns, and budgets of tokens, that are held before windows are cut; a longer conversation goes on with what is left.
+BLOCK, HELD = 4096, 8
 START, END = "<|im_start|>", "<|im_end|>"
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -58,7 +59,8 @@ class _Conversation:
         self.system: tuple[str, str, int] | None = None
         self.turns: list[tuple[str, str, int]] = []
         self.past: list[tuple[str, str, int]] = []
-        self.seen = self.windows = 0
+        self.seen = self.windows = self.held = 0
+        self.due, self.due_tokens = BLOCK, HELD * budget
 
     def add(self, role: str, text: str) -> Iterator[tuple]:
         turn = (role, text, self.count(role, text))
@@ -66,8 +68,12 @@ class _Conversation:
             self.system = turn
         self.seen += 1
         self.turns.append(turn)
-        if len(self.turns) >= BLOCK:
+        self.held += turn[2]
+        if len(self.turns) >= self.due or self.held >= self.due_tokens:
             yield from self.cut(last=False)
+            # Where a window still grows, it is looked at again when twice as much is there.
+            self.held = sum(t[2] for t in self.turns)
+            self.due, self.due_tokens = len(self.turns) + max(BLOCK, len(self.turns)), max(HELD * self.budget, 2 * self.held)
 
     def cut(self, last: bool) -> Iterator[tuple]:
         """Windows over the turns at hand; the last one may still grow unless the conversation has ended."""
@@ -86,7 +92,7 @@ class _Conversation:
                 kept.append(t)
                 spent += t[2]
             end = max(int(np.searchsorted(total, total[at] + room - spent, "right")) - 1, at + 1)
-            if end >= n and not last and at > 0:
+            if end >= n and not last:
                 break
             yield self.window(lead + kept[::-1], self.turns[at:end])
             at = end
@@ -123,12 +129,15 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
     Rows of a conversation are turns in ascending `turn`, null first; ties go by role, then text, and repeated rows
     are repeated turns. Null role or text counts as empty; a null conv_id is a conversation. loss_spans are code point
     offsets into text. The windows of a conversation follow each other in one partition, in order. A conversation's
-    turns pass through one task, because its windows depend on those before, but only a block of them is held.
+    turns pass through one task, because its windows depend on those before, but only some budgets of them are held,
+    besides a very long turn, which is a window of its own. Other columns are not read, so their names cannot clash. An
+    empty table gives an empty table.
     """
     tuned(turns.sparkSession)
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     kind = rows.schema["conv_id"].dataType.simpleString()
+    key_type = to_arrow_type(rows.schema["conv_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Conversation | None = None
@@ -139,14 +148,11 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
                     out += now.cut(last=True) if now else ()
                     now = _Conversation(key, budget, history, count)
                 out += now.add(role, text)
-            yield _windows(out, batch.schema.field(0).type)
+            yield _windows(out, key_type)
         if now:
-            yield _windows(list(now.cut(last=True)), key_type(now.key))
+            yield _windows(list(now.cut(last=True)), key_type)
 
-    def key_type(key) -> pa.DataType:
-        return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind) or pa.scalar(key).type
-
-    return rows.mapInArrow(run, f"conv_id {kind}, {WINDOWS}")
+    return rows.mapInArrow(thrifty(run), f"conv_id {kind}, {WINDOWS}")
 
 
 def _windows(out: list[tuple], key: pa.DataType) -> pa.RecordBatch:
@@ -159,13 +165,16 @@ DIGESTS = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 strin
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """One row per conversation: what reading its windows gives back, as counts and digests. `windows` as chat_windows() deals them."""
+    """One row per conversation: what reading its windows gives back, as counts and digests.
+
+    `windows` as chat_windows() deals them. An empty table gives an empty table.
+    """
     kind = windows.schema["conv_id"].dataType.simpleString()
+    key_kind = to_arrow_type(windows.schema["conv_id"].dataType)
     rows = windows.select("conv_id", "n_repeated", "text", "loss_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict | None = None
-        key_kind = None
 
         def done() -> list[tuple]:
             return [(state["key"], state["turns"], state["all"].hexdigest(), state["chars"], state["loss"].hexdigest(), state["size"], state["windows"])] if state else []
@@ -177,7 +186,7 @@ def read_back(windows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
-            key_kind, out = batch.schema.field(0).type, []
+            out: list[tuple] = []
             for key, repeated, text, spans in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if state is None or key != state["key"]:
                     out += done()
@@ -196,4 +205,4 @@ def read_back(windows: DataFrame) -> DataFrame:
         if state:
             yield batch_of(done())
 
-    return rows.mapInArrow(run, f"conv_id {kind}, {DIGESTS}")
+    return rows.mapInArrow(thrifty(run), f"conv_id {kind}, {DIGESTS}")

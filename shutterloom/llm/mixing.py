@@ -16,8 +16,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import free_names
+
 #: Hash buckets per leaf: one of them is sorted in one task.
 BUCKET_BITS = 14
+#: Leaves whose budgets are sent to every machine.
+SENT_LEAVES = 100_000
+#: What is planned for each leaf: whole epochs, tokens of one more, and the bucket, place and id where that ends.
+PLANNED = ("whole", "rest", "last", "end_place", "end_doc")
 Weights = Mapping[tuple, float]
 
 
@@ -42,9 +48,15 @@ def shares(budget: float, weights: list[float], room: list[float]) -> list[float
 def budgets(supply: Mapping[tuple, int], weights: Weights, budget: int, epochs: int) -> dict[tuple, int]:
     """Tokens for each leaf. `weights` has a weight for a path or, for all children at a depth, for (..., None) paths.
 
-    A path without a weight has weight 1 beside its siblings.
+    A path without a weight has weight 1 beside its siblings. The work grows with the leaves times the depth.
     """
-    depth = len(next(iter(supply), ()))
+    room: dict[tuple, float] = {}
+    children: dict[tuple, set[tuple]] = {}
+    for leaf, n in supply.items():
+        for d in range(len(leaf) + 1):
+            room[leaf[:d]] = room.get(leaf[:d], 0.0) + float(n * epochs)
+            if d:
+                children.setdefault(leaf[: d - 1], set()).add(leaf[:d])
 
     def weight(path: tuple) -> float:
         for known in (path, (None,) * (len(path) - 1) + path[-1:]):
@@ -52,21 +64,15 @@ def budgets(supply: Mapping[tuple, int], weights: Weights, budget: int, epochs:
                 return float(weights[known])
         return 1.0
 
-    def room(path: tuple) -> float:
-        return float(sum(n * epochs for leaf, n in supply.items() if leaf[: len(path)] == path))
-
     out: dict[tuple, int] = {}
-
-    def deal(path: tuple, amount: float) -> None:
-        if len(path) == depth:
+    open_paths: list[tuple[tuple, float]] = [((), float(budget))] if supply else []
+    while open_paths:
+        path, amount = open_paths.pop()
+        if path not in children:
             out[path] = int(amount)
-            return
-        children = sorted({leaf[: len(path) + 1] for leaf in supply if leaf[: len(path)] == path}, key=lambda p: [(x is not None, str(x)) for x in p])
-        for child, share in zip(children, shares(amount, [weight(c) for c in children], [room(c) for c in children]), strict=True):
-            deal(child, share)
-
-    if supply:
-        deal((), float(budget))
+            continue
+        below = sorted(children[path], key=lambda p: [(x is not None, str(x)) for x in p])
+        open_paths += zip(below, shares(amount, [weight(c) for c in below], [room[c] for c in below]), strict=True)
     return out
 
 
@@ -79,55 +85,69 @@ def mixed_to_weights(docs: DataFrame, levels: list[str], weights: Weights, budge
     """The chosen rows of `docs`, with columns epoch and n_tokens; a row comes once per epoch it is chosen in.
 
     `budget` tokens are dealt, by default `share` of all there are. A null in a level column is a value of its own.
-    Rows without tokens are chosen if the leaf has a budget and their place in the epoch's order is within it. Rows
-    that share a doc_id stand or fall together. Columns of `docs` named epoch or n_tokens are replaced.
+    Rows without tokens (null or empty texts) are chosen if the leaf has a budget and their place in the epoch's order
+    is within it; a leaf without any token gives no row. Rows that share a doc_id, repeated rows among them, stand or
+    fall together; ties of the order go by doc_id, a null id first. Texts count whole, however long. Columns of `docs`
+    named epoch or n_tokens are replaced; others may have any names. An empty table gives an empty table.
+
+    The driver holds one row per leaf, as the budgets of all leaves depend on each other; they are sent to the machines
+    up to SENT_LEAVES, else joined.
     """
     spark = docs.sparkSession
-    rows = docs.drop("epoch", "n_tokens").withColumn("n_tokens", estimated_tokens() if tokens is None else tokens)
-    light = rows.select("doc_id", *levels, "n_tokens")
-    sums = light.groupBy(*levels).agg(F.sum("n_tokens").alias("n")).collect()
-    supply = {tuple(r[c] for c in levels): int(r.n or 0) for r in sums}
+    kept = [c for c in docs.columns if c.lower() not in ("epoch", "n_tokens")]
+    own = {n: free for n, free in zip(PLANNED, free_names([*kept, "epoch", "n_tokens"], *PLANNED), strict=True)}
+    places = free_names([*kept, "epoch", "n_tokens"], *[f"leaf{i}" for i in range(len(levels))])
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], (estimated_tokens() if tokens is None else tokens).alias("n_tokens"))
+    # Inside, only these columns go on, under names of their own.
+    names = [f"leaf{i}" for i in range(len(levels))]
+    light = rows.select(F.col("doc_id").alias("doc"), *[F.col(f"`{c}`").alias(n) for c, n in zip(levels, names, strict=True)], "n_tokens")
+    sums = light.groupBy(*names).agg(F.sum("n_tokens").alias("n")).collect()
+    supply = {tuple(r[n] for n in names): int(r.n or 0) for r in sums}
     total = sum(supply.values())
     plan = budgets(supply, weights, int(total * share) if budget is None else budget, epochs)
-    leaves = [(*path, plan[path] // supply[path] if supply[path] else 0, plan[path] % supply[path] if supply[path] else 0) for path in sorted(supply, key=str)]
-    kinds = ", ".join(f"leaf{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(levels))
-    leaves = spark.createDataFrame(leaves, f"{kinds}, whole long, rest long")
-
-    same = F.lit(True)
-    for i, c in enumerate(levels):
-        same = same & F.col(c).eqNullSafe(F.col(f"leaf{i}"))
-    names, kind = [f"leaf{i}" for i in range(len(levels))], docs.schema["doc_id"].dataType.simpleString()
-    order = F.xxhash64(F.lit(seed).cast("long"), F.col("whole"), F.col("doc_id"))
-    bucket = F.shiftrightunsigned(order, 64 - BUCKET_BITS)
-    # Unsigned order of hashes, so that buckets and places inside them agree.
-    place = F.shiftrightunsigned(order, 1)
-    dealt = light.join(F.broadcast(leaves), same).where("rest > 0").select(*names, "rest", "n_tokens", "doc_id", bucket.alias("bucket"), place.alias("place"))
+    small = (lambda df: F.broadcast(df)) if len(plan) <= SENT_LEAVES else (lambda df: df)
+    kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, levels, strict=True))
+    leaves = {p: (plan[p] // supply[p], plan[p] % supply[p]) if supply[p] else (0, 0) for p in sorted(supply, key=str)}
+    dealt_to = spark.createDataFrame([(*p, *x) for p, x in leaves.items() if x[1]], f"{kinds}, whole long, rest long")
+
+    def order_of(whole: Column, doc: Column) -> tuple[Column, Column]:
+        """(hash bucket, place) of a document in an epoch. Unsigned order of hashes, so that both agree."""
+        h = F.xxhash64(F.lit(seed).cast("long"), whole, doc)
+        return F.shiftrightunsigned(h, 64 - BUCKET_BITS), F.shiftrightunsigned(h, 1)
+
+    def meets(left: str, right: str, pairs: list[tuple[str, str]]) -> Column:
+        out = F.lit(True)
+        for a, b in pairs:
+            out = out & F.col(f"{left}.`{a}`").eqNullSafe(F.col(f"{right}.`{b}`"))
+        return out
+
+    same = [(n, n) for n in names]
+    bucket, place = order_of(F.col("whole"), F.col("doc"))
+    dealt = light.alias("d").join(small(dealt_to).alias("l"), meets("d", "l", same)).select(*[F.col(f"d.{n}") for n in names], "whole", "rest", "n_tokens", "doc")
+    dealt = dealt.select("*", bucket.alias("bucket"), place.alias("place"))
     per_bucket = dealt.groupBy(*names, "rest", "bucket").agg(F.sum("n_tokens").alias("n"))
     upto = Window.partitionBy(*names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = per_bucket.withColumn("upto", F.sum("n").over(upto)).where("upto > rest").groupBy(*names).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("x"))
     last = last.select(*names, F.col("x.bucket").alias("last"), F.col("x.before").alias("before"))
-    meets = F.lit(True)
-    for n in names:
-        meets = meets & F.col(f"d.{n}").eqNullSafe(F.col(f"l.{n}"))
-    inside = dealt.alias("d").join(F.broadcast(last.alias("l")), meets & (F.col("d.bucket") == F.col("l.last"))).select("d.*", "before")
+    inside = dealt.alias("d").join(small(last).alias("l"), meets("d", "l", same) & (F.col("d.bucket") == F.col("l.last"))).select("d.*", "before")
     # Without a frame, rows that share place and doc_id are summed together.
-    peers = Window.partitionBy(*names).orderBy(F.struct("place", "doc_id"))
+    peers = Window.partitionBy(*names).orderBy(F.struct("place", "doc"))
     inside = inside.withColumn("upto", F.col("before") + F.sum("n_tokens").over(peers)).where("upto <= rest")
-    ends = inside.groupBy(*names).agg(F.max(F.struct("place", "doc_id")).alias("end"))
+    ends = inside.groupBy(*names).agg(F.max(F.struct("place", "doc")).alias("end"))
     # All of these have one row per leaf at most.
     lasts = {tuple(r[n] for n in names): r["last"] for r in last.collect()}
     stops = {tuple(r[n] for n in names): r["end"] for r in ends.collect()}
-    cut = []
-    for r in leaves.collect():
-        path = tuple(r[n] for n in names)
-        stop = stops.get(path)
-        cut.append((*path, r.whole, r.rest, lasts.get(path), stop["place"] if stop else None, stop["doc_id"] if stop else None))
-    cut = spark.createDataFrame(cut, f"{kinds}, whole long, rest long, last long, end_place long, end_doc {kind}")
-
-    first = F.col("last").isNull() | (bucket < F.col("last"))
-    within = (bucket == F.col("last")) & ((place < F.col("end_place")) | ((place == F.col("end_place")) & (F.col("doc_id") <= F.col("end_doc"))))
-    partial = (F.col("rest") > 0) & F.coalesce(first | within, F.lit(False))
-    times = F.col("whole") + partial.cast("long")
-    chosen = rows.join(F.broadcast(cut), same).withColumn("times", times).where("times > 0")
-    kept = [c for c in docs.columns if c not in ("epoch", "n_tokens")]
-    return chosen.select(*kept, F.explode(F.sequence(F.lit(0), F.col("times").cast("int") - 1)).alias("epoch"), "n_tokens")
+    cut = [(*p, *x, lasts.get(p), stops[p]["place"] if p in stops else None, stops[p]["doc"] if p in stops else None) for p, x in leaves.items()]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    at = ", ".join(f"`{place}` {docs.schema[c].dataType.simpleString()}" for place, c in zip(places, levels, strict=True))
+    cut = spark.createDataFrame(cut, f"{at}, {own['whole']} long, {own['rest']} long, {own['last']} long, {own['end_place']} long, {own['end_doc']} {kind}")
+
+    joined = rows.alias("r").join(small(cut).alias("l"), meets("r", "l", list(zip(levels, places, strict=True))))
+    whole, rest, end, end_place, end_doc = (F.col(own[c]) for c in PLANNED)
+    bucket, place = order_of(whole, F.col("doc_id"))
+    # As structs are ordered: a null id comes first.
+    before_end = F.struct(place.alias("place"), F.col("doc_id").alias("doc")) <= F.struct(end_place.alias("place"), end_doc.alias("doc"))
+    within = (bucket == end) & end_place.isNotNull() & before_end
+    partial = (rest > 0) & F.coalesce(end.isNull() | (bucket < end) | within, F.lit(False))
+    times = (whole + partial.cast("long")).cast("int")
+    return joined.where(times > 0).select(*[F.col(f"r.`{c}`") for c in kept], F.explode(F.sequence(F.lit(0), times - 1)).alias("epoch"), "n_tokens")
