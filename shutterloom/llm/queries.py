@@ -23,6 +23,8 @@ ARRIVALS, SHARD_BYTES = 16, 32 << 20
 MIX_LEVELS = ["domain", "lang", "source"]
 MIX_WEIGHTS = {("bulk",): 1.0, ("curated",): 1.0, (None, "en"): 4.0, (None, "de"): 2.0, (None, "fr"): 2.0, (None, "es"): 2.0}
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.9, 2, 7
+#: Ranges of documents per shuffle partition.
+RANGES = 8
 #: The url rules: verdict, host, path.
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -56,8 +58,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    buckets = min(4096, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return fingerprints.edited_and_next(docs, buckets)
+    # Ranges are dealt to partitions by hash, so several go to each for even sizes.
+    return fingerprints.edited_and_next(docs, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +100,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_url_rules": url_rules.host_path_sql(URL_RULES)}

@@ -1,8 +1,9 @@
 """URL filters: pattern rules indexed by their rarest literal token, in built-in functions only.
 
 A rule is a regular expression over host and path, with the literal text that any match contains. Every rule is filed
-under one token of its literal, the one that the fewest URLs hold. A URL's tokens fetch candidate rules, and only those
-run their expression. The longest rule that fits decides; else a pattern of the method's own list; else the URL is allowed.
+under one token of its literal, the one that the fewest URLs hold; the last token of a literal that may go on inside a
+longer one counts as a beginning, and URLs are looked up by the beginnings of their tokens of those lengths that rules
+have. A URL's tokens fetch candidate rules, and only those run their expression. The longest rule that fits decides; else a pattern of the method's own list; else the URL is allowed.
 """
 
 from __future__ import annotations
@@ -14,18 +15,20 @@ from pyspark.sql import functions as F
 
 #: Rules up to this count are sent to every machine; more are joined by shuffling.
 BROADCAST_RULES = 20_000
-#: hosts' name parts that the method blocks by itself, as regular expressions with their literal.
-OWN_PATTERNS = (
-    ("spam-farm", r"(^|[.-])spam-farm[.]"),
-    ("cheap-pills", r"(^|[.-])cheap-pills[.]"),
-    ("free-bets", r"(^|[.-])free-bets[.]"),
-    ("ads-track", r"(^|[.-])ads-track[.]"),
-    ("casino", r"(^|[.-])casino[a-z0-9-]*[.]"),
-    ("adult", r"(^|[.-])adult[.-]"),
-    ("malware", r"(^|[.-])malware[.-]"),
-    ("phishing", r"(^|[.-])phishing[.-]"),
-    ("tracker", r"(^|[.-])tracker[0-9]*[.]"),
-)
+# Name parts of hosts, between dots or hyphens, that the method blocks by itself; those of the second list may go on.
+BLOCKED_PARTS = [
+    "adserver", "ads-track", "adult", "adware", "backdoor", "botnet", "carding", "cheap-pills", "cheap-viagra",
+    "clickbait", "cracked-software", "doorway-pages", "escort-girls", "fake-news", "free-bets", "free-followers",
+    "free-iphone", "hacked", "keylogger", "link-farm", "malware", "payday-loans", "phishing", "pill-store",
+    "popunder", "porn", "ransomware", "rogue-antivirus", "sex-cams", "spam-farm", "spambot", "spyware",
+    "stolen-cards", "trojan", "warez", "xxx",
+]
+BLOCKED_BEGINNINGS = [
+    "bookmaker", "casino", "jackpot", "poker", "roulette", "slotmachine", "sportsbet", "tracker", "viagra",
+    "webcamgirl",
+]
+#: As rules: the literal, the expression, and whether letters may follow the literal.
+OWN_PATTERNS = [(part, rf"^([^/]*[.-])?{part}[.-]", False) for part in BLOCKED_PARTS] + [(part, rf"^([^/]*[.-])?{part}[a-z0-9-]*[.]", True) for part in BLOCKED_BEGINNINGS]
 _RULES = "rank int, name string, verdict string, literal string, open_end boolean, pattern string"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,12 +37,13 @@ def _quoted(text: str) -> str:
     return "".join(c if c.isalnum() and c.isascii() else f"\\x{{{ord(c):x}}}" for c in text)
 
 
-def host_path_rules(spark: SparkSession, rules: Iterable[tuple[str, str, str]], own: Iterable[tuple[str, str]] = OWN_PATTERNS) -> DataFrame:
-    """The rule table for (verdict, host, path) rules, which fit the host and its subdomains, and for own patterns."""
-    rows = [(1, host + path, verdict, host + path, not (host + path).endswith("/"), f"^([^/]*\\.)?{_quoted(host)}{_quoted(path)}") for verdict, host, path in rules]
-    # The name part may go on after the literal, unless its expression says otherwise.
-    rows += [(0, literal, "block", literal, False, pattern) for literal, pattern in own if "*" not in pattern]
-    rows += [(0, literal, "block", literal, True, pattern) for literal, pattern in own if "*" in pattern]
+def host_path_rules(spark: SparkSession, rules: Iterable[tuple[str, str, str]], own: Iterable[tuple[str, str, bool]] = OWN_PATTERNS) -> DataFrame:
+    """The rule table for (verdict, host, path) rules, which fit the host and its subdomains, and for own patterns as OWN_PATTERNS."""
+    rows = []
+    for verdict, host, path in rules:
+        pattern = f"^([^/]*\\.)?{_quoted(host)}{_quoted(path) or '(/|$)'}"
+        rows.append((1, host + path, verdict, host + path, bool(path) and not path.endswith("/"), pattern))
+    rows += [(0, literal, "block", literal, goes_on, pattern) for literal, pattern, goes_on in own]
     return spark.createDataFrame(rows, _RULES)
 
 
@@ -59,14 +63,31 @@ def _tokens(text: Column) -> Column:
     return F.array_distinct(F.split(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+"))
 
 
-def rule_index(rules: DataFrame, url_tokens: DataFrame) -> DataFrame:
-    """`rules` with `token`, their rarest by the counts of `url_tokens`; the empty token if a literal has no whole token.
+def filed(rules: DataFrame) -> DataFrame:
+    """(name, rank, token) of every token that a rule may be filed under; a beginning of a longer token ends with *."""
+    tokens = rules.select("name", "rank", "open_end", F.translate("literal", _UPPER, _LOWER).alias("literal"))
+    end = F.regexp_extract("literal", "([a-z0-9]+)$", 1)
+    whole = F.when(F.col("open_end"), F.regexp_replace("literal", "[a-z0-9]+$", "")).otherwise(F.col("literal"))
+    beginning = F.when(F.col("open_end") & (end != ""), F.array(F.concat(end, F.lit("*")))).otherwise(F.array().cast("array<string>"))
+    return tokens.select("name", "rank", F.explode(F.concat(_tokens(whole), beginning)).alias("token")).where("token <> ''")
 
-    The last token of a literal with an open end may be part of a longer one in a URL, so it does not count.
+
+def url_tokens(text: Column, lengths: list[int]) -> Column:
+    """The tokens of a URL, the empty one, and their beginnings of the given lengths, marked by *."""
+    whole = _tokens(text)
+    sizes = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    parts = F.flatten(F.transform(sizes, lambda n: F.transform(F.filter(whole, lambda t: F.length(t) >= n), lambda t: F.concat(F.substring(t, F.lit(1), n), F.lit("*")))))
+    return F.array_distinct(F.concat(whole, parts, F.array(F.lit("")))) if lengths else F.array_distinct(F.concat(whole, F.array(F.lit(""))))
+
+
+def rule_index(rules: DataFrame, tokens_of_urls: DataFrame) -> DataFrame:
+    """`rules` with `token`, their rarest by the counts of `tokens_of_urls`; the empty token if a literal has none at all.
+
+    The last token of a literal with an open end may be part of a longer one in a URL, so it counts as a beginning.
     """
-    whole = F.when(F.col("open_end"), F.regexp_replace("literal", "[A-Za-z0-9]+$", "")).otherwise(F.col("literal"))
-    tokens = rules.select("name", "rank", F.explode(_tokens(whole)).alias("token")).where("token <> ''")
-    counts = url_tokens.join(F.broadcast(tokens.select("token").distinct()) if rules.count() <= BROADCAST_RULES else tokens.select("token").distinct(), "token")
+    tokens = filed(rules)
+    wanted = tokens.select("token").distinct()
+    counts = tokens_of_urls.join(F.broadcast(wanted) if rules.count() <= BROADCAST_RULES else wanted, "token")
     counts = counts.groupBy("token").agg(F.count("*").alias("n"))
     rated = tokens.join(counts, "token", "left").select("name", "rank", "token", F.coalesce("n", F.lit(0)).alias("n"))
     rarest = rated.groupBy("name", "rank").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
@@ -77,18 +98,40 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of `pages` (page_id, url).
 
     rule is the name of the rule that decided, null if none fits. A null url, or one without ://, has empty host and
-    path, which no rule fits, and is allowed. Equal urls are judged once. An empty table gives an empty table.
+    path, which no rule fits, and is allowed. Equal urls are judged once, and each row has its verdict, rows with null or
+    repeated page_id too. Of rules with one name and rank, each counts as it is written. Urls count whole, however long.
+    Other columns are not read, so their names cannot clash. An empty table gives an empty table.
     """
+    sizes = [r.n for r in filed(rules).where("token like '%*'").select((F.length("token") - 1).alias("n")).distinct().collect()]
     urls = pages.select("url").where("url is not null").distinct()
     urls = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    tokens = urls.select("url", F.concat("host", "path").alias("target"), F.explode(F.array_distinct(F.concat(_tokens(F.concat("host", F.lit("/"), "path")), F.array(F.lit(""))))).alias("token"))
+    tokens = urls.select("url", F.concat("host", "path").alias("target"), F.explode(url_tokens(F.concat("host", F.lit("/"), "path"), sorted(sizes))).alias("token"))
     index = rule_index(rules, tokens)
     if rules.count() <= BROADCAST_RULES:
         index = F.broadcast(index)
     fits = tokens.join(index, "token").where(F.expr("target rlike pattern"))
-    best = fits.groupBy("url").agg(F.max_by(F.struct("name", "verdict", "rank"), F.struct("rank", F.length("name"), "name")).alias("best"))
+    best = fits.groupBy("url").agg(F.max_by(F.struct("name", "verdict", "rank"), F.struct("rank", F.length("name"), "name", "verdict")).alias("best"))
     out = pages.select("page_id", "url").join(best, "url", "left")
     return out.select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
         F.when(F.col("best.rank") == 1, F.col("best.name")).alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"),
     )
+
+
+def host_path_sql(rules: Iterable[tuple[str, str, str]], own: Iterable[tuple[str, str, bool]] = OWN_PATTERNS) -> str:
+    """The result of judged() over a table `pages` for host_path_rules(), in DuckDB's SQL."""
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = ", ".join(f"({text(v)}, {text(h)}, {text(p)})" for v, h, p in rules)
+    patterns = ", ".join(f"({text(p)})" for _, p, _ in own)
+    return f"""
+    WITH rules(verdict, host, path) AS (VALUES {rows}), own(pattern) AS (VALUES {patterns}),
+    cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    parts AS (
+        SELECT row_number() OVER () AS row, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+    fits AS (
+        SELECT p.row, arg_max(struct_pack(rule := r.host || r.path, verdict := r.verdict), length(r.host || r.path)) AS best FROM parts p
+        JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.row),
+    blocked AS (SELECT DISTINCT p.row FROM parts p JOIN own o ON regexp_matches(p.host || p.path, o.pattern))
+    SELECT p.page_id, p.host, p.path, f.best.rule AS rule, coalesce(f.best.verdict, CASE WHEN b.row IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+    FROM parts p LEFT JOIN fits f ON f.row = p.row LEFT JOIN blocked b ON b.row = p.row"""
