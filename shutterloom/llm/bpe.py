@@ -1,9 +1,11 @@
 """Byte-level BPE by corpus-level merge replay.
 
-A task keeps the distinct words (matches of the splitting pattern) of the texts it has seen. The new words of a batch
-are laid out in one array of token ids; an inverted index leads from each adjacent pair that the vocabulary can merge
-to its positions, over all words. Merges are replayed in rank order from a heap of pairs; each application touches
-only the two neighbours of its position. Texts are then encoded by looking their words up. Nothing is shuffled.
+The corpus that merges are replayed over is a task's: the distinct words (matches of the splitting pattern) of its
+texts, of some megabytes of text at a time. New words are laid out in one array of token ids; an inverted index leads
+from each adjacent pair that the vocabulary can merge to its positions, over all words. Merges are replayed in rank
+order from a heap of pairs; each application touches only the two neighbours of its position. Texts are then encoded by
+looking their words up. Nothing is shuffled: words in common between tasks are replayed in each, because dealing every
+word of every text to where its class is encoded, and back, would shuffle several times the texts' size.
 """
 
 from __future__ import annotations
@@ -20,14 +22,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty, tuned
+from .shared import text_or_empty, thrifty, tuned
 
 #: Distinct words after which a task starts a new memory; it keeps the previous one and takes over words met again.
 REMEMBERED = 150_000
 #: Characters of text whose new words are replayed together.
 PART = 4_000_000
 #: Ids are below 2^WIDTH; GAP ends a word, GONE is the right half of a merged pair.
-WIDTH, GAP, GONE, NEVER = 24, -1, -2, 1 << 60
+WIDTH, GAP, GONE = 24, -1, -2
 #: The Unicode property White_Space, which \s stands for in the patterns of rank files.
 WHITE_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -180,13 +182,24 @@ class MergeReplay:
         return doubt
 
     def _one_by_one(self, raw: bytes) -> tuple[int, ...]:
+        """One merge at a time, of the lowest rank and then the leftmost; the time grows with n log n."""
         ids = self.bytes[np.frombuffer(raw, np.uint8)].tolist()
-        while len(ids) > 1:
-            best = min((m, i) if (m := self.merged((a << WIDTH) | b)) >= 0 else (NEVER, i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)))
-            if best[0] == NEVER:
-                break
-            ids[best[1] : best[1] + 2] = [best[0]]
-        return tuple(ids)
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m, i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (m := self.merged((a << WIDTH) | b)) >= 0]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] == GONE or j >= n or self.merged((ids[i] << WIDTH) | ids[j]) != rank:
+                continue
+            ids[i], ids[j], after[i] = rank, GONE, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for left in (before[i], i):
+                if left >= 0 and after[left] < n and (m := self.merged((ids[left] << WIDTH) | ids[after[left]])) >= 0:
+                    heapq.heappush(heap, (m, left))
+        return tuple(x for x in ids if x != GONE)
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text, PART characters at a time."""
@@ -248,7 +261,9 @@ def replay_of(ranks: dict[bytes, int], pattern: str, key: str) -> MergeReplay:
 def with_tokens(df: DataFrame, ranks: dict[bytes, int], pattern: str, finish: Callable[[list[int], MergeReplay], tuple], schema: str, column: str = "text") -> DataFrame:
     """`df` without `column`, plus the columns of `schema` (DDL) that `finish` makes of each row's ids.
 
-    Null counts as empty text, which has no ids. Columns of `df` named as in `schema` are replaced.
+    Null counts as empty text, which has no ids. Every row is encoded, repeated ones too, and texts count whole: a very
+    long text or word takes time in proportion to n log n. Columns of `df` named as in `schema` are replaced. An empty
+    table gives an empty table.
     """
     spark = tuned(df.sparkSession)
     sent = spark.sparkContext.broadcast(ranks)
@@ -269,11 +284,9 @@ def with_tokens(df: DataFrame, ranks: dict[bytes, int], pattern: str, finish: Ca
             got = [finish(ids, replay) for ids in replay.encode(batch.column(batch.num_columns - 1).to_pylist())]
             made = [pa.array(column, kind) for column, kind in zip(zip(*got, strict=True) if got else [()] * len(kinds), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names)
-        # The worker lives on; what comes next may need the memory.
         replay.forget()
-        pa.default_memory_pool().release_unused()
 
-    return rows.mapInArrow(run, whole)
+    return rows.mapInArrow(thrifty(run), whole)
 
 
 def digests(ids: list[int], replay: MergeReplay) -> tuple[int, str, str]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Tables, tuned
+from .shared import Tables, thrifty, tuned
 
 #: Tables, vertices per bucket, and further buckets that a vector probes in each table.
 TABLES, VERTICES, PROBES = 12, 3, 4
@@ -240,11 +240,11 @@ def near_vectors(vectors: DataFrame, tables: Tables, least: float = 0.9, hash_ta
     classes = ids.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = tables.put(classes, "classes")
     sizes = hash_tables, vertices, probes
-    places = classes.select("rep", "embedding").mapInArrow(_places(*sizes), _PLACES)
+    places = classes.select("rep", "embedding").mapInArrow(thrifty(_places(*sizes)), _PLACES)
     counts = places.groupBy("key", "bucket").agg(F.count("*").alias("n"), F.max("own").alias("lived"))
     counts = counts.where("n > 1 and lived").select("key", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     shared = tables.put(places.join(counts, ["key", "bucket"]), "shared-places")
-    ready = tables.put(classes.select("rep", "embedding", "copies").mapInArrow(_vectors(*sizes), _VECTORS), "vectors")
+    ready = tables.put(classes.select("rep", "embedding", "copies").mapInArrow(thrifty(_vectors(*sizes)), _VECTORS), "vectors")
     own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     met = shared.select("*", own.alias("at")).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with")).join(ready, "rep")
     met = met.select(
@@ -252,7 +252,7 @@ def near_vectors(vectors: DataFrame, tables: Tables, least: float = 0.9, hash_ta
         F.when(F.col("at") == F.col("with"), 0).when(F.col("at") < F.col("with"), -1).otherwise(1).alias("side"), "own", "rep", "copies", "vector", "codes",
     )
     met = met.repartition("key", "bucket", "part").sortWithinPartitions("key", "bucket", "part")
-    found = tables.put(met.mapInArrow(_meet(least, hash_tables, 1 + probes), "a long, b long, n long"), "found")
+    found = tables.put(met.mapInArrow(thrifty(_meet(least, hash_tables, 1 + probes)), "a long, b long, n long"), "found")
 
     links = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     # A class of equal vectors is usable if it was filed at all.

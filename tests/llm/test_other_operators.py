@@ -62,6 +62,36 @@ def test_windows_keep_the_system_turn_the_history_and_the_budget(spark):
     assert sum(len(r.loss_spans) for r in got) == 19
 
 
+def test_history_is_bounded_by_tokens_alone(spark):
+    rows = [(1, t, "user", "") for t in range(1000)]
+    got = chat.chat_windows(spark.createDataFrame(rows, TURNS), 2000, 1000, lambda role, text: 5).collect()
+    assert [(r.n_repeated, r.n_new) for r in sorted(got, key=lambda r: r.window)] == [(0, 400), (200, 200), (200, 200), (200, 200)]
+
+
+def test_windows_do_not_depend_on_blocks(spark, monkeypatch):
+    rows = turns(5) + [(70, t, "assistant", "z" * (t % 50)) for t in range(3000)]
+    data = spark.createDataFrame(rows, TURNS)
+    wanted = sorted(map(tuple, chat.chat_windows(data, 500, 90).collect()), key=str)
+    monkeypatch.setattr(chat, "BLOCK", 3)
+    monkeypatch.setattr(chat, "HELD", 0)
+    assert sorted(map(tuple, chat.chat_windows(data, 500, 90).collect()), key=str) == wanted
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "decimal(9,2)", "date", "double", "boolean"])
+def test_null_conversations_of_any_type(spark, kind):
+    data = spark.sql(f"SELECT CAST(NULL AS {kind}) conv_id, 1L turn, 'user' role, 'a' text, 1 window")
+    (row,) = chat.read_back(chat.chat_windows(data)).collect()
+    assert row.conv_id is None and row.n_turns == 1
+
+
+def test_a_very_long_turn_is_a_window_of_its_own(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "<|" * 400_000), (1, 2, "user", "bye")]
+    windows = chat.chat_windows(spark.createDataFrame(rows, TURNS))
+    assert sorted(r.n_new for r in windows.collect()) == [1, 1, 1]
+    (row,) = chat.read_back(windows).collect()
+    assert (row.n_turns, row.loss_chars) == (3, 800_000)
+
+
 def test_no_turns(spark):
     assert chat.read_back(chat.chat_windows(spark.createDataFrame([], TURNS))).count() == 0
 
@@ -115,6 +145,22 @@ def test_prefixes_equal_a_sorted_leaf(spark):
     assert mixing.mixed_to_weights(docs.limit(0), ["lang", "source"], {}).count() == 0
 
 
+def test_mixing_with_any_names_and_odd_rows(spark):
+    names = ["whole", "rest", "last", "end_place", "end_doc", "times", "leaf0", "_leaf0", "_whole0", "n_tokens", "bucket", "doc"]
+    kind = "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names)
+    odd = [(1, "a" * 40, "s"), (1, "a" * 40, "s"), (2, None, None), (3, "", "s"), (None, "b" * 40, None), (4, "c" * 400_000, "t"), (5, "d" * 8, "s")]
+    docs = spark.createDataFrame([(*r, *([7] * len(names))) for r in odd], kind)
+    got = mixing.mixed_to_weights(docs, ["source"], {}, None, 1.0, 1, 3)
+    assert got.columns == [c for c in docs.columns if c != "n_tokens"] + ["epoch", "n_tokens"]
+    assert sorted(((r.doc_id, r.text, r.source) for r in got.collect()), key=str) == sorted(odd, key=str)
+    assert all(r[n] == 7 for r in got.collect() for n in names if n != "n_tokens")
+    # Equal rows stand or fall together; every row comes twice in two epochs.
+    for share in (0.00005, 0.0002, 0.5):
+        ids = [r.doc_id for r in mixing.mixed_to_weights(docs, ["source"], {}, None, share, 1, 3).collect()]
+        assert ids.count(1) in (0, 2)
+    assert mixing.mixed_to_weights(docs, ["source"], {}, 10**9, 1.0, 2, 3).count() == 2 * len(odd)
+
+
 # --- vectors ---
 
 
@@ -186,16 +232,38 @@ def test_rules_equal_brute_force(spark):
         fits = [(len(h + p), h + p, v) for v, h, p in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         assert (r.host, r.path) == (host, path), u
         assert r.rule == (max(fits)[1] if fits else None), u
-        own = any(re.search(p, host + path) for _, p in url_rules.OWN_PATTERNS)
+        own = any(re.search(p, host + path) for _, p, _ in url_rules.OWN_PATTERNS)
         assert r.verdict == (max(fits)[2] if fits else "block" if own else "allow"), u
     assert url_rules.judged(pages.limit(0), rules).count() == 0
 
 
 def test_a_rule_is_filed_under_its_rarest_token(spark):
     tokens = spark.createDataFrame([("com",)] * 5 + [("example",)] * 2 + [("rare",)], "token string")
-    rules = url_rules.host_path_rules(spark, [("block", "example.com", "/rare/"), ("block", "example.com", "/ra"), ("block", "x", "")], [])
+    tokens = tokens.unionByName(spark.createDataFrame([("ra*",)] * 3 + [("casino*",)], "token string"))
+    rules = url_rules.host_path_rules(spark, [("block", "example.com", "/rare/"), ("block", "example.com", "/ra"), ("block", "x", ""), ("allow", "", "/")], [("casino", "casino[a-z]*[.]", True)])
     got = {r.name: r.token for r in url_rules.rule_index(rules, tokens).collect()}
-    assert got == {"example.com/rare/": "rare", "example.com/ra": "example", "x": ""}
+    assert got == {"example.com/rare/": "rare", "example.com/ra": "example", "x": "x", "/": "", "casino": "casino*"}
+    own = url_rules.host_path_rules(spark, queries.URL_RULES)
+    assert own.count() == len(queries.URL_RULES) + len(url_rules.OWN_PATTERNS)
+    assert url_rules.rule_index(own, tokens).where("token = ''").count() == 0
+
+
+def test_odd_urls_and_clashing_names(spark):
+    long = "http://a.org/" + "x/" * 200_000
+    rows = [(None, long), (1, "http://poker-night.net/"), (1, "http://poker-night.net/"), (2, "http://a.b/casino."), (3, None), (3, "http://pokernight.example.org/es/")]
+    pages = spark.createDataFrame([(i, u, "t", "n", "r", 1) for i, u in rows], "page_id long, url string, token string, name string, rule string, rank int")
+    rules = url_rules.host_path_rules(spark, [*queries.URL_RULES, ("allow", "example.org", "/es/")])
+    got = sorted(((r.page_id, r.rule, r.verdict) for r in url_rules.judged(pages, rules).collect()), key=str)
+    assert got == [(1, None, "block"), (1, None, "block"), (2, None, "allow"), (3, "example.org/es/", "block"), (3, None, "allow"), (None, "org/", "allow")]
+
+
+def test_url_rules_equal_their_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    wanted = sorted(con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.oracle_sql()['op10_url_rules']})").fetchall(), key=str)
+    assert sorted(map(tuple, queries.op10_url_rules(spark, sf).collect()), key=str) == wanted
 
 
 # --- toxicity ---
@@ -247,49 +315,159 @@ def test_features_see_capitals_signs_and_second_persons():
     assert at["exclamations"][1] > 0 and at["capital_words"][0] == 0.5 and not x[3].any()
 
 
-def test_isotonic_is_monotone():
+def brute_isotonic(x, y):
+    """The least-squares non-decreasing fit at each distinct x, by maxima of minima of means."""
+    at = sorted(set(x))
+    group = [[b for a, b in zip(x, y, strict=True) if a == v] for v in at]
+    mean = lambda i, j: sum(map(sum, group[i : j + 1])) / sum(map(len, group[i : j + 1]))
+    return at, [max(min(mean(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_isotonic_equals_the_best_monotone_fit(ties):
     rng = np.random.default_rng(0)
-    x = rng.normal(size=300)
-    knots, values = toxicity.isotonic(x, (rng.random(300) < 1 / (1 + np.exp(-x))).astype(float))
-    assert (np.diff(knots) >= 0).all() and (np.diff(values) >= -0.2).all()
+    x = rng.normal(size=60)
+    x = np.round(x, 1) if ties else x
+    y = (rng.random(60) < 1 / (1 + np.exp(-x))).astype(float)
+    knots, values = toxicity.isotonic(x, y)
+    assert (np.diff(knots) > 0).all() and (np.diff(values) > 0).all()
+    at, fitted = brute_isotonic(x.tolist(), y.tolist())
+    assert sorted(set(np.round(fitted, 12))) == np.round(values, 12).tolist()
+    # Each block's knot is the mean of its rows' x.
+    level = dict(zip(at, np.round(fitted, 12), strict=True))
+    own = [np.mean([a for a in x.tolist() if level[a] == v]) for v in np.round(values, 12).tolist()]
+    assert np.allclose(own, knots)
+    assert [len(v) for v in toxicity.isotonic(x[:0], y[:0])] == [0, 0]
+
+
+def brute_features(text, words, strong):
+    """FEATURES of one text, byte by byte; a word is in a lexicon if a beginning of a listed size or the whole of it is."""
+    data = text.encode()
+    letter = lambda b: 65 <= b < 91 or 97 <= b < 123 or b >= 128
+    found = re.findall(rb"[0-9A-Za-z\x80-\xff@$]+", data)
+    lower = lambda w: bytes(b + 32 if 65 <= b < 91 else b for b in w)
+    restored = lambda w: bytes(ord(toxicity.STAND_INS.get(chr(b), chr(b))) if b < 128 else b for b in lower(w))
+    listed = lambda w, names: any(w[:k] in names for k in toxicity.BEGINNINGS if len(w) >= k) or w in names
+    you = [lower(w) in {v.encode() for v in toxicity.SECOND_PERSON.split()} for w in found]
+    hit = [listed(lower(w), words) for w in found]
+    sign = [any(chr(b) in toxicity.STAND_INS for b in w) and any(map(letter, w)) for w in found]
+    again = [s and not h and listed(restored(w), words) for w, h, s in zip(found, hit, sign, strict=True)]
+    either = [a or b for a, b in zip(hit, again, strict=True)]
+    hard = [h and listed(lower(w), strong) for w, h in zip(found, hit, strict=True)]
+    near = [e and any(you[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1][k] for k in range(len(you[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1])) if max(0, i - toxicity.NEAR) + k != i) for i, e in enumerate(either)]
+    n, size, letters = max(1, len(found)), max(1, len(data)), max(1, sum(map(letter, data)))
+    shout = [len(w) > 1 and sum(65 <= b < 91 for b in w) > 1 and not any(97 <= b < 123 for b in w) for w in found]
+    triple = sum(a == b == c and letter(c) for a, b, c in zip(data, data[1:], data[2:], strict=False))
+    sign_rate = sum(33 <= b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 127 for b in data) / size
+    return [
+        np.log1p(len(found)), sum(either) / n, np.log1p(sum(either)), sum(hard) / n, np.log1p(sum(hard)), sum(again) / n, sum(near) / n, sum(you) / n,
+        sum(65 <= b < 91 for b in data) / letters, sum(shout) / n, data.count(b"!") / size, data.count(b"?") / size, sign_rate,
+        sum(48 <= b < 58 for b in data) / size, sum(sign) / n, triple / size, sum(map(len, found)) / n, sum(b >= 128 for b in data) / size,
+    ]
+
+
+def test_features_equal_brute_force():
+    rng = random.Random(12)
+    pieces = ["idiot", "IDIOT", "1d10t", "scum", "scumbag", "you", "Your", "dich", "tú", "plain", "ok", "WOW", "aaa", "é", "$cum", "7", "!!", "?", " ", "\n", ", ", "x-y"]
+    texts = [rng.choice(["", " "]).join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["", "\n", "YOU you idiot", "漢字 " * 9]
+    words, strong = {b"idi", b"scum", b"ok"}, {b"scum"}
+    lexicons = tuple(np.sort(np.array([toxicity._word_hash(w.decode()) for w in part], np.uint64)) for part in (words, strong))
+    got = toxicity.features(pa.array(texts), lexicons)
+    wanted = np.array([brute_features(t, words, strong) for t in texts])
+    for k, name in enumerate(toxicity.FEATURES):
+        assert np.allclose(got[:, k], wanted[:, k]), name
+
+
+def test_a_tree_splits_where_the_gain_is_largest():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, (300, 3)).astype(float)
+    y = ((x[:, 1] > 2) ^ (rng.random(300) < 0.1)).astype(float)
+    trees = toxicity.Trees(x, y)
+    p = y.mean()
+    best = []
+    for k in range(3):
+        for cut in range(5):
+            left = x[:, k] <= cut
+            parts = [(np.sum(p - y[m]), m.sum() * p * (1 - p)) for m in (left, ~left)]
+            whole = (sum(g for g, _ in parts), sum(h for _, h in parts))
+            best.append((sum(g * g / (h + trees.RIDGE) for g, h in parts) - whole[0] ** 2 / (whole[1] + trees.RIDGE), k, cut))
+    feature, cut = trees.trees[0][0][0]
+    assert (int(feature[0]), trees.cuts[1][cut[0]]) == max(best)[1:]
+    raw = trees.raw(x)
+    assert ((raw > 0) == (x[:, 1] > 2)).mean() > 0.98
+
+
+def test_labels_other_than_0_and_1_and_too_many_rows(spark):
+    df, _ = labelled(spark, 300)
+    odd = spark.createDataFrame([(-1, "idiot", 2), (-2, "idiot", None), (-3, None, 0)], "doc_id long, text string, toxic int")
+    a, b = toxicity.fit(df.unionByName(odd)), toxicity.fit(df.unionByName(odd.where("toxic = 0")))
+    probe = pa.array(["idiot", "plain1 plain2", None])
+    assert a.scores(probe).tolist() == b.scores(probe).tolist()
+    with pytest.raises(ValueError, match="training_rows"):
+        toxicity.fit(df, rows=299)
+    labels = df.select("doc_id", "toxic").unionByName(df.select("doc_id", F.lit(7).alias("toxic"))).unionByName(spark.createDataFrame([(None, 1)], "doc_id long, toxic int"))
+    chosen = toxicity.training_rows(df.drop("toxic").unionByName(df.drop("toxic")), labels, F.lit(True), 100).collect()
+    assert len(chosen) == 100 == len({r.doc_id for r in chosen}) and {r.toxic for r in chosen} == {0, 1}
 
 
 # --- shards ---
 
 
-def test_compaction_keeps_every_row_and_commits_versions(spark):
+def test_compaction_keeps_every_row_and_commits_versions(spark, monkeypatch):
+    monkeypatch.setattr(shards, "WHOLE_EVERY", 4)
     store = shards.Store(spark, shared_folder(spark))
     rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("text"), F.lit(None).cast("string").alias("shard_note"))
     for k in range(6):
         store.append(rows.where(F.col("doc_id") % 6 == k).coalesce(2))
-    assert store.version() == 6 and len(store.manifest()) == 12
+    assert store.version() == 6 and [r.files for r in store.manifest()] == [2] * 6
     before = store.manifest(6)
     done = store.compact(target=1 << 20, fanout=3)
     assert done > 6
-    assert {s.level for s in store.manifest()} != {0} and len(store.manifest()) < 12
+    assert {r.level for r in store.manifest()} != {0} and len(store.manifest()) < 6
     got = sorted((r.doc_id, r.text) for r in store.read().collect())
     assert got == sorted((r.doc_id, r.text) for r in rows.collect())
     assert sorted(r.doc_id for r in store.read(6).collect()) == list(range(2000))
-    assert store.manifest(6) == before
+    assert store.manifest(6) == before and [len(store.manifest(v)) for v in range(7)] == list(range(7))
     with pytest.raises(shards.Conflict):
-        store.commit(3, [])
+        store.commit(3, [], [])
+    with pytest.raises(ValueError, match="columns"):
+        store.append(rows.select("doc_id"))
     assert store.remove_dead() > 0
     assert store.read().count() == 2000 and store.remove_dead() == 0
-    assert sum(s.rows for s in store.manifest()) == 2000
+    assert sum(r.rows for r in store.manifest()) == 2000
 
 
 def test_tiers():
-    s = lambda run, size: shards.Shard(run + "/f", run, size, 1, 0)
+    s = lambda run, size: shards.Run(run, 1, size, 1, 0)
     assert shards.due_runs([s("a", 100), s("b", 110), s("c", 90)], 10_000, 4) == set()
     assert shards.due_runs([s("a", 100), s("b", 110), s("c", 90), s("d", 95), s("big", 9000)], 10_000, 4) == {"a", "b", "c", "d"}
     assert shards.due_runs([], 10, 4) == set()
 
 
-def test_an_empty_store(spark):
+def test_a_store_of_odd_rows(spark):
     store = shards.Store(spark, shared_folder(spark))
-    assert store.version() == 0 and store.manifest() == [] and store.compact() == 0
-    with pytest.raises(ValueError, match="empty"):
+    assert store.version() == 0 and store.manifest() == [] and store.compact() == 0 and store.remove_dead() == 0
+    with pytest.raises(ValueError, match="ever"):
         store.read()
+    kind = "doc_id long, text string, shard string, _arrival0 int, `odd name` string"
+    store.append_arrivals(spark.createDataFrame([], kind), F.col("doc_id"))
+    assert store.version() == 1 and store.read().count() == 0
+    assert store.read().columns == ["doc_id", "text", "shard", "_arrival0", "odd name", "_shard0"]
+    odd = [(1, None, "s", 3, None), (1, None, "s", 3, None), (None, "", None, None, "x"), (2, "long " * 100_000, "t", 9, "y")]
+    rows = spark.createDataFrame(odd, kind)
+    assert store.append_arrivals(rows, F.col("doc_id")) == 4
+    store.append(rows.limit(0))
+    store.append(rows)
+    store.compact(fanout=2)
+    got = store.read().drop("_shard0").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(odd * 2, key=str)
+    assert store.remove_dead() > 0 and store.read().count() == 8
+
+
+def test_an_empty_documents_table(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op1_sharding(spark, str(tmp_path))
+    assert got.count() == 0 and "shard" in got.columns
 
 
 # --- queries and pipeline ---

@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
+from pyspark.sql import functions as F
 
 from shutterloom.llm import bpe, bytewords, fingerprints, parity_join, suffixes
 from shutterloom.llm.shared import Tables
@@ -156,13 +159,82 @@ def test_cut_keeps_the_first_occurrence_and_clean_rows(spark):
     assert out[2].n_chars == len(out[2].text)
     assert 3 not in out
     assert out[4].text is None and out[5].text == "" and out[6].text == rows[5][1]
-    spans = {(r.doc_id, r.start_word, r.end_word, r.kept) for r in suffixes.repeated_spans(found).collect()}
-    assert spans == {(1, 1, 61, True), (2, 1, 61, False), (3, 0, 60, False)}
-    assert suffixes.repeats(frame(spark, []), Tables(spark)).count() == 0
+    spans = {tuple(r) for r in suffixes.repeated_spans(found).collect()}
+    assert spans == {(1, 1, 61, True, 1), (2, 1, 61, False, 1), (3, 0, 60, False, 1)}
+    nothing = suffixes.repeats(frame(spark, []), Tables(spark))
+    assert nothing.count() == 0
+    assert suffixes.without_repeats(frame(spark, []), nothing).count() == 0
+
+
+def test_rows_that_repeat_are_cut_but_for_one(spark):
+    long, other = " ".join("r%d" % i for i in range(70)), " ".join("s%d" % i for i in range(55))
+    rows = [(1, long), (1, long), (1, long), (2, "head " + long), (4, "few words"), (4, "few words"), (5, other), (5, other), (6, long + " x"), (6, long + " y")]
+    docs = frame(spark, rows).withColumn("_cut0", F.monotonically_increasing_id())
+    found = suffixes.repeats(docs, Tables(spark))
+    got = suffixes.without_repeats(docs, found)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, long), (2, "head "), (4, "few words"), (4, "few words"), (5, other), (6, " x"), (6, " y")]
+    spans = sorted(tuple(r) for r in suffixes.repeated_spans(found).collect())
+    assert spans == [(1, 0, 70, False, 2), (1, 0, 70, True, 1), (2, 1, 71, False, 1), (5, 0, 55, False, 1), (6, 0, 70, False, 1), (6, 0, 70, False, 1)]
+
+
+@pytest.mark.parametrize(("least", "prefix"), [(50, 25), (9, 6)])
+def test_equal_hashes_do_not_cut_different_words(spark, monkeypatch, least, prefix):
+    monkeypatch.setattr(suffixes, "passage_hashes", lambda ids, q: np.zeros(max(0, len(ids) - q + 1), np.uint64))
+    rows = corpus(8)
+    batch = list(suffixes._surroundings(prefix, least - prefix + 1)(around_batches(rows, least, prefix)))
+    whole = pa.concat_batches(batch)
+    order = pa.compute.sort_indices(whole, sort_keys=[(c, "ascending") for c in ("deal", "doc", "mark", "place")])
+    whole = whole.take(order)
+    whole = whole.set_column(0, "deal", pa.array(np.zeros(len(whole), np.int64)))
+    out = suffixes._compared_rows(whole, least).to_pydict()
+    later = {(d, p + j) for d, p, m in zip(out["doc"], out["place"], out["later"], strict=True) for j in range(63) if m >> j & 1}
+    # Sorted by deal, not by place, so only the union of first and later is told.
+    first = {(d, p + j) for d, p, m in zip(out["doc"], out["place"], out["first"], strict=True) for j in range(63) if m >> j & 1}
+    a, b = brute_repeats(rows, least)
+    assert later | first == a | b
+
+
+def around_batches(rows, least, prefix):
+    """Every kept suffix of all rows, as if each had been repeated."""
+    texts = pa.array([t or "" for _, t in rows])
+    places = [[] for _ in rows]
+    for words in bytewords.word_chunks(texts):
+        every = suffixes.long_grams(words.hashes, prefix)
+        for i in range(len(words)):
+            a, b = words.bounds[i], words.bounds[i + 1]
+            if b - a >= least:
+                places[words.first + i] = (2 * suffixes.minimisers(every[a : b - prefix + 1], least - prefix + 1)).tolist()
+    packed = pa.array([np.array(p, np.int32).tobytes() for p in places], pa.binary())
+    ids = pa.array([i for i, _ in rows], pa.int64())
+    yield pa.RecordBatch.from_arrays([ids, ids, texts, packed], ["doc", "mark", "text", "places"])
+
+
+def test_beginnings_that_very_many_share(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "MANY", 2)
+    monkeypatch.setattr(suffixes, "REMEMBERED", 2000)
+    monkeypatch.setattr(suffixes, "COMPARED", 3000)
+    rows = corpus(9)
+    got = suffixes.repeats(frame(spark, rows), Tables(spark), 20, 9).collect()
+    later = {(r.doc_id, p) for r in got for p in r.later}
+    first = {(r.doc_id, p) for r in got for p in r.first}
+    assert (later, first) == brute_repeats(rows, 20)
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(3)
+    text = " ".join(str(rng.randrange(10**6)) for _ in range(120_000))
+    cut = text.split(" ")
+    again = " ".join(cut[50_000:50_200])
+    found = suffixes.repeats(frame(spark, [(1, text), (2, "a " + again + " b")]), Tables(spark))
+    assert {tuple(r) for r in suffixes.repeated_spans(found).collect()} == {(1, 50_000, 50_200, True, 1), (2, 1, 201, False, 1)}
 
 
 def jaccard(a, b):
-    a, b = Counter(a.lower().split()), Counter(b.lower().split())
+    def bag(text):
+        return Counter(t for w in text.lower().split() for t in ([w] if len(w) <= 20 else [w[k : k + 4] for k in range(len(w) - 3)]))
+
+    a, b = bag(a), bag(b)
     return sum((a & b).values()) / max(1, sum((a | b).values()))
 
 
@@ -196,6 +268,41 @@ def test_fingerprint_likeness_is_generalised_jaccard(spark):
     assert abs(same - jaccard(a, b)) < 0.05
 
 
+def test_scripts_without_blanks_are_alike_by_their_characters(spark):
+    rng = random.Random(4)
+    text = "".join(chr(rng.randint(0x4E00, 0x4F00)) for _ in range(600))
+    near = text[:300] + "一" + text[300:]
+    got = {r.doc_id: r for r in fingerprints.edited_and_next(frame(spark, [(1, text), (2, near)]), 2).collect()}
+    assert got[1].near_next > 0.85 and abs(got[1].near_edited - jaccard(text, text[:450] + near[:150])) < 0.25
+
+
+def test_ranges_of_any_ids_and_repeated_rows(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 5, 5, 5, -(10**15), 7, 10**15]), rng.choice([None, "", "a b", "t%d" % rng.randrange(60)])) for _ in range(150)]
+    rows += [(5, "same text here")] * 20 + [(8, "long " * 60_000)]
+    got = fingerprints.edited_and_next(frame(spark, rows, 5), 24).collect()
+    assert len(got) == len(rows)
+    marks = {t or "": m for t, m in frame(spark, rows).select("text", fingerprints.text_mark().alias("m")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, marks[r[1] or ""], r[1] or ""))
+    wanted = []
+    for (i, t), (_, n) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        t, n = t or "", n or ""
+        wanted.append((i, len(t), hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest()))
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str) == sorted(wanted, key=str)
+
+
+def test_range_search(spark):
+    rng = random.Random(2)
+    for n in (0, 1, 2, 9, 50, 101):
+        bounds = sorted(rng.randint(-40, 40) for _ in range(n))
+        rows = [(rng.randint(-45, 45), rng.randint(-(2**63), 2**63 - 1)) for _ in range(200)] + [(None, 3)]
+        got = spark.createDataFrame(rows, "doc_id long, mark long").select("*", fingerprints.range_of(bounds, F.col("doc_id"), F.col("mark")).alias("r")).collect()
+        for r in got:
+            same = bounds.count(r.doc_id)
+            wanted = 0 if r.doc_id is None else sum(b < r.doc_id for b in bounds) + int(((r.mark + 2**63) >> 33) / 2**31 * same)
+            assert r.r == wanted
+
+
 def test_one_document_follows_itself(spark):
     (row,) = fingerprints.edited_and_next(frame(spark, [(7, "abcdefgh")]), 4).collect()
     assert row.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and row.near_next == 1.0
@@ -244,6 +351,26 @@ def test_bpe_where_a_lower_rank_comes_up():
         assert list(replay.memory[w]) == ids, w
 
 
+def test_a_very_long_word_whose_order_is_in_doubt():
+    ranks = {bytes([b]): b for b in range(256)} | {b"aa": 303, b"aaa": 298, b"ab": 302, b"ba": 301, b"aba": 300}
+    replay = bpe.MergeReplay(ranks, r"\S+")
+    rng = random.Random(8)
+    short = "".join(rng.choice("aab") for _ in range(700))
+    ids = list(short.encode())
+    while True:
+        pairs = [(ranks.get(replay.names[x] + replay.names[y], 10**9), k) for k, (x, y) in enumerate(zip(ids, ids[1:], strict=False))]
+        rank, k = min(pairs)
+        if rank == 10**9:
+            break
+        ids[k : k + 2] = [rank]
+    assert list(replay._one_by_one(short.encode())) == ids == next(replay.encode([short]))
+    long = "".join(rng.choice("aab") for _ in range(300_000))
+    start = time.perf_counter()
+    got = next(replay.encode([long]))
+    assert replay.decode(got) == long.encode() and time.perf_counter() - start < 60
+    assert got == list(replay._one_by_one(long.encode()))
+
+
 def test_bpe_columns(spark, tokenizer):
     ranks, pattern, reference = tokenizer
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "Hello world", "z"), (3, "Hello world", "z")], "doc_id long, text string, n_tokens string")
