@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterloom.llm import bpe, mixing, parity_join, suffixes, toxicity
-from shutterloom.llm.shared import Tables, sent_if_small, table
+from shutterloom.llm.shared import Tables, one_of_each, sent_if_small, table
 
 #: The near-duplicate stage takes shingles of five words and a similarity of 0.8 or more.
 SHINGLE, SIMILARITY = 5, (4, 5)
@@ -33,8 +33,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group the document with the smallest id; documents without id or words are not in groups."""
+    """Keep of each group the document with the smallest id, and of rows with equal id and text one; documents without id
+    or words are not in groups. An empty table stays empty."""
     tables = Tables(spark)
+    docs = one_of_each(docs, tables)
     groups = parity_join.parity_join(docs, tables, SHINGLE, *SIMILARITY)
     gone = tables.put(groups.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
     return docs.join(sent_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
