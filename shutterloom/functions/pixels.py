@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .providers import largest_blob
 
 DECODED = "height int, width int, rgb binary"
 
@@ -183,8 +182,3 @@ def card_variants(x: np.ndarray) -> list[np.ndarray]:
     low, high = np.percentile(x, (2, 98))
     stretched = np.clip((x.astype(np.float64) - low) / max(high - low, 1.0) * 255, 0, 255).astype(np.uint8)
     return [x, stretched]
-
-
-def skin_share(x: np.ndarray) -> float:
-    """The largest bright region's share of a picture, for quick checks."""
-    return largest_blob(white(x)) / x[..., 0].size

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scalars
+from . import scalars, scores
 
 
 class Provider(Protocol):
@@ -31,9 +31,9 @@ class FunctionProvider:
 
 
 def asked(rows: DataFrame, prompt: Column, provider: Provider, name: str = "answer", attempts: int = 1, usable: Callable[[str], bool] = lambda _: True) -> DataFrame:
-    """The call of M01 to M10, M12 to M15, H14, H15: `rows` with the provider's answer. Failures give null; each row is tried `attempts` times.
+    """H14, H15 and the call of M01 to M10, M12 to M15: `rows` with the provider's answer. Failures give null; each row is tried `attempts` times.
 
-    What an answer or its lack means is in evaluation(), eye_judgement(), same_group() and card_reading(). A null prompt is not sent,
+    What an answer or its lack means is in evaluation(), club_evaluation(), eye_judgement(), same_group(), unified_read(), card_read(), staff_records(), card_reading() and teacher_read(). A null prompt is not sent,
     and an answer that is not `usable` is a failure. The call is not deterministic, so filters meant to spare calls must come before it in the plan.
     """
 
@@ -144,6 +144,112 @@ def card_reading(answer: Column, grade: Column) -> Column:
     return F.struct((reason == "").alias("accepted"), label["class_id"].alias("class_id"), label["student_number"].alias("student_number"), reason.alias("reason"))
 
 
+CLUB_SCORES = ("formality_score", "beauty_score", "expression_score", "emotion_score", "people_count_score", "gesture_expression_penalty")
+
+
+def club_evaluation(answer: Column, people: Column, closed: Column) -> Column:
+    """A club photo's evaluation; without an object in the answer the rule of P06 stands in, field by field nothing does.
+
+    struct(formality, beauty, expression, emotion, people_count, gesture_penalty, eyes_closed, is_ng, ng_reason, from_model).
+    """
+    e = scalars.json_fields(answer, ", ".join(f"{n} double" for n in CLUB_SCORES) + ", eyes_closed string, is_ng string, ng_reason string")
+    rule = scores.fallback_evaluation(people, closed)
+    fields = dict(zip(CLUB_SCORES, ("formality", "beauty", "expression", "emotion", "people_count"), strict=False))
+    known = e.isNotNull()
+    return F.struct(
+        *[F.when(known, F.coalesce(e[n], F.lit(0.0))).otherwise(rule[f].cast("double")).alias(f) for n, f in fields.items()],
+        F.when(known, F.coalesce(e["gesture_expression_penalty"], F.lit(0.0))).otherwise(0.0).alias("gesture_penalty"),
+        F.when(known, scalars.as_boolean(e["eyes_closed"])).otherwise(rule["eyes_closed"]).alias("eyes_closed"),
+        F.when(known, scalars.as_boolean(e["is_ng"])).otherwise(rule["is_ng"]).alias("is_ng"),
+        F.when(known, F.coalesce(e["ng_reason"], F.lit(""))).otherwise(rule["ng_reason"]).alias("ng_reason"), known.alias("from_model"),
+    )
+
+
+CARD = "name string, subject string, confidence double, uncertain_chars string"
+PORTRAIT = "suitability_score double, beauty_score double, expression_score double, is_ng string, ng_reason string, short_comment string"
+#: Confidence under which a card is read again.
+SURE_READ = 0.70
+
+
+def card_read(answer: Column) -> Column:
+    """struct(name, subject, confidence, uncertain_chars, error, raw); an answer without an object is an error and kept as it came."""
+    c = scalars.json_fields(answer, CARD)
+    lost = c.isNull()
+    return F.struct(
+        c["name"].alias("name"), c["subject"].alias("subject"), c["confidence"].alias("confidence"), F.when(~lost, F.coalesce(c["uncertain_chars"], F.lit(""))).alias("uncertain_chars"),
+        F.when(lost, "no JSON object").alias("error"), F.when(lost, answer).alias("raw"),
+    )
+
+
+def unified_read(answer: Column) -> Column:
+    """struct(image_type, card fields, portrait fields, composite_score, error, raw) of an answer that is of a card or of a portrait.
+
+    Without an image type it is a portrait; P09 gives the portrait's composite, and missing scores count 0.
+    """
+    o = scalars.json_fields(answer, f"image_type string, card struct<{CARD.replace(' ', ': ').replace(',:', ',')}>, portrait struct<{PORTRAIT.replace(' ', ': ').replace(',:', ',')}>")
+    lost, kind = o.isNull(), F.coalesce(o["image_type"], F.lit("portrait"))
+    card, portrait = ~lost & (kind == "card"), ~lost & (kind != "card")
+    score = lambda n: F.coalesce(o["portrait"][n], F.lit(0.0))
+    is_ng = scalars.as_boolean(o["portrait"]["is_ng"])
+    composite = scores.portrait_composite(score("suitability_score"), score("beauty_score"), score("expression_score"), is_ng)
+    return F.struct(
+        F.when(~lost, kind).alias("image_type"), F.when(card, F.coalesce(o["card"]["name"], F.lit(""))).alias("name"), F.when(card, F.coalesce(o["card"]["subject"], F.lit(""))).alias("subject"),
+        F.when(card, F.coalesce(o["card"]["confidence"], F.lit(0.0))).alias("confidence"), F.when(card, F.coalesce(o["card"]["uncertain_chars"], F.lit(""))).alias("uncertain_chars"),
+        *[F.when(portrait, score(n)).alias(n) for n in ("suitability_score", "beauty_score", "expression_score")], F.when(portrait, composite).alias("composite_score"),
+        F.when(portrait, is_ng).alias("is_ng"), F.when(portrait, o["portrait"]["ng_reason"]).alias("ng_reason"), F.when(portrait, F.coalesce(o["portrait"]["short_comment"], F.lit(""))).alias("short_comment"),
+        F.when(lost, "no JSON object").alias("error"), F.when(lost, answer).alias("raw"),
+    )
+
+
+def read_twice(rows: DataFrame, request: Column, again: Callable[[Column], Column], provider: Provider, name: str = "card") -> DataFrame:
+    """M07, M08 with A34: cards read once, and again with `again(first reading)` where the first was not sure; the surer reading stays."""
+    first = asked(rows, request, provider, "_first").withColumn("_first", card_read(F.col("_first")))
+    doubtful = F.col("_first.error").isNull() & (F.coalesce("_first.confidence", F.lit(0.0)) < SURE_READ)
+    both = asked(first, F.when(doubtful, again(F.col("_first"))), provider, "_again")
+    second = F.when(F.col("_again").isNotNull(), card_read(F.col("_again")))
+    better = second["error"].isNull() & second.isNotNull() & (F.coalesce(second["confidence"], F.lit(0.0)) >= F.coalesce("_first.confidence", F.lit(0.0)))
+    return both.withColumn(name, F.when(F.coalesce(better, F.lit(False)), second).otherwise(F.col("_first"))).withColumn("retried", doubtful).drop("_first", "_again")
+
+
+RECORDS = (
+    "teacher_name string, surname string, given_name string, subjects array<string>, role_tags array<string>, classes_or_grades array<string>, confidence double, source_type string, notes string"
+)
+
+
+def staff_records(answers: DataFrame, keys: list[str], answer: str = "answer") -> DataFrame:
+    """The records of answers, one row each with `keys` and its place; an answer without an object, or without records, has none."""
+    nested = ", ".join(f"{n}: {t}" for n, t in (c.split(" ", 1) for c in RECORDS.split(", ")))
+    found = answers.select(*keys, scalars.json_fields(F.col(answer), f"records array<struct<{nested}>>")["records"].alias("_records"))
+    return found.select(*keys, F.posexplode("_records").alias("place", "_r")).where("_r is not null").select(*keys, "place", "_r.*")
+
+
+def repaired_rows(rows: DataFrame, by: list[str], position: str, text: str, request: Callable[[Column, Column], Column], provider: Provider, size: int = 18) -> DataFrame:
+    """Rows of a page, `size` at a time, put right by a model: staff_records() with `by` and chunk. `request` gets chunk number and text."""
+    from ..operators import ranking
+
+    chunks = ranking.chunk_texts(rows, by, position, text, size)
+    return staff_records(asked(chunks, request(F.col("chunk") + 1, F.col("text")), provider), [*by, "chunk"])
+
+
+TEACHER = "name string, family_name string, given_name string, class_label string, role string"
+
+
+def teacher_read(first: Column, second: Column) -> Column:
+    """M15 with A33: struct(name, class_label, role, confidence) of two answers; null if either has no object, or if neither name nor class is read.
+
+    Of family and given names that differ the longer counts, the first of two; a class or role missing in the first comes
+    from the second; the name as a whole is the first answer's, if it gives one.
+    """
+    a, b = scalars.json_fields(first, TEACHER), scalars.json_fields(second, TEACHER)
+    text = lambda x, n: F.coalesce(x[n], F.lit(""))
+    same = (text(a, "family_name") == text(b, "family_name")) & (text(a, "given_name") == text(b, "given_name"))
+    longer = lambda n: F.when(F.length(text(b, n)) > F.length(text(a, n)), text(b, n)).otherwise(text(a, n))
+    either = lambda n: F.when(text(a, n) != "", text(a, n)).otherwise(text(b, n))
+    name = F.when(text(a, "name") != "", text(a, "name")).otherwise(F.trim(F.concat_ws(" ", longer("family_name"), longer("given_name"))))
+    read = F.struct(name.alias("name"), either("class_label").alias("class_label"), either("role").alias("role"), F.when(same, 0.97).otherwise(0.90).alias("confidence"))
+    return F.when(a.isNotNull() & b.isNotNull() & ((name != "") | (either("class_label") != "")), read)
+
+
 def prompt(event: Column, grade: Column, folder: Column) -> Column:
     """The evaluation request for a photo of an event."""
     return F.format_string("Rate this %s photo (folder %s, grade %s). Answer with one JSON object.", event, folder, grade)
@@ -188,7 +294,8 @@ def photo_features(pictures: DataFrame) -> DataFrame:
                     rows.append((r.id, *[None] * len(names), type(e).__name__))
             yield pd.DataFrame(rows, columns=["id", *names, "failure"])
 
-    return pictures.select("id", "height", "width", "rgb").mapInPandas(run, f"id long, {FEATURES}, failure string")
+    kind = pictures.schema["id"].dataType.simpleString()
+    return pictures.select("id", "height", "width", "rgb").mapInPandas(run, f"id {kind}, {FEATURES}, failure string")
 
 
 def skin_gesture(rgb: np.ndarray, box: tuple[int, int, int, int] | None) -> float:

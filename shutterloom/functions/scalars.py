@@ -346,8 +346,8 @@ def shown_boolean(value: Column) -> Column:
 
 
 def header(name: str) -> str:
-    """The display name of a column, itself if there is none."""
-    return tables.HEADERS.get(name, name)
+    """The display name of a column, else of a term, else itself."""
+    return tables.HEADERS.get(name) or tables.DISPLAY_TERMS.get(name, name)
 
 
 def sheet_value(value: Column, kind: str) -> Column:

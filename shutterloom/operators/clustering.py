@@ -72,39 +72,45 @@ def best_fit(emb: np.ndarray, seconds: np.ndarray, steps: np.ndarray, shape: Seq
     cosine to centroid or representative wins, the earlier of two. quality orders members; the highest represents.
     zero_gap_unknown keeps the older treatment of a gap of exactly zero to the representative as unknown."""
     unit = _unit(emb)
-    sums, sizes, rep, span = [], [], [], []
+    rep: list[int] = []
+    span: list[tuple] = []
+    # Sums of members, and the unit vectors of their centroids: one row per cluster, in room that doubles.
+    sums, centers = np.zeros((8, unit.shape[1])), np.zeros((8, unit.shape[1]))
+    sizes = np.zeros(8, np.int64)
     out: list[tuple[int, float, str]] = []
+
+    def accepted(i: int, k: int, score: float) -> str | None:
+        low_t, high_t, low_s, high_s = span[k]
+        to_rep = abs(seconds[rep[k]] - seconds[i])
+        if zero_gap_unknown and to_rep == 0:
+            to_rep = np.nan
+        gaps = [g for g in (to_rep, abs(low_t - seconds[i]), abs(high_t - seconds[i])) if not np.isnan(g)]
+        jumps = [g for g in (abs(steps[rep[k]] - steps[i]), abs(low_s - steps[i]), abs(high_s - steps[i])) if not np.isnan(g)]
+        gap, jump = min(gaps, default=np.inf), min(jumps, default=np.inf)
+        if score >= INTEGRATED[0]:
+            return "strict"
+        if score >= INTEGRATED[1] and (gap <= WIDE_SECONDS or jump <= STEPS):
+            return "relaxed"
+        if gap <= NARROW_SECONDS or jump <= STEPS or shape[i] != shape[rep[k]]:
+            return "relaxed_near"
+        return None
+
     for i in range(len(unit)):
-        best: tuple[int, float, str] | None = None
-        for k in range(len(sums)):
-            centroid = _unit(sums[k] / sizes[k])
-            score = float(max(centroid @ unit[i], unit[rep[k]] @ unit[i]))
-            if best is not None and score <= best[1]:
-                continue
-            low_t, high_t, low_s, high_s = span[k]
-            to_rep = abs(seconds[rep[k]] - seconds[i])
-            if zero_gap_unknown and to_rep == 0:
-                to_rep = np.nan
-            gaps = [g for g in (to_rep, abs(low_t - seconds[i]), abs(high_t - seconds[i])) if not np.isnan(g)]
-            jumps = [g for g in (abs(steps[rep[k]] - steps[i]), abs(low_s - steps[i]), abs(high_s - steps[i])) if not np.isnan(g)]
-            gap, jump = min(gaps, default=np.inf), min(jumps, default=np.inf)
-            if score >= INTEGRATED[0]:
-                rule = "strict"
-            elif score >= INTEGRATED[1] and (gap <= WIDE_SECONDS or jump <= STEPS):
-                rule = "relaxed"
-            elif score >= INTEGRATED[2] and (gap <= NARROW_SECONDS or jump <= STEPS or shape[i] != shape[rep[k]]):
-                rule = "relaxed_near"
-            else:
-                continue
-            best = (k, score, rule)
+        n = len(rep)
+        scores = np.maximum(centers[:n] @ unit[i], unit[rep] @ unit[i]) if n else np.zeros(0)
+        near = np.flatnonzero(scores >= INTEGRATED[2])
+        near = near[np.argsort(-scores[near], kind="stable")].tolist()
+        best = next(((k, float(scores[k]), rule) for k in near if (rule := accepted(i, k, float(scores[k])))), None)
         if best is None:
-            best = (len(sums), 1.0, "new_cluster")
-            sums.append(unit[i] * 0)
-            sizes.append(0)
+            best = (n, 1.0, "new_cluster")
             rep.append(i)
             span.append((np.nan, np.nan, np.nan, np.nan))
+            if n == len(sums):
+                sums, centers, sizes = (np.concatenate((x, np.zeros_like(x))) for x in (sums, centers, sizes))
         k = best[0]
-        sums[k], sizes[k] = sums[k] + emb[i], sizes[k] + 1
+        sums[k] += emb[i]
+        sizes[k] += 1
+        centers[k] = _unit(sums[k] / sizes[k])
         if quality[i] > quality[rep[k]]:
             rep[k] = i
         t, s = seconds[i], steps[i]

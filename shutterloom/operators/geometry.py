@@ -34,7 +34,7 @@ def canonical_offsets(frames: DataFrame, guides: DataFrame, by: str) -> DataFram
 
 def guide_ratios(frames: DataFrame, guides: DataFrame, canonical: DataFrame, by: str) -> DataFrame:
     """Per frame the guides nearest to the canonical offsets, within REACH, as shares of its height; null if one is missing."""
-    rows = frames.join(F.broadcast(canonical), by)  # one row per page
+    rows = frames.join(relational.small(canonical), by)
     wanted = rows.select(by, "frame", "top", "bottom", F.explode(F.array(F.struct(F.lit("top").alias("kind"), (F.col("top") + F.col("top_offset")).alias("target")), F.struct(F.lit("bottom").alias("kind"), (F.col("top") + F.col("bottom_offset")).alias("target")))).alias("t"))
     wanted = wanted.select(by, "frame", "top", "bottom", "t.*").withColumn("low", F.col("target") - REACH - 1e-9).withColumn("high", F.col("target") + REACH + 1e-9)
     near = relational.within_bands(guides, wanted, [by], "y", "low", "high", CELL)
@@ -46,9 +46,17 @@ def guide_ratios(frames: DataFrame, guides: DataFrame, canonical: DataFrame, by:
     return frames.join(best, [by, "frame"], "left").select(by, "frame", share("top_y").alias("top_ratio"), share("bottom_y").alias("bottom_ratio"))
 
 
+def strict_ratios(frames: DataFrame, guides: DataFrame, by: str) -> DataFrame:
+    """Per frame (by, frame, top, bottom) the first and last guide strictly inside, as shares of its height; null with fewer than two."""
+    inside = relational.within_bands(guides, frames, [by], "y", "top", "bottom", CELL)
+    ends = inside.groupBy(by, "frame").agg(F.count("*").alias("_n"), F.min("y").alias("_first"), F.max("y").alias("_last")).where("_n >= 2")
+    share = lambda c: F.round((F.col(c) - F.col("top")) / (F.col("bottom") - F.col("top")), 3)
+    return frames.join(ends, [by, "frame"], "left").select(by, "frame", share("_first").alias("top_ratio"), share("_last").alias("bottom_ratio"))
+
+
 def own_guides(guides: DataFrame, student_frames: DataFrame, canonical: DataFrame, by: str, reach: float = 1.5) -> DataFrame:
     """Guides that are not where a student row has its guides, for frames outside the grid."""
-    rows = student_frames.join(F.broadcast(canonical), by)
+    rows = student_frames.join(relational.small(canonical), by)
     taken = rows.select(by, F.explode(F.array(F.col("top") + F.col("top_offset"), F.col("top") + F.col("bottom_offset"))).alias("at")).distinct()
     bands = taken.withColumn("low", F.col("at") - reach - 1e-9).withColumn("high", F.col("at") + reach + 1e-9)
     hit = relational.within_bands(guides, bands, [by], "y", "low", "high", CELL).select(by, "y").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from .relational import small
 
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str = "rank") -> DataFrame:
@@ -103,3 +104,56 @@ def least_tier(df: DataFrame, by: Sequence[str], tiers: Sequence[Column]) -> Dat
         tier = F.when(F.coalesce(tiers[k], F.lit(False)), k).otherwise(tier)
     df = df.withColumn("tier", tier)
     return df.withColumn("_least", F.min("tier").over(Window.partitionBy(*by))).where("tier <= _least").drop("_least")
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+    """(by, quantiles): exact percentiles of each group with interpolation, as an array beside `shares`; nulls do not count.
+
+    A sketch brackets each percentile; only values between the brackets are counted one by one, the others are just
+    counted, so no task holds a large group. Groups of up to ten times `accuracy` values are looked at whole.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    step = 2.0 / accuracy
+    ends = [max(0.0, p - step) for p in shares] + [min(1.0, p + step) for p in shares]
+    groups = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", ends, accuracy).alias("_b"))
+    whole = F.col("_n") <= 10 * accuracy
+    low = [F.when(whole | F.lit(p <= step), F.lit(float("-inf"))).otherwise(F.col("_b")[i]) for i, p in enumerate(shares)]
+    high = [F.when(whole | F.lit(p >= 1 - step), F.lit(float("inf"))).otherwise(F.col("_b")[len(shares) + i]) for i, p in enumerate(shares)]
+    # A missing column that all groups share, so that no grouping is one group.
+    every = list(by) or ["_all"]
+    groups = groups.select(*by, F.lit(0).alias("_all"), "_n", F.array(*low).alias("_low"), F.array(*high).alias("_high"))
+    met = rows.withColumn("_all", F.lit(0)).join(small(groups), [*by, "_all"])
+    below = met.groupBy(*every).agg(F.max("_n").alias("_n"), *[F.count_if(F.col("_v") < F.col("_low")[i]).alias(f"_below{i}") for i in range(len(shares))])
+    inside = F.filter(F.sequence(F.lit(0), F.lit(len(shares) - 1)), lambda i: (F.col("_v") >= F.col("_low")[i]) & (F.col("_v") <= F.col("_high")[i]))
+    counted = met.select(*every, "_v", F.explode(inside).alias("_i")).groupBy(*every, "_i", "_v").agg(F.count("*").alias("_c"))
+    counted = counted.join(below, every)
+    upto = F.sum("_c").over(Window.partitionBy(*every, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    before = F.element_at(F.array(*[F.col(f"_below{i}") for i in range(len(shares))]), F.col("_i") + 1)
+    place = F.element_at(F.array(*[F.lit(float(p)) for p in shares]), F.col("_i") + 1) * (F.col("_n") - 1)
+    counted = counted.select(*every, "_i", "_v", (before + upto).alias("_upto"), place.alias("_place"))
+    at = counted.groupBy(*every, "_i").agg(
+        F.min(F.when(F.col("_upto") > F.floor("_place"), F.col("_v"))).alias("_a"), F.min(F.when(F.col("_upto") > F.ceil("_place"), F.col("_v"))).alias("_b"), F.max(F.col("_place") - F.floor("_place")).alias("_share"),
+    )
+    each = F.array_sort(F.collect_list(F.struct("_i", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_share")).alias("q"))))
+    return at.groupBy(*every).agg(F.transform(each, lambda x: x["q"]).alias("quantiles")).select(*by, "quantiles")
+
+
+def numbered_in_all(df: DataFrame, order: Sequence[Column | str], lead: Column, name: str = "rank", ranges: int = 200) -> DataFrame:
+    """1, 2, ... over the whole table without one task that sees all rows. `lead` is a long that ascends with `order`.
+
+    Rows are dealt to ranges of `lead`, numbered there, and moved on by the number of rows in the ranges before.
+    """
+    rows = df.withColumn("_lead", lead)
+    bounds = sorted(set(rows.select(F.percentile_approx("_lead", [k / ranges for k in range(1, ranges)], 4 * ranges)).first()[0] or []))
+    every = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    rows = rows.withColumn("_range", F.size(F.filter(every, lambda b: b < F.col("_lead"))) if bounds else F.lit(0))
+    counts = rows.groupBy("_range").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per range
+    rows = rows.join(F.broadcast(counts.select("_range", before.alias("_before"))), "_range")
+    return numbered(rows, ["_range"], order, name).withColumn(name, F.col(name) + F.col("_before")).drop("_lead", "_range", "_before")
+
+
+def text_lead(text: Column, kind: Column) -> Column:
+    """A long that ascends with a small non-negative number and then with a text: the number and the text's first seven bytes."""
+    head = F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    return F.shiftleft(kind.cast("long"), 56) + F.coalesce(head, F.lit(0))

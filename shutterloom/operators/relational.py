@@ -15,6 +15,14 @@ def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def blocks(df: DataFrame, key: str, most: int = 10_000) -> list[DataFrame]:
+    """`df` in parts of about `most` rows, each small enough to be sent to every machine; parts go by a hash of `key`."""
+    n = -(-df.count() // most)
+    if n <= 1:
+        return [df]
+    return [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)]
+
+
 def roster_entries(roster: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
     """The first roster row for each key."""
     order = Window.partitionBy(*keys).orderBy(position)
@@ -166,20 +174,30 @@ def first_known(df: DataFrame, by: Sequence[str], value: str, position: str, nam
 def best_anchor(portraits: DataFrame, anchors: DataFrame, least: float) -> DataFrame:
     """Per portrait (id, emb) the anchor (anchor, pos, anchor_emb) of highest inner product above `least`, else null.
 
-    Anchors are cards of one school, a bounded list; a longer one is joined without broadcast and pre-aggregated per portrait.
+    Anchors meet the portraits in blocks that are sent to every machine; each block leaves one row per portrait.
     """
-    pairs = portraits.select("id", "emb").join(small(anchors, 10_000), F.lit(True))
-    score = vectors.dot(F.col("emb"), F.col("anchor_emb"))
-    best = pairs.select("id", "anchor", "pos", score.alias("score")).groupBy("id").agg(F.max(F.struct("score", (-F.col("pos")).alias("at"), "anchor")).alias("best"))
-    out = portraits.select("id").join(best, "id", "left")
+    found = None
+    for block in blocks(anchors, "anchor"):
+        pairs = portraits.select("id", "emb").join(F.broadcast(block), F.lit(True))
+        score = vectors.dot(F.col("emb"), F.col("anchor_emb"))
+        best = pairs.select("id", "anchor", "pos", score.alias("score")).groupBy("id").agg(F.max(F.struct("score", (-F.col("pos")).alias("at"), "anchor")).alias("best"))
+        found = best if found is None else found.unionByName(best).groupBy("id").agg(F.max("best").alias("best"))
+    out = portraits.select("id").join(found, "id", "left")
     return out.select("id", F.when(F.col("best.score") > least, F.col("best.anchor")).alias("anchor"), F.col("best.score").alias("score"))
 
 
 def top_similar(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """For each query (query, query_emb) the k rows (id, emb) of highest cosine, ties by id."""
-    pairs = index.join(small(queries, 10_000), F.lit(True)).select("query", "id", vectors.cosine(F.col("emb"), F.col("query_emb")).alias("score"))
+    """For each query (query, query_emb) the k rows (id, emb) of highest cosine, ties by id.
+
+    Queries meet the index in blocks that are sent to every machine; of a block, a partition hands on k rows per query.
+    """
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = None
+    for block in blocks(queries, "query"):
+        pairs = index.join(F.broadcast(block), F.lit(True)).select("query", "id", vectors.cosine(F.col("emb"), F.col("query_emb")).alias("score"))
+        best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def near_in_time(photos: DataFrame, by: str, seconds: int, steps: int) -> DataFrame:

@@ -57,21 +57,21 @@ class Album:
 
 def choose(rows: list[dict], event: str) -> list[tuple[int, str]]:
     """(place in `rows`, reason) of the chosen rows. `rows` are acceptable photos in order of preference."""
-    groups, landmarks, (cheering, _), transit, by_class, by_day, ball = EVENT_RULES[event]
-    album = Album(rows, transit)
+    rule = EVENT_RULES[event]
+    album = Album(rows, rule.transit_most)
     everywhere = range(len(rows))
 
     def full(n: int) -> Callable[[], bool]:
         return lambda: len(album.chosen) >= n
 
-    for terms in groups:
+    for terms in rule.tag_groups:
         wanted = (i for i in everywhere if any(t in q or q in t for t in rows[i]["tags"] for q in terms))
         any(album.pick(i, "required: " + "/".join(terms)) for i in wanted)
-    for flag, least in (("landmark_visible", landmarks), ("cheering_shot", cheering), ("ball_visible", int(ball))):
+    for flag, least in (("landmark_visible", rule.landmarks), ("cheering_shot", rule.cheering[0]), ("ball_visible", int(rule.ball))):
         if least:
             album.until(lambda flag=flag, least=least: album.counts[flag] >= least, (i for i in everywhere if rows[i][flag]), flag)
-    if by_class or by_day:
-        key = "class_key" if by_class else "day_hint"
+    if rule.by_class or rule.by_day:
+        key = "class_key" if rule.by_class else "day_hint"
         waiting: dict[str, list[int]] = {}
         for i in everywhere:
             waiting.setdefault(rows[i][key], []).append(i)

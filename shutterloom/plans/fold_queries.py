@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, providers, scores
 from ..functions import scalars as X
-from ..operators import clustering, geometry, review, selection, staff
+from ..operators import clustering, geometry, relational, review, selection, staff
 from ..sources import files, rosters
 from ..streaming import incremental
 from .ranking_queries import EVALS, PHOTOS
@@ -47,7 +47,7 @@ def snap_run(df):
     reps = rows.groupBy("grp", "cluster").agg(F.max_by(F.struct("id", "focus", "emb", "seq"), F.struct("focus", -c("pos"))).alias("r"), F.count("*").alias("size"))
     reps = reps.select("grp", "cluster", "size", "r.*")
     centers = vectors.centroids(reps, ["grp"])
-    reps = reps.join(F.broadcast(centers), "grp").withColumn("rare", 1 - vectors.cosine(c("emb"), c("centroid")))
+    reps = reps.join(relational.small(centers), "grp").withColumn("rare", 1 - vectors.cosine(c("emb"), c("centroid")))
     n = {x: scores.between_extremes(c(x), ["grp"]) for x in ("focus", "seq", "rare")}
     scored = reps.withColumn("score", F.round(scores.snap_score(n["focus"], n["seq"], n["focus"], n["rare"]), 9))
     return ranking.buckets(scored, ["grp"], "score", "id").select("grp", "cluster", "size", "id", F.round("score", 6).alias("score"), "rank", "bucket")
@@ -109,9 +109,9 @@ def j04(cards, people):
     return staff.matched_cards(cards, people, "school")
 
 
-@query("x14_name_similarity", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.s_name AS x, b.s_name AS y FROM supplier a JOIN supplier b ON a.s_nationkey % 5 = b.s_nationkey % 5 AND a.s_suppkey < b.s_suppkey")
+@query("x14_name_similarity", "SELECT s_suppkey AS a, s_name AS x, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS b, lead(s_name) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS y FROM supplier")
 def x14(df):
-    """X13, X14 and X16 with composition and sequence matching."""
+    """X13, X14 and X16 with composition and sequence matching, of each supplier and the next one of its nation."""
     return df.select("a", "b", names.name_key(c("x")).alias("key"), F.round(names.name_similarity(c("x"), c("y")), 6).alias("similarity"), F.round(names.surname_similarity(c("x"), c("y")), 6).alias("surname"))
 
 
@@ -421,7 +421,10 @@ def teacher_run(spark: SparkSession, sf_dir: str):
     found = staff.matched_cards(cards, listed, "school").join(cards.select("card_id", "name", "confidence"), "card_id")
     final = scores.final_name(c("method"), c("confidence"), c("staff_name"), c("name"))
     rows = found.select("card_id", "method", "score", final["name"].alias("final_name"), final["source"].alias("name_source"))
-    return rows.withColumn("number", F.row_number().over(Window.partitionBy("final_name").orderBy("card_id")))
+    # Cards without a name are not numbered: they are many, and are no group.
+    named, rest = F.coalesce("final_name", F.lit("")) != "", F.coalesce("final_name", F.lit("")) == ""
+    numbers = F.row_number().over(Window.partitionBy("final_name").orderBy("card_id"))
+    return rows.where(named).withColumn("number", numbers).unionByName(rows.where(rest).withColumn("number", F.lit(None).cast("int")))
 
 
 QUERIES["teacher_run"] = teacher_run

@@ -65,8 +65,9 @@ def o04(df):
 def p03(photos):
     """P03 with A05: percentiles of the whole table, then arithmetic."""
     photos = photos.withColumn("res", c("comp") * 1000)
-    stats = photos.agg(*[F.percentile(n, F.array(F.lit(0.05), F.lit(0.95))).alias(f"q_{n}") for n in ("focus", "rare", "res")])
-    df = photos.join(F.broadcast(stats), F.lit(True))  # one row
+    df = photos
+    for n in ("focus", "rare", "res"):
+        df = df.join(F.broadcast(R.quantiles(photos, [], n, (0.05, 0.95)).withColumnRenamed("quantiles", f"q_{n}")), F.lit(True))  # one row
     n = {x: S.within_percentiles(c(x), c(f"q_{x}")[0], c(f"q_{x}")[1]) for x in ("focus", "rare", "res")}
     q = S.representative_quality(n["focus"], c("bright") * 4, n["rare"], n["res"], (c("pos") % 9 + 1).cast("double"), F.lit(4.0))
     return df.select("pos", F.round(q, 6).alias("quality"))
@@ -247,8 +248,8 @@ def a06(df):
 
 @query("a05_percentiles", PARTS, "SELECT grp, round(quantile_cont(focus, 0.05), 6) AS p5, round(quantile_cont(focus, 0.95), 6) AS p95 FROM {source} AS s GROUP BY grp")
 def a05(df):
-    q = F.percentile("focus", F.array(F.lit(0.05), F.lit(0.95)))
-    return df.groupBy("grp").agg(q.alias("q")).select("grp", F.round(c("q")[0], 6).alias("p5"), F.round(c("q")[1], 6).alias("p95"))
+    q = c("quantiles")
+    return R.quantiles(df, ["grp"], "focus", (0.05, 0.95)).select("grp", F.round(q[0], 6).alias("p5"), F.round(q[1], 6).alias("p95"))
 
 
 @query("a07_snap_summary", PARTS, BUCKETS.replace("{best}", "greatest(1, CAST(round_even(n * 0.30, 0) AS INT))").join(["SELECT grp, count(*) AS representatives, count(*) FILTER (WHERE bucket = 'final_selected') AS best, count(*) FILTER (WHERE bucket = 'ng') AS ng, count(*) FILTER (WHERE bucket = 'other_passing') AS other, round(100 * (1 - count(*) / 100.0), 2) AS reduction_percent, round(1 - count(*) / 100.0, 4) AS reduction FROM (", ") AS b GROUP BY grp"]))

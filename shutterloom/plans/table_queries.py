@@ -75,7 +75,8 @@ def h17(df):
 def o15(df):
     from ..operators import ranking
 
-    return ranking.numbered(df, [], [T.catalog_order(c("name")), "id"], "place").select("id", "place")
+    order = T.catalog_order(c("name"))
+    return ranking.numbered_in_all(df, [order, "id"], ranking.text_lead(c("name"), order["place"]), "place").select("id", "place")
 
 
 @query("h25_fitted", "SELECT p_partkey AS id, p_size * 20.0 AS w, 600.0 AS h FROM part", "SELECT id, round((36 - CASE WHEN w / h > 36.0 / 44 THEN 44 * (w / h) ELSE 36 END * 1.3) / 2 + 1.5, 4) AS x FROM {source} AS s")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.tables import IMAGE_SUFFIXES
+from ..operators.relational import small
 
 LISTING = "path string, modified timestamp, size long"
 
@@ -42,7 +43,7 @@ def events_of(files: DataFrame) -> DataFrame:
     named = files.withColumn("event_name", F.coalesce("folder", F.lit("")))
     events = named.select("event_name").distinct()
     number = F.row_number().over(Window.orderBy("event_name"))  # one row per event
-    return named.join(F.broadcast(events.withColumn("event_id", F.concat(F.lit("event_"), number.cast("string")))), "event_name")
+    return named.join(small(events.withColumn("event_id", F.concat(F.lit("event_"), number.cast("string")))), "event_name")
 
 
 def flattened(files: DataFrame) -> DataFrame:

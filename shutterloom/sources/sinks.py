@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +26,12 @@ def write_version(tables: Mapping[str, DataFrame], root: str, partitions: Mappin
     """Tables of a report under v{n + 1}, put in place by one rename when all are written."""
     spark = next(iter(tables.values())).sparkSession
     number = max(versions(spark, root), default=0) + 1
-    draft, final = f"{root.rstrip('/')}/.draft-v{number}", f"{root.rstrip('/')}/v{number}"
+    # Writers at the same time have drafts of their own; of two that end up at one version the later fails.
+    draft, final = f"{root.rstrip('/')}/.draft-{uuid.uuid4().hex}", f"{root.rstrip('/')}/v{number}"
     for name, df in tables.items():
         df.write.mode("overwrite").partitionBy(*(partitions or {}).get(name, [])).parquet(f"{draft}/{name}")
     source, fs = _fs(spark, draft)
-    if not fs.rename(source, _fs(spark, final)[0]):
+    if fs.exists(_fs(spark, final)[0]) or not fs.rename(source, _fs(spark, final)[0]):
         raise FileExistsError(final)
     return final
 

@@ -28,12 +28,17 @@ def checked(name: str) -> str:
 
 def members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """The members of all archives under `path`, by Spark's reader, so any store will do."""
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
+    return unpacked(files.select(F.col("path").alias("archive"), "content"), suffixes)
+
+
+def unpacked(archives: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """The members of archives (archive, content), one row each, folders left out; with `suffixes` those that end so."""
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for archive, content in zip(frame.path, frame.content, strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for archive, content in zip(frame.archive, frame.content, strict=True):
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
                     infos = [(checked(i.filename), i) for i in z.infolist() if not i.is_dir()]
                     for name, info in infos:
                         if not suffixes or name.lower().endswith(suffixes):

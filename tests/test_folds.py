@@ -194,7 +194,8 @@ def test_match_passes():
         return {"pos": pos, "name": name, "key": staff.names.key_of(name), "subjects": list(subjects)}
 
     people = [entry(0, "山田 太郎", "数学"), entry(1, "山田 次郎", "国語"), entry(2, "佐藤 花子", "英語"), entry(3, "鈴木 一二三四", "理科")]
-    match = lambda *a: (lambda p, m, s: (p["pos"] if p else None, m))(*staff.find_match(*a, people))
+    listed = staff.StaffList(people)
+    match = lambda *a: (lambda p, m, s: (p["pos"] if p else None, m))(*staff.find_match(*a, listed))
     assert match("山田太郎", "", 1.0) == (0, "exact")
     assert match("佐藤", "", 1.0) == (2, "partial")
     assert match("山田三郎", "", 0.9) == (0, "fuzzy")
@@ -204,6 +205,28 @@ def test_match_passes():
     assert SequenceMatcher(None, "山田太郎", "山田三郎").ratio() >= 0.72
 
 
+@pytest.mark.parametrize(("card", "subject", "confidence", "wanted"), [
+    ("安齋 一郎", "", 1.0, (0, "exact")), ("あんざい", "", 1.0, (5, "exact")), ("安斎", "", 0.1, (0, "partial")), ("安斎 二郎", "", 0.75, (0, "fuzzy")),
+    ("安斎 二郎", "", 0.6, (None, "none")), ("安斎 二郎", "数学", 0.9, (0, "fuzzy")), ("安斎 二郎", "数学2", 0.6, (0, "surname_subject")), ("安斎 美咲", "数", 0.99, (0, "surname_subject")),
+    ("安藤 一郎", "数学", 0.5, (None, "none")), ("佐々木治朗", "理科", 0.99, (3, "subject_fuzzy")), ("木 子", "国語", 0.99, (None, "none")), ("林 次", "体育", 0.99, (None, "none")),
+    ("長谷田 愛", "教頭", 0.5, (4, "fuzzy_surname_subject")), ("長谷田 愛", "教頭", 0.9, (None, "none")), ("　", "数学", 1.0, (None, "none")),
+])
+def test_each_rule_of_matching(card, subject, confidence, wanted):
+    rows = [("安斎 一郎", ["数学"]), ("小林 三", ["国語"]), ("林 三", ["保健体育"]), ("佐々木 次郎", ["理科"]), ("長谷川 優", ["教頭"]), ("アンザイ", [])]
+    listed = staff.StaffList([{"pos": k, "name": n, "key": staff.names.key_of(n), "subjects": s} for k, (n, s) in enumerate(rows)])
+    person, method, score = staff.find_match(card, subject, confidence, listed)
+    assert (person["pos"] if person else None, method) == wanted
+    assert score == (round(staff.names.similarity_of(card, person["name"]), 4) if person else 0.0)
+
+
+@given(st.lists(st.text("山田高橋花子太郎一二", max_size=5), max_size=30), st.text("山田高橋花子太郎一二", min_size=1, max_size=5), st.integers(1, 6))
+@settings(max_examples=80, deadline=None)
+def test_nearest_equals_scoring_all(people, card, most):
+    listed = staff.StaffList([{"name": n, "key": staff.names.key_of(n), "subjects": []} for n in people])
+    every = sorted(((staff.names.similarity_of(card, n), k) for k, n in enumerate(people)), key=lambda x: (-x[0], x[1]))
+    assert listed.nearest(staff.names.key_of(card), most) == every[:most]
+
+
 def test_partition_counts_do_not_matter(spark):
     emb, seconds, steps, focus = photos(3, 40)
     rows = [(i % 3, i, f"n{i:02d}", None if np.isnan(seconds[i]) else float(seconds[i]), None if np.isnan(steps[i]) else int(steps[i]), [float(x) for x in emb[i]], float(focus[i])) for i in range(40)]

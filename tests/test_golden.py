@@ -91,7 +91,7 @@ def test_name_keys_and_similarity():
     assert names.surname_part("山田 太郎") == "山田" and names.surname_part("山田太郎") == "山田" and names.surname_part("安二") == "安"
 
 
-@pytest.mark.parametrize(("raw", "whole"), [('{"a": [1, 2, {"b": 3', '{"a": [1, 2]}'), ('x {"a": 1} y', '{"a": 1}'), ("none", None), (None, None), ('{"a": [{"b": "x, y"}, {"c', '{"a": [{"b": "x, y"}]}')])
+@pytest.mark.parametrize(("raw", "whole"), [('{"a": [1, 2, {"b": 3', '{"a": [1, 2, {"b": 3}]}'), ('{"class": "3A", "n": 4, "x": "tr', '{"class": "3A", "n": 4}'), ('{"class": "3A", "n": 4', '{"class": "3A", "n": 4}'), ('{"a": 1, "b":', '{"a": 1}'), ('{"a": 1, "b": {"c": "x, y", "d": tr', '{"a": 1, "b": {"c": "x, y"}}'), ('{"a": "x', '{}'), ('[1, 2,', '[1, 2]'), ('x {"a": 1} y', '{"a": 1}'), ("none", None), (None, None), ('{"a": [{"b": "x, y"}, {"c', '{"a": [{"b": "x, y"}]}')])
 def test_json_repair(raw, whole):
     assert names.repaired(raw) == whole
 

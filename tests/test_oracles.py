@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from shutterloom.plans import fold_queries, ranking_queries, relational_queries, scalar_queries, table_queries  # noqa: F401
+from shutterloom.plans import fold_queries, ranking_queries, relational_queries, report_queries, scalar_queries, table_queries  # noqa: F401
 from shutterloom.plans.registry import ORACLES, QUERIES, TABLES
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from shutterloom.plans import fold_queries, ranking_queries, relational_queries, scalar_queries, table_queries  # noqa: F401
+from shutterloom.plans import fold_queries, ranking_queries, relational_queries, report_queries, scalar_queries, table_queries  # noqa: F401
 from shutterloom.plans.registry import QUERIES
 
 PYTHON = ("Python", "Pandas", "Arrow")

@@ -3,9 +3,8 @@
 from pyspark.sql import functions as F
 
 from shutterloom.functions import providers
-from shutterloom.llm import chat
 from shutterloom.operators import staff
-from shutterloom.plans import fold_queries, ranking_queries, relational_queries, scalar_queries, table_queries  # noqa: F401
+from shutterloom.plans import fold_queries, ranking_queries, relational_queries, report_queries, scalar_queries, table_queries  # noqa: F401
 from shutterloom.plans.registry import QUERIES
 
 
@@ -123,13 +122,3 @@ def test_the_largest_frame_is_that_of_all_parts(spark, sf):
 def test_every_line_is_a_word_on_its_page(spark, sf):
     words = QUERIES["c06_page_rows"](spark, sf).select(F.explode(F.split("text", " ")).alias("word"))
     assert words.where("word like 'w%'").count() >= 0.99 * table(spark, sf, "lineitem").count()
-
-
-def test_history_is_bounded_by_its_tokens_alone(monkeypatch):
-    for block in (4096, 350):
-        monkeypatch.setattr(chat, "BLOCK", block)
-        talk = chat._Conversation(1, 300, 100, lambda role, text: 1)
-        windows = [w for k in range(5000) for w in talk.add("user", f"t{k}")] + list(talk.cut(last=True))
-        assert sum(w[3] for w in windows) == 5000
-        assert [w[2] for w in windows] == [0] + [100] * (len(windows) - 1)
-        assert list(chat.read_turns(windows[1][5]))[0] == ("user", "t200")
