@@ -206,3 +206,44 @@ def read_back(windows: DataFrame) -> DataFrame:
             yield batch_of(done())
 
     return rows.mapInArrow(thrifty(run), f"conv_id {kind}, {DIGESTS}")
+
+
+def read_back_sql(turns: str, budget: int = BUDGET, history: int = HISTORY) -> str:
+    """The result of read_back() over chat_windows() with turn_tokens(), in DuckDB's SQL; `turns` is a table or query with conv_id, turn, role and text.
+
+    Where a window that starts at a turn ends, and where its history starts, follows from prefix sums alone; a recursion
+    then steps from each conversation's first window to its next.
+    """
+    back, mark = "chr(92)", "'<|'"
+    escapes = f"(length({{0}}) - length(replace({{0}}, {back}, ''))) + (length({{0}}) - length(replace({{0}}, {mark}, ''))) // 2"
+    size = f"length(role) + {escapes.format('role')} + (length(role) - length(replace(role, chr(10), ''))) + length(text) + {escapes.format('text')} + {len(START) + len(END) + 2}"
+    return f"""
+    WITH RECURSIVE rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM {turns}),
+    numbered AS (
+        SELECT *, row_number() OVER own AS i, 4 + CAST(ceil((octet_length(encode(role)) + octet_length(encode(text))) / 4.0) AS BIGINT) AS tokens, {size} AS chars FROM rows
+        WINDOW own AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+    summed AS (SELECT *, sum(tokens) OVER own AS upto, sum(chars) OVER own AS chars_upto FROM numbered WINDOW own AS (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+    leads AS (SELECT conv_id, tokens AS lead, chars AS lead_chars FROM summed WHERE i = 1 AND role = 'system'),
+    starts AS (
+        SELECT s.*, coalesce(lead, 0) AS lead, coalesce(lead_chars, 0) AS lead_chars, CASE WHEN lead IS NULL THEN 0 ELSE 1 END AS fixed,
+        {budget} - CASE WHEN i > 1 THEN coalesce(lead, 0) ELSE 0 END AS room FROM summed s LEFT JOIN leads l ON s.conv_id IS NOT DISTINCT FROM l.conv_id),
+    pasts AS (
+        SELECT a.conv_id, a.i, max(b.tokens_back) AS spent, max(b.chars_back) AS spent_chars FROM starts a,
+        LATERAL (SELECT a.upto - a.tokens - (b.upto - b.tokens) AS tokens_back, a.chars_upto - a.chars - (b.chars_upto - b.chars) AS chars_back FROM summed b
+            WHERE b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.i < a.i AND b.i > a.fixed AND a.upto - a.tokens - (b.upto - b.tokens) <= least({history}, a.room - a.tokens)) AS b
+        GROUP BY a.conv_id, a.i),
+    ends AS (
+        SELECT a.conv_id, a.i, coalesce(p.spent_chars, 0) AS spent_chars, max(b.i) AS last, max(b.chars_upto) - (a.chars_upto - a.chars) AS new_chars,
+        CASE WHEN a.i > 1 THEN a.lead_chars ELSE 0 END AS lead_chars
+        FROM starts a LEFT JOIN pasts p ON p.conv_id IS NOT DISTINCT FROM a.conv_id AND p.i = a.i
+        JOIN summed b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.i >= a.i AND (b.i = a.i OR b.upto - (a.upto - a.tokens) <= a.room - coalesce(p.spent, 0))
+        GROUP BY a.conv_id, a.i, p.spent_chars, a.chars_upto, a.chars, a.lead_chars),
+    windows AS (
+        SELECT * FROM ends WHERE i = 1 UNION ALL
+        SELECT e.* FROM windows w JOIN ends e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.last + 1),
+    sizes AS (SELECT conv_id, CAST(sum(spent_chars + new_chars + lead_chars) AS BIGINT) AS formatted_chars, count(*) AS n_windows FROM windows GROUP BY conv_id),
+    told AS (
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256
+        FROM summed GROUP BY conv_id)
+    SELECT t.*, formatted_chars, n_windows FROM told t JOIN sizes s ON s.conv_id IS NOT DISTINCT FROM t.conv_id"""

@@ -20,6 +20,8 @@ from .shared import free_names
 
 #: Hash buckets per leaf: one of them is sorted in one task.
 BUCKET_BITS = 14
+#: Budgets are whole tokens; what is short of one by less than this is rounding.
+WHOLE = 1e-6
 #: Leaves whose budgets are sent to every machine.
 SENT_LEAVES = 100_000
 #: What is planned for each leaf: whole epochs, tokens of one more, and the bucket, place and id where that ends.
@@ -69,7 +71,7 @@ def budgets(supply: Mapping[tuple, int], weights: Weights, budget: int, epochs:
     while open_paths:
         path, amount = open_paths.pop()
         if path not in children:
-            out[path] = int(amount)
+            out[path] = int(amount + WHOLE)
             continue
         below = sorted(children[path], key=lambda p: [(x is not None, str(x)) for x in p])
         open_paths += zip(below, shares(amount, [weight(c) for c in below], [room[c] for c in below]), strict=True)
@@ -111,9 +113,10 @@ def mixed_to_weights(docs: DataFrame, levels: list[str], weights: Weights, budge
     dealt_to = spark.createDataFrame([(*p, *x) for p, x in leaves.items() if x[1]], f"{kinds}, whole long, rest long")
 
     def order_of(whole: Column, doc: Column) -> tuple[Column, Column]:
-        """(hash bucket, place) of a document in an epoch. Unsigned order of hashes, so that both agree."""
-        h = F.xxhash64(F.lit(seed).cast("long"), whole, doc)
-        return F.shiftrightunsigned(h, 64 - BUCKET_BITS), F.shiftrightunsigned(h, 1)
+        """(hash bucket, place) of a document in an epoch: the first 60 bits of a digest, and the highest of them."""
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), whole.cast("string"), doc.cast("string")).cast("binary"))
+        h = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+        return F.shiftrightunsigned(h, 60 - BUCKET_BITS), h
 
     def meets(left: str, right: str, pairs: list[tuple[str, str]]) -> Column:
         out = F.lit(True)
@@ -151,3 +154,41 @@ def mixed_to_weights(docs: DataFrame, levels: list[str], weights: Weights, budge
     partial = (rest > 0) & F.coalesce(end.isNull() | (bucket < end) | within, F.lit(False))
     times = (whole + partial.cast("long")).cast("int")
     return joined.where(times > 0).select(*[F.col(f"r.`{c}`") for c in kept], F.explode(F.sequence(F.lit(0), times - 1)).alias("epoch"), "n_tokens")
+
+
+def mixed_sql(source: str, levels: list[str], weights: Weights, share: float, epochs: int, seed: int) -> str:
+    """The result of mixed_to_weights() without a budget, in DuckDB's SQL: `levels`, doc_id, epoch and n_tokens of the rows of `source`."""
+
+    def weight(depth: int) -> str:
+        cases = []
+        for path, w in weights.items():
+            if len(path) == depth:
+                named = " AND ".join(f"{levels[i]} IS NOT DISTINCT FROM '{v}'" for i, v in enumerate(path) if v is not None)
+                cases.append(f"WHEN {named} THEN {float(w)}")
+        return f"CASE {' '.join(cases)} ELSE 1.0 END" if cases else "1.0"
+
+    steps = [
+        f"rows AS (SELECT doc_id, {', '.join(levels)}, CAST(ceil(octet_length(encode(coalesce(text, ''))) / 4.0) AS BIGINT) AS n_tokens FROM {source})",
+        f"amounts0 AS (SELECT CAST(trunc(sum(n_tokens) * CAST({share!r} AS DOUBLE)) AS DOUBLE) AS amount FROM rows)",
+    ]
+    for d in range(1, len(levels) + 1):
+        own, above = ", ".join(levels[:d]), levels[: d - 1]
+        meets = " AND ".join(f"n.{c} IS NOT DISTINCT FROM a.{c}" for c in above) or "true"
+        by = f"PARTITION BY {', '.join(above)}" if above else ""
+        # The level up to which all of a node's children are filled is the largest of those that fill some prefix of them.
+        steps += [
+            f"nodes{d} AS (SELECT {own}, CAST(sum(n_tokens) * {epochs} AS DOUBLE) AS room, {weight(d)} AS w FROM rows GROUP BY {own})",
+            f"met{d} AS (SELECT n.*, a.amount AS budget FROM nodes{d} n JOIN amounts{d - 1} a ON {meets} WHERE n.room > 0 AND n.w > 0)",
+            f"sums{d} AS (SELECT *, least(budget, sum(room) OVER ({by})) AS dealt, sum(w) OVER ({by}) AS weight, sum(room) OVER ({by} ORDER BY room / w, {own} ROWS UNBOUNDED PRECEDING) - room AS before, sum(w) OVER ({by} ORDER BY room / w, {own} ROWS UNBOUNDED PRECEDING) - w AS light FROM met{d})",
+            f"amounts{d} AS (SELECT {own}, least(room, w * max((dealt - before) / (weight - light)) OVER ({by})) AS amount FROM sums{d})",
+        ]
+    d, leaf = len(levels), ", ".join(levels)
+    meets = " AND ".join(f"r.{c} IS NOT DISTINCT FROM l.{c}" for c in levels)
+    steps += [
+        f"supply AS (SELECT {leaf}, sum(n_tokens) AS n FROM rows GROUP BY {leaf})",
+        f"leaves AS (SELECT r.*, CAST(floor(a.amount + {WHOLE}) AS BIGINT) // n AS whole, CAST(floor(a.amount + {WHOLE}) AS BIGINT) % n AS rest FROM supply r JOIN amounts{d} a ON {meets.replace('l.', 'a.')} WHERE n > 0)",
+        f"placed AS (SELECT r.*, whole, rest, CAST('0x' || substr(md5(concat_ws(':', '{seed}', CAST(whole AS STRING), CAST(doc_id AS STRING))), 1, 15) AS BIGINT) AS place FROM rows r JOIN leaves l ON {meets})",
+        f"summed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY {leaf} ORDER BY place, doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM placed)",
+        "times AS (SELECT *, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS n_times FROM summed)",
+    ]
+    return f"WITH {', '.join(steps)} SELECT doc_id, {leaf}, CAST(e AS INT) AS epoch, n_tokens FROM times, range({epochs}) AS t(e) WHERE e < n_times"

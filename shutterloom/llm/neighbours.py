@@ -22,8 +22,8 @@ from .shared import Tables, thrifty, tuned
 
 #: Tables, vertices per bucket, and further buckets that a vector probes in each table.
 TABLES, VERTICES, PROBES = 12, 3, 4
-#: Vectors of a bucket that are compared with as many others in one task at once.
-BLOCK = 1024
+#: Vectors of a bucket that are compared with as many others in one task, and rows of them that are multiplied at once.
+BLOCK, ROWS = 4096, 512
 SEED = 17
 
 
@@ -157,20 +157,9 @@ def _meet(least: float, hash_tables: int, width: int):
         code = np.stack([np.frombuffer(r[5], kind) for r in rows]).reshape(len(rows), -1, width).astype(np.int64)
         left = np.flatnonzero(side <= 0)
         right = np.flatnonzero(side >= 0) if (side > 0).any() else left
-        cosine = x[left] @ x[right].T
-        i, j = np.nonzero(cosine >= least)
-        i, j = left[i], right[j]
-        fine = rep[i] != rep[j]
-        if left is right:
-            fine &= i < j
-        # One of a pair has to be at home here.
-        fine &= own[i] | own[j]
-        i, j = i[fine], j[fine]
-        if not len(i):
-            return []
         # The first table in which one's own bucket is among the other's, and there the lower such bucket, counts the pair.
         out: dict[int, int] = {}
-        parent = {}
+        parent: dict[int, int] = {}
 
         def root(v: int) -> int:
             while parent.setdefault(v, v) != v:
@@ -178,8 +167,7 @@ def _meet(least: float, hash_tables: int, width: int):
                 v = parent[v]
             return v
 
-        for a in range(0, len(i), 100_000):
-            p, q = i[a : a + 100_000], j[a : a + 100_000]
+        def count(p: np.ndarray, q: np.ndarray) -> None:
             first = np.ones(len(p), bool)
             for t in range(table + 1):
                 home_p, home_q = code[p, t, 0], code[q, t, 0]
@@ -197,6 +185,18 @@ def _meet(least: float, hash_tables: int, width: int):
                 v, w = root(v), root(w)
                 if v != w:
                     parent[max(v, w)] = min(v, w)
+
+        for a in range(0, len(left), ROWS):
+            i, j = np.nonzero(x[left[a : a + ROWS]] @ x[right].T >= least)
+            i, j = left[a : a + ROWS][i], right[j]
+            fine = rep[i] != rep[j]
+            if left is right:
+                fine &= i < j
+            # One of a pair has to be at home here.
+            fine &= own[i] | own[j]
+            i, j = i[fine], j[fine]
+            for k in range(0, len(i), 100_000):
+                count(i[k : k + 100_000], j[k : k + 100_000])
         ties = [(v, r, None) for v in list(parent) if (r := root(v)) != v]
         return [(v, None, n) for v, n in out.items()] + ties
 

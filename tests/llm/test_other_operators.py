@@ -68,6 +68,16 @@ def test_history_is_bounded_by_tokens_alone(spark):
     assert [(r.n_repeated, r.n_new) for r in sorted(got, key=lambda r: r.window)] == [(0, 400), (200, 200), (200, 200), (200, 200)]
 
 
+def test_history_is_bounded_by_its_tokens_alone(monkeypatch):
+    for block in (4096, 350):
+        monkeypatch.setattr(chat, "BLOCK", block)
+        talk = chat._Conversation(1, 300, 100, lambda role, text: 1)
+        windows = [w for k in range(5000) for w in talk.add("user", f"t{k}")] + list(talk.cut(last=True))
+        assert sum(w[3] for w in windows) == 5000
+        assert [w[2] for w in windows] == [0] + [100] * (len(windows) - 1)
+        assert list(chat.read_turns(windows[1][5]))[0] == ("user", "t200")
+
+
 def test_windows_do_not_depend_on_blocks(spark, monkeypatch):
     rows = turns(5) + [(70, t, "assistant", "z" * (t % 50)) for t in range(3000)]
     data = spark.createDataFrame(rows, TURNS)
@@ -130,8 +140,7 @@ def test_prefixes_equal_a_sorted_leaf(spark):
     for leaf, budget in plan.items():
         own = [r for r in rows if (r[2], r[3]) == leaf]
         whole, rest = budget // supply[leaf], budget % supply[leaf]
-        keys = spark.createDataFrame([(r[0],) for r in own], "d long").select("d", F.shiftrightunsigned(F.xxhash64(F.lit(9).cast("long"), F.lit(whole).cast("long"), "d"), 1).alias("h"))
-        order = {r.d: r.h for r in keys.collect()}
+        order = {r[0]: int(hashlib.md5(f"9:{whole}:{r[0]}".encode()).hexdigest()[:15], 16) for r in own}
         for e in range(whole):
             wanted += [(r[0], r[1], e) for r in own]
         used = 0
@@ -257,13 +266,16 @@ def test_odd_urls_and_clashing_names(spark):
     assert got == [(1, None, "block"), (1, None, "block"), (2, None, "allow"), (3, "example.org/es/", "block"), (3, None, "allow"), (None, "org/", "allow")]
 
 
-def test_url_rules_equal_their_sql(spark, sf):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
-    wanted = sorted(con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.oracle_sql()['op10_url_rules']})").fetchall(), key=str)
-    assert sorted(map(tuple, queries.op10_url_rules(spark, sf).collect()), key=str) == wanted
+    for table in ("documents", "conversations", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    got = queries.queries()[name](spark, sf)
+    wanted = sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall(), key=str)
+    assert sorted(map(tuple, got.collect()), key=str) == wanted
 
 
 # --- toxicity ---
