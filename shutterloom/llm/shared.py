@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +14,8 @@ from ..sources.folders import shared_folder
 
 #: Rows and bytes per Arrow batch: texts can be long, so a batch is bounded by both (a single row may be larger).
 ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
+#: The setting by which shuffle files go at the end of a query.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -47,22 +48,19 @@ class Tables:
         self.paths: dict[int, str] = {}
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Write and reread; the lineage and the shuffle files behind `df` are no longer needed afterwards."""
+        """Write and reread; the shuffle files behind `df` go when it is written, so they never add up over the steps."""
         self.written += 1
-        path = f"{self.root}/{self.written:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        schema = df.schema
-        del df
-        self.release()
+        path, schema = f"{self.root}/{self.written:03d}-{name}", df.schema
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(schema).parquet(path)
         self.paths[id(out)] = path
         return out
 
-    def release(self) -> None:
-        """Let the context cleaner find shuffles nobody refers to, else they stay until the driver collects garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, df: DataFrame) -> None:
         """Delete a table that put() returned and that nothing will read again."""
         path = self.paths.pop(id(df))
