@@ -156,8 +156,11 @@ def _surroundings(k: int, window: int):
                     held = data[starts[a + x] : starts[a + x + n - 1 + least]].tobytes()
                     at = (docs[row], marks[row], x)
                     verdict = sent.verdict(held, n, at)
-                    if verdict != "repeat":
-                        out.append((int(deal.view(np.int64)), *at, n, held if verdict == "send" else None))
+                    if verdict == "send":
+                        out.append((int(deal.view(np.int64)), *at, n, held))
+                    elif verdict == "known":
+                        # Nothing more has to be learned of it, so it goes anywhere.
+                        out.append((hash(at), *at, n, None))
 
                 for i in range(len(words)):
                     a, b, row = int(words.bounds[i]), int(words.bounds[i + 1]), words.first + i
