@@ -16,7 +16,8 @@ OLD_HARD_FLAGS = HARD_FLAGS[:4]
 
 
 def clipped(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Between the bounds; an unknown value stays unknown, where greatest and least alone would make it a bound."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def between_extremes(value: Column, by: Sequence[Column | str] = ()) -> Column:

@@ -135,7 +135,7 @@ def manifest(portraits: DataFrame, roster: DataFrame, year: str, school: str, mo
     named = ranked.withColumn("file", scalars.package_name(F.lit(year), F.lit(school), F.col("path"), scalars.student_id(F.col("class_id"), number), tag)).withColumn("tag", tag).withColumn("number", number)
     files = F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "file"))))
     present = named.groupBy("class_id", "number").agg(files.alias("files"), F.count("*").alias("pictures"))
-    people = roster.groupBy("class_id", "number").agg(F.first("name").alias("name"))
+    people = roster.groupBy("class_id", "number").agg(F.min("name").alias("name"))
     entries = present.join(people, ["class_id", "number"], "full_outer").select("class_id", "number", F.coalesce("name", F.lit("")).alias("name"), F.col("files").isNull().alias("absent"), "files")
     rows = F.array_sort(F.collect_list(F.struct("number", "name", "absent", F.to_json("files").alias("files"))))
     return entries.groupBy("class_id").agg(F.count("*").alias("students"), F.count_if("absent").alias("absent"), rows.alias("entries"))

@@ -12,7 +12,7 @@ from ..operators import ranking, relational, reports, review, staff
 from ..operators import tables as T
 from ..sources import files, rosters, sinks, workbooks, zips
 from ..sources.folders import shared_folder
-from .fold_queries import CARD_ROWS, GROUPS, LISTED, STAFF, _errors, _records
+from .fold_queries import CARD_ROWS, ENTRIES, GROUPS, LISTED, PICTURES, PUPILS, STAFF, _errors, _records
 from .ranking_queries import BUCKETS, CLUB, CLUB_NG, CLUB_SCORE, PARTS, SNAP_SCORES, _club, _scored
 from .registry import query, query_of
 from .relational_queries import ALL_FRAMES
@@ -530,3 +530,59 @@ def j21(df):
             yield pd.DataFrame({"pos": p.pos, "score": [round(staff.timetable_score(x, x), 4) for x in people]})
 
     return df.select("pos", "teacher_name", "subject").mapInPandas(run, "pos long, score double")
+
+
+# --- whole results of operators whose other queries show a part ---
+
+
+def _rules_sql() -> str:
+    rows = []
+    for event, r in fixed.EVENT_RULES.items():
+        groups = "|".join("/".join(g) for g in r.tag_groups)
+        most = "NULL" if r.transit_most is None else r.transit_most
+        rows.append(f"('{event}', '{groups}', {r.landmarks}, {r.cheering[0]}, {r.cheering[1]}, {most}, {r.by_class}, {r.by_day}, {r.ball})")
+    return f"(VALUES {', '.join(rows)}) AS r(event, tag_groups, landmarks, least, most, transit_most, by_class, by_day, ball)"
+
+
+@query("x34_all_rules", "SELECT o_orderkey AS id, CASE o_orderkey % 10 WHEN 0 THEN 'general' WHEN 1 THEN 'entrance_ceremony' WHEN 2 THEN 'field_trip' WHEN 3 THEN 'sports_festival' WHEN 4 THEN 'other_athletic' WHEN 5 THEN 'cultural_festival' WHEN 6 THEN 'other_cultural' WHEN 7 THEN 'school_trip' WHEN 8 THEN 'other_off_campus' ELSE o_orderpriority END AS event FROM orders", "SELECT s.id, r.tag_groups, r.landmarks, r.least, r.most, r.transit_most, r.by_class, r.by_day, r.ball FROM (SELECT id, CASE WHEN id % 10 = 9 THEN 'general' ELSE event END AS event FROM {source} AS a) AS s JOIN " + _rules_sql() + " ON r.event = s.event")
+def x34(df):
+    groups = F.array_join(F.transform("tag_groups", lambda g: F.array_join(g, "/")), "|")
+    return T.with_rules(df).select("id", groups.alias("tag_groups"), "landmarks", "cheering.least", "cheering.most", "transit_most", "by_class", "by_day", "ball")
+
+
+@query("s12_class_levels", "SELECT concat('/in/day', CAST(event_id % 5 AS STRING), '/', CASE WHEN event_id % 11 = 0 THEN 'x' ELSE concat(CAST(event_id % 3 + 1 AS STRING), CASE event_id % 2 WHEN 0 THEN 'A' ELSE 'b' END) END, '/IMG_', CAST(event_id AS STRING), '.jpg') AS path, ts AS modified, event_id AS size FROM events", "SELECT size, CAST(size % 3 + 1 AS STRING) || CASE WHEN size % 2 = 0 THEN 'A' ELSE 'b' END AS class_id FROM {source} AS s WHERE size % 11 <> 0")
+def s12(df):
+    """S12 where no folder of the first level is a class, so those of the second count."""
+    return files.class_folders(files.described(df, "/in")).select("size", "class_id")
+
+
+@query("a18_error_groups", GROUPS, "SELECT 'duplicate_number' AS error_type, class_id, string_agg(class_id || '::' || CAST(group_idx AS STRING), ',' ORDER BY group_idx) AS keys FROM {source} AS a WHERE student_number IS NOT NULL AND student_number % 17 <> 0 GROUP BY class_id, student_number HAVING count(*) > 1 UNION ALL SELECT 'missing_tag_shot', class_id, class_id || '::' || CAST(group_idx AS STRING) FROM {source} AS b WHERE student_number IS NULL")
+def a18(df):
+    return _errors(df).select("error_type", "class_id", F.array_join("group_keys", ",").alias("keys"))
+
+
+@query_of("k13_manifest_entries", {"portraits": PICTURES, "roster": PUPILS}, """SELECT class_id, number, coalesce(name, '') AS name, best IS NULL AS absent, '2025_North_' || replace(best, '.jpg', '') || '_' || class_id || lpad(CAST(number AS STRING), 2, '0') || '_best.jpg' AS best, pictures FROM
+ (SELECT coalesce(p.class_id, r.class_id) AS class_id, coalesce(p.number, r.number) AS number, r.name, p.best, CASE WHEN p.best IS NULL THEN 0 ELSE least(p.n, 4) END AS pictures FROM
+ (SELECT class_id, student_number AS number, max(CASE WHEN k = 1 THEN path END) AS best, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY class_id, student_number ORDER BY is_ng, score DESC, pos) AS k FROM {portraits} AS a) AS b GROUP BY class_id, student_number) AS p
+ FULL JOIN (SELECT class_id, number, min(name) AS name FROM {roster} AS d GROUP BY class_id, number) AS r ON p.class_id = r.class_id AND p.number = r.number) AS t""")
+def k13(portraits, roster):
+    """The entries of every class."""
+    rows = review.manifest(portraits, roster, "2025", "North").select("class_id", F.explode("entries").alias("e"))
+    kept = F.from_json("e.files", "map<string, string>")
+    return rows.select("class_id", "e.number", "e.name", "e.absent", F.get_json_object("e.files", "$.best").alias("best"), F.coalesce(F.nullif(F.size(kept), F.lit(-1)), F.lit(0)).cast("long").alias("pictures"))
+
+
+SCALE_SQL = "greatest(100.0, least(400.0, eyes * fw / (eye_dist * fw) * 100))"
+
+
+#: The same shares in both engines, whatever they make of decimals.
+SHARES = ENTRIES.replace("93.7177", "CAST(93.7177 AS DOUBLE)").replace("97.3", "CAST(97.3 AS DOUBLE)")
+
+
+@query("p20_offsets", SHARES, f"SELECT id, CASE WHEN fw IS NULL OR chin_y IS NULL THEN 12.0 ELSE round(0.86 * fh - (fh / 2 + ((fh - fw / 0.8) / 2 + chin_y * fw / 0.8 - fh / 2) * {SCALE_SQL} / 100), 2) END AS offset_y, CASE WHEN fw IS NULL OR chin_y IS NULL THEN 127.0 ELSE round({SCALE_SQL} + 1e-9, 1) END AS scale FROM (SELECT *, CASE role WHEN 'student' THEN 36.0 WHEN 'teacher' THEN 46.0 END AS fw, CASE role WHEN 'student' THEN 44.0 ELSE 54.0 END AS fh, CASE role WHEN 'student' THEN 0.32 ELSE 0.22 END AS eyes FROM {{source}} AS s) AS t")
+def p20(df):
+    """P20 with P17 to P19: pictures of 4 by 5 in frames that are a little wider."""
+    from ..operators import geometry
+
+    roles = spark_of(df).createDataFrame([("student", 36.0, 44.0, 0.2, 0.86), ("teacher", 46.0, 54.0, None, None)], "role string, frame_w double, frame_h double, top_ratio double, bottom_ratio double")
+    return geometry.manifest_offsets(df, roles).select("id", "offset_y", "scale")

@@ -59,6 +59,14 @@ def test_eyes(spark):
     assert got[3].closed is False
 
 
+def test_unknown_values_are_not_bounds(spark):
+    row = spark.range(1).select(
+        scores.clipped(F.lit(None).cast("double")).alias("clipped"), scores.eye_penalty(F.lit(None).cast("double"), F.lit(0.2)).alias("eyes"),
+        scores.target_eye_distance(F.lit(None).cast("double"), F.lit(0.9), F.lit(36.0), F.lit(44.0)).alias("target"), scores.eye_penalty(F.lit(0.1), F.lit(0.1)).alias("closed"),
+    ).first()
+    assert (row.clipped, row.eyes, row.target, row.closed) == (None, 0.0, 0.22, 1.0)
+
+
 def test_display_terms(spark):
     got = spark.createDataFrame([("unmatched",), ("eyes closed",), (None,)], "t string").select(scalars.shown(F.col("t"))).collect()
     assert [r[0] for r in got] == ["un照合済み", "目つぶり", None]
