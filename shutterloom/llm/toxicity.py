@@ -226,16 +226,19 @@ class Trees:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: (x at block means, increasing block means of y), to be interpolated. Equal x are one value."""
+    """Pool adjacent violators: (first and last x of each block, its mean of y twice), to be interpolated between blocks.
+
+    Equal x are one value; the means increase from block to block.
+    """
     order = np.argsort(x, kind="stable")
     at, first, n = np.unique(x[order], return_index=True, return_counts=True)
     blocks: list[list[float]] = []
     for a, total, size in zip(at.tolist(), (np.add.reduceat(y[order], first) if len(at) else at).tolist(), n.tolist(), strict=True):
-        blocks.append([total, a * size, size])
-        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][2] >= blocks[-1][0] * blocks[-2][2]:
-            last = blocks.pop()
-            blocks[-1] = [u + v for u, v in zip(blocks[-1], last, strict=True)]
-    return np.array([t / n for _, t, n in blocks]), np.array([s / n for s, _, n in blocks])
+        blocks.append([total, size, a, a])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            total_above, size_above, _, end = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + total_above, blocks[-1][1] + size_above, blocks[-1][2], end]
+    return np.array([v for _, _, a, b in blocks for v in (a, b)]), np.repeat([s / n for s, n, _, _ in blocks], 2)
 
 
 class ToxicityModel:

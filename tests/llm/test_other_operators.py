@@ -344,13 +344,9 @@ def test_isotonic_equals_the_best_monotone_fit(ties):
     x = np.round(x, 1) if ties else x
     y = (rng.random(60) < 1 / (1 + np.exp(-x))).astype(float)
     knots, values = toxicity.isotonic(x, y)
-    assert (np.diff(knots) > 0).all() and (np.diff(values) > 0).all()
+    assert (np.diff(knots) >= 0).all() and (np.diff(values) >= 0).all() and (np.diff(values[::2]) > 0).all()
     at, fitted = brute_isotonic(x.tolist(), y.tolist())
-    assert sorted(set(np.round(fitted, 12))) == np.round(values, 12).tolist()
-    # Each block's knot is the mean of its rows' x.
-    level = dict(zip(at, np.round(fitted, 12), strict=True))
-    own = [np.mean([a for a in x.tolist() if level[a] == v]) for v in np.round(values, 12).tolist()]
-    assert np.allclose(own, knots)
+    assert np.allclose(np.interp(at, knots, values), fitted, rtol=0, atol=1e-12)
     assert [len(v) for v in toxicity.isotonic(x[:0], y[:0])] == [0, 0]
 
 
