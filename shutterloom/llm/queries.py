@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, mixing, neighbours, parity_join, shards, suffixes, toxicity, url_rules
+from . import bpe, chat, chunks, divergence, fingerprints, mixing, neighbours, parity_join, periodic, shards, suffixes, toxicity, url_rules
 from .shared import Tables, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,8 @@ ARRIVALS, SHARD_BYTES = 16, 32 << 20
 MIX_LEVELS = ["domain", "lang", "source"]
 MIX_WEIGHTS = {("bulk",): 1.0, ("curated",): 1.0, (None, "en"): 4.0, (None, "de"): 2.0, (None, "fr"): 2.0, (None, "es"): 2.0}
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.9, 2, 7
+#: A word: a stretch of characters other than blank and \\x09-\\x0D.
+WORD = r"[^\x20\x09-\x0D]+"
 #: Ranges of documents per shuffle partition.
 RANGES = 8
 #: The url rules: verdict, host, path.
@@ -95,8 +97,45 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(suffixes.repeats(docs, Tables(spark)))
 
 
+def op11_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    return chunks.exact_copies(docs, Tables(spark)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Documents whose id's crc32 is a multiple of ten say the words from one place on over and over; null ids are left alone."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)
+    n, g = F.size("words"), F.floor(h / 10)
+    a = (g % n).cast("int")
+    period = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", F.col("a") + (i - F.col("a")) % F.col("period"))))
+    planted = docs.withColumn("words", F.when(h % 10 == 0, words)).withColumn("a", F.when(n > 0, a)).withColumn("period", F.when(n > 0, period))
+    return planted.withColumn("text", F.when(n > 0, F.array_join(again, " ")).otherwise(F.col("text"))).drop("words", "a", "period")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+    def higher_power(x: Column, y: Column) -> Column:
+        left, right = x["length"] * y["period"], y["length"] * x["period"]
+        return F.when(left > right, -1).when(left < right, 1).otherwise(F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(F.signum(x["period"] - y["period"]).cast("int")))
+
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = F.get(F.array_sort("runs", higher_power), F.lit(0))
+    told = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), told.alias("told"), best.alias("best"), "collapsed").select(
+        "doc_id", "n_runs", *[F.col("best")[c].alias(c) for c in ("start", "length", "period")], F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.col("told").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"), Tables(spark))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op2_mixing, op3_chat_format, op4_fingerprints, op5_toxicity, op6_near_vectors, op7_parity_join, op8_byte_bpe, op9_suffix_dedup, op10_url_rules)}
+    return {f.__name__: f for f in (op1_sharding, op2_mixing, op3_chat_format, op4_fingerprints, op5_toxicity, op6_near_vectors, op7_parity_join, op8_byte_bpe, op9_suffix_dedup, op10_url_rules, op11_chunk_recipes, op12_periodic_runs, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -106,4 +145,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_mixing": mixing.mixed_sql(docs, MIX_LEVELS, MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED),
         "op3_chat_format": chat.read_back_sql(f"(SELECT conv_id, turn, role, text FROM conversations UNION ALL {planted})"),
         "op10_url_rules": url_rules.host_path_sql(URL_RULES),
+        "op11_chunk_recipes": chunks.exact_copies_sql(),
+        "op13_source_divergence": divergence.audit_sql(),
     }
