@@ -1,6 +1,7 @@
 """Order-dependent clustering: one pandas fold per group, whose rows are put in order inside the function.
 
-A fold cannot be split without changing its result, so a group (an event, a folder, a page) is the unit of parallelism.
+A group (an event, a folder, a page) is the unit of parallelism here; `islands` cuts long events for the one fold whose
+rules reach only so far.
 """
 
 from __future__ import annotations
@@ -182,13 +183,13 @@ def _key(df: DataFrame, by: str) -> str:
 
 
 def first_fit_clusters(photos: DataFrame, by: str, rules: Sequence[tuple] = SERVICE_RULES) -> DataFrame:
-    """C01 over photos (by, id, name, ts, seq, emb, focus), in order of time, unknown first, and name: (by, id, pos, cluster)."""
+    """C01 over photos (by, id, name, ts, seq, emb, focus), in order of time, unknown first, name and id: (by, id, pos, cluster). An event is folded whole."""
 
     def f(p: pd.DataFrame) -> pd.DataFrame:
         cluster = first_fit(_matrix(p.emb), _seconds(p.ts), p.seq.to_numpy(float), p.focus.to_numpy(float), rules)
         return pd.DataFrame({by: p[by], "id": p.id, "pos": range(len(p)), "cluster": cluster})
 
-    return _folded(photos.select(by, "id", "name", "ts", "seq", "emb", "focus"), by, ["ts", "name"], f"{_key(photos, by)}, id long, pos int, cluster int", f)
+    return _folded(photos.select(by, "id", "name", "ts", "seq", "emb", "focus"), by, ["ts", "name", "id"], f"{_key(photos, by)}, id long, pos int, cluster int", f)
 
 
 def best_fit_clusters(photos: DataFrame, by: str, zero_gap_unknown: bool = False) -> DataFrame:

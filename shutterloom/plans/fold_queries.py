@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, providers, scores
 from ..functions import scalars as X
-from ..operators import clustering, geometry, relational, review, selection, staff
+from ..operators import clustering, geometry, islands, relational, review, selection, staff
 from ..sources import files, rosters
 from ..streaming import incremental
 from .ranking_queries import EVALS, PHOTOS
@@ -23,7 +23,14 @@ NAMED = PHOTOS.replace("v.user_id AS usr", "concat('IMG_', CAST(e.vec_id AS STRI
 
 @query("c01_first_fit_clusters", NAMED)
 def c01(df):
-    return clustering.first_fit_clusters(df, "grp", LOW_RULES)
+    return islands.first_fit_clusters(df, "grp", LOW_RULES)
+
+
+@query("c01_time_islands", "SELECT user_id AS usr, event_id AS id, ts, CAST(NULL AS DOUBLE) AS seq FROM events", """SELECT usr, min(id) AS first_id, count(*) AS size FROM (SELECT *, sum(cut) OVER (PARTITION BY usr ORDER BY ts, id) AS island FROM
+ (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER (PARTITION BY usr ORDER BY ts, id), ts) <= 3600001000 THEN 0 ELSE 1 END AS cut FROM {source} AS s) AS t) AS u GROUP BY usr, island""")
+def c01_islands(df):
+    """The islands of C01 by time alone: where a user's events are more than an hour (and the margin) apart."""
+    return islands.with_islands(df, "usr", 3600.0, 0).groupBy("usr", "island").agg(F.min("id").alias("first_id"), F.count("*").alias("size")).drop("island")
 
 
 @query("c02_best_fit_clusters", NAMED)
@@ -42,7 +49,7 @@ def snap_run(df):
     from ..functions import vectors
     from ..operators import ranking
 
-    clusters = clustering.first_fit_clusters(df, "grp", LOW_RULES)
+    clusters = islands.first_fit_clusters(df, "grp", LOW_RULES)
     rows = df.join(clusters, ["grp", "id"])
     reps = rows.groupBy("grp", "cluster").agg(F.max_by(F.struct("id", "focus", "emb", "seq"), F.struct("focus", -c("pos"))).alias("r"), F.count("*").alias("size"))
     reps = reps.select("grp", "cluster", "size", "r.*")
