@@ -172,32 +172,21 @@ def first_known(df: DataFrame, by: Sequence[str], value: str, position: str, nam
 
 
 def best_anchor(portraits: DataFrame, anchors: DataFrame, least: float) -> DataFrame:
-    """Per portrait (id, emb) the anchor (anchor, pos, anchor_emb) of highest inner product above `least`, else null.
+    """Per portrait (id, emb) the anchor (anchor, pos, anchor_emb) of highest inner product above `least`, else null."""
+    from .vector_index import VectorIndex
 
-    Anchors meet the portraits in blocks that are sent to every machine; each block leaves one row per portrait.
-    """
-    found = None
-    for block in blocks(anchors, "anchor"):
-        pairs = portraits.select("id", "emb").join(F.broadcast(block), F.lit(True))
-        score = vectors.dot(F.col("emb"), F.col("anchor_emb"))
-        best = pairs.select("id", "anchor", "pos", score.alias("score")).groupBy("id").agg(F.max(F.struct("score", (-F.col("pos")).alias("at"), "anchor")).alias("best"))
-        found = best if found is None else found.unionByName(best).groupBy("id").agg(F.max("best").alias("best"))
-    out = portraits.select("id").join(found, "id", "left")
-    return out.select("id", F.when(F.col("best.score") > least, F.col("best.anchor")).alias("anchor"), F.col("best.score").alias("score"))
+    index = VectorIndex.build(anchors.select(F.col("anchor").alias("id"), "pos", F.col("anchor_emb").alias("emb")))
+    best = index.nearest(portraits.select(F.col("id").alias("query"), "emb"), 1, cosine=False).select("query", F.col("id").alias("anchor"), "score")
+    out = portraits.select("id").join(best, F.col("id").eqNullSafe(F.col("query")), "left")
+    return out.select("id", F.when(F.col("score") > least, F.col("anchor")).alias("anchor"), "score")
 
 
 def top_similar(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """For each query (query, query_emb) the k rows (id, emb) of highest cosine, ties by id.
+    """For each query (query, query_emb) the k rows (id, emb) of highest cosine, ties by id: (query, id, score, rank)."""
+    from .vector_index import VectorIndex
 
-    Queries meet the index in blocks that are sent to every machine; of a block, a partition hands on k rows per query.
-    """
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    found = None
-    for block in blocks(queries, "query"):
-        pairs = index.join(F.broadcast(block), F.lit(True)).select("query", "id", vectors.cosine(F.col("emb"), F.col("query_emb")).alias("score"))
-        best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        found = best if found is None else found.unionByName(best)
-    return found
+    found = VectorIndex.build(index.select("id", F.col("id").alias("pos"), "emb")).nearest(queries.select("query", F.col("query_emb").alias("emb")), k)
+    return found.select("query", "id", "score", "rank")
 
 
 def near_in_time(photos: DataFrame, by: str, seconds: int, steps: int) -> DataFrame:
