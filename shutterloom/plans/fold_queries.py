@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, providers, scores
 from ..functions import scalars as X
-from ..operators import clustering, geometry, islands, relational, review, selection, staff
+from ..operators import clustering, fuzzy, geometry, islands, relational, review, selection, staff
 from ..sources import files, rosters
 from ..streaming import incremental
 from .ranking_queries import EVALS, PHOTOS
@@ -116,6 +116,13 @@ def j04(cards, people):
     return staff.matched_cards(cards, people, "school")
 
 
+@query_of("x14_similar_names", {"cards": CARD_ROWS, "people": STAFF})
+def x14_similar(cards, people):
+    """All pairs of a card's and a person's name key of one school with a matching ratio of at least 0.9."""
+    keyed = [df.select(c("school").cast("string").alias("school"), names.name_key(c(n)).alias("key")) for df, n in ((cards, "name"), (people, "teacher_name"))]
+    return fuzzy.similar_keys(*keyed, 0.9).select("school", "a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 @query("x14_name_similarity", "SELECT s_suppkey AS a, s_name AS x, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS b, lead(s_name) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS y FROM supplier")
 def x14(df):
     """X13, X14 and X16 with composition and sequence matching, of each supplier and the next one of its nation."""
