@@ -158,33 +158,32 @@ def _meet(least: float, hash_tables: int, width: int):
         left = np.flatnonzero(side <= 0)
         right = np.flatnonzero(side >= 0) if (side > 0).any() else left
         # The first table in which one's own bucket is among the other's, and there the lower such bucket, counts the pair.
-        out: dict[int, int] = {}
-        parent: dict[int, int] = {}
-
-        def root(v: int) -> int:
-            while parent.setdefault(v, v) != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            return v
+        home = np.ascontiguousarray(code[:, :, 0].T)
+        added = np.zeros(len(rows), np.int64)
+        # Rows tied so far, each with the least row that it is tied to; the rows of one vector are tied from the start.
+        _, one, least_of = np.unique(rep, return_index=True, return_inverse=True)
+        tied = one[least_of]
 
         def count(p: np.ndarray, q: np.ndarray) -> None:
-            first = np.ones(len(p), bool)
-            for t in range(table + 1):
-                home_p, home_q = code[p, t, 0], code[q, t, 0]
-                meets_q, meets_p = (code[p, t] == home_q[:, None]).any(1), (code[q, t] == home_p[:, None]).any(1)
-                if t < table:
-                    first &= ~(meets_p | meets_q)
-                else:
-                    never = np.iinfo(np.int64).max
-                    first &= np.minimum(np.where(meets_p, home_p, never), np.where(meets_q, home_q, never)) == bucket
+            for t in range(table):
+                for met in (lambda: home[t, p] == home[t, q], lambda: (code[p, t] == home[t, q][:, None]).any(1) | (code[q, t] == home[t, p][:, None]).any(1)):
+                    apart = ~met()
+                    p, q = p[apart], q[apart]
+                if not len(p):
+                    return
+            home_p, home_q = home[table, p], home[table, q]
+            meets_q, meets_p = (code[p, table] == home_q[:, None]).any(1), (code[q, table] == home_p[:, None]).any(1)
+            never = np.iinfo(np.int64).max
+            first = np.minimum(np.where(meets_p, home_p, never), np.where(meets_q, home_q, never)) == bucket
             p, q = p[first], q[first]
-            for one, other in ((p, q), (q, p)):
-                for v, n in zip(*_summed(rep[one], copies[other]), strict=True):
-                    out[v] = out.get(v, 0) + n
-            for v, w in zip(rep[p].tolist(), rep[q].tolist(), strict=True):
-                v, w = root(v), root(w)
-                if v != w:
-                    parent[max(v, w)] = min(v, w)
+            added[:] += np.bincount(p, copies[q], len(rows)).astype(np.int64) + np.bincount(q, copies[p], len(rows)).astype(np.int64)
+            while len(p):
+                low, high = np.minimum(tied[p], tied[q]), np.maximum(tied[p], tied[q])
+                apart = low != high
+                p, q = p[apart], q[apart]
+                np.minimum.at(tied, high[apart], low[apart])
+                while (further := tied[tied] != tied).any():
+                    tied[further] = tied[tied[further]]
 
         for a in range(0, len(left), ROWS):
             i, j = np.nonzero(x[left[a : a + ROWS]] @ x[right].T >= least)
@@ -197,8 +196,10 @@ def _meet(least: float, hash_tables: int, width: int):
             i, j = i[fine], j[fine]
             for k in range(0, len(i), 100_000):
                 count(i[k : k + 100_000], j[k : k + 100_000])
-        ties = [(v, r, None) for v in list(parent) if (r := root(v)) != v]
-        return [(v, None, n) for v, n in out.items()] + ties
+        some = np.flatnonzero(added)
+        ends = np.flatnonzero(rep != rep[tied])
+        ties = set(zip(rep[ends].tolist(), rep[tied[ends]].tolist(), strict=True))
+        return [(v, None, n) for v, n in zip(rep[some].tolist(), added[some].tolist(), strict=True)] + [(v, w, None) for v, w in ties]
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*out, strict=True)) or [()] * 3
@@ -220,11 +221,6 @@ def _meet(least: float, hash_tables: int, width: int):
     return run
 
 
-def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[int]]:
-    unique, at = np.unique(keys, return_inverse=True)
-    return unique.tolist(), np.bincount(at, values, len(unique)).astype(np.int64).tolist()
-
-
 def near_vectors(vectors: DataFrame, tables: Tables, least: float = 0.9, hash_tables: int = TABLES, vertices: int = VERTICES, probes: int = PROBES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of `vectors` (vec_id, embedding).
 
