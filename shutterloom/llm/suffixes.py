@@ -308,6 +308,12 @@ def _starts_of(found: DataFrame) -> DataFrame:
     return rows.mapInArrow(thrifty(run), "doc_id long, mark long, later array<int>, first array<int>")
 
 
+def _ordered(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc, mark, text, places), in the order of doc and mark within a partition: what a task has sent before decides what
+    it sends, so a task that runs again has to meet its rows in the same order."""
+    return texts.join(places, ["doc", "mark"]).select("doc", "mark", "text", "places").sortWithinPartitions("doc", "mark")
+
+
 def repeats(docs: DataFrame, tables: Tables, least: int = 50, prefix: int = PREFIX) -> DataFrame:
     """(doc_id, mark, later, first, copies, words) of each text with a passage of `least` or more words that occurs elsewhere.
 
@@ -331,7 +337,7 @@ def repeats(docs: DataFrame, tables: Tables, least: int = 50, prefix: int = PREF
     for done in (kept, shared):
         tables.drop(done)
 
-    around = texts.join(places, ["doc", "mark"]).select("doc", "mark", "text", "places").mapInArrow(thrifty(_surroundings(prefix, window)), _AROUND)
+    around = _ordered(texts, places).mapInArrow(thrifty(_surroundings(prefix, window)), _AROUND)
     order = ["deal", "doc", "mark", "place"]
     found = around.repartition("deal").sortWithinPartitions(*order).mapInArrow(thrifty(_compared(least)), _FOUND)
     starts = tables.put(_starts_of(found), "passages")
