@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 from .bytewords import _BASE, _BYTE, _LOWER, _U, _power_tables, mixed, string_bytes
 from .shared import text_or_empty, thrifty, tuned
 
-#: Bound on the labelled rows that are fitted on (those with the smallest hash of their id), and on the lexicon (the
-#: beginnings that are most in toxic rows before clean ones).
-TRAINING_ROWS, LEXICON_WORDS = 12_000, 4_000
+#: Bound on the labelled rows that are fitted on (those with the smallest hash of their id).
+TRAINING_ROWS = 12_000
 #: A word's beginnings of so many bytes may enter the lexicon.
 BEGINNINGS = (3, 4, 5, 6, 7, 8, 10, 12)
 #: Words between a lexicon word and a second-person word that count as near.
@@ -275,11 +274,14 @@ def _beginning_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[pa.array(c.astype(np.int64)) for c in counts.T]], ["h", "c0", "t0", "c1", "t1"])
 
 
+def _telling(clean, toxic, clean_rows: int, toxic_rows: int, odds: float):
+    """Whether a beginning is in two toxic texts, and in enough, and its smoothed odds for toxic are so large."""
+    return (toxic >= max(2, 0.004 * toxic_rows)) & ((toxic + 0.1) / (toxic_rows + 1) / ((clean + 0.5) / (clean_rows + 1)) >= odds)
+
+
 def _lexicon(counts: np.ndarray, clean: np.ndarray, toxic: np.ndarray, clean_rows: int, toxic_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Beginnings in at least two toxic texts whose smoothed odds for toxic are eight to one; the strong ones, of 80 to one."""
-    odds = (toxic + 0.1) / (toxic_rows + 1) / ((clean + 0.5) / (clean_rows + 1))
-    good = (toxic >= max(2, 0.004 * toxic_rows)) & (odds >= 8)
-    strong = good & (odds >= 80)
+    good, strong = (_telling(clean, toxic, clean_rows, toxic_rows, odds) for odds in (8, 80))
     return np.sort(counts[good].view(np.uint64)), np.sort(counts[strong].view(np.uint64))
 
 
@@ -303,8 +305,10 @@ def fit(labelled: DataFrame, rows: int = TRAINING_ROWS) -> ToxicityModel:
     if sizes.sum() > rows:
         raise ValueError(f"{sizes.sum()} labelled rows are more than {rows}: choose them by training_rows()")
     counts = texts.where(F.col("part") != CALIBRATES).mapInArrow(thrifty(_beginning_counts), "h long, c0 long, t0 long, c1 long, t1 long").groupBy("h").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")])
-    toxic, clean = F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1")
-    counts = counts.where((toxic >= 2) & (toxic >= clean * 0.3)).orderBy((toxic - clean).desc(), "h").limit(LEXICON_WORDS)
+    # What enters the lexicon of a half or of both; their number is bounded by the training rows.
+    whole_rows = sizes[:2].sum(0).tolist()
+    half = [_telling(F.col(f"c{k}"), F.col(f"t{k}"), *sizes[k].tolist(), 8) for k in (0, 1)]
+    counts = counts.where(half[0] | half[1] | _telling(F.col("c0") + F.col("c1"), F.col("t0") + F.col("t1"), *whole_rows, 8))
     c = np.array([tuple(r) for r in counts.collect()], np.int64).reshape(-1, 5)
     per_half = [_lexicon(c[:, 0], c[:, 1 + 2 * k], c[:, 2 + 2 * k], *sizes[k]) for k in (0, 1)]
     whole = _lexicon(c[:, 0], c[:, 1] + c[:, 3], c[:, 2] + c[:, 4], *sizes[:2].sum(0))
