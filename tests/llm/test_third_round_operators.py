@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from shutterloom.llm import chunks, divergence, periodic, queries
 from shutterloom.llm.bytewords import string_bytes
@@ -247,3 +248,34 @@ def test_queries_equal_their_sql(spark, name):
     got, wanted = queries.queries()[name](spark, sf).toPandas(), con.sql(queries.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(wanted.columns)
     assert len(got) and told(got[sorted(got.columns)]) == told(wanted[sorted(got.columns)])
+
+
+# --- 6 and 9 again ---
+
+
+def test_a_large_cluster_of_near_vectors_is_counted_whole(spark):
+    rng = np.random.default_rng(5)
+    center = rng.normal(size=32)
+    rows = center + rng.normal(size=(1500, 32)) * 0.03
+    from shutterloom.llm import neighbours
+
+    got = neighbours.near_vectors(spark.createDataFrame([(k, [float(v) for v in x]) for k, x in enumerate(rows)], "vec_id long, embedding array<double>"), Tables(spark)).collect()
+    unit = rows / np.linalg.norm(rows, axis=1)[:, None]
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(((unit @ unit.T >= 0.9).sum(1) - 1).tolist()))
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
+def test_a_task_that_runs_again_meets_its_rows_in_the_same_order(spark):
+    from shutterloom.llm import suffixes
+
+    passage = " ".join(f"w{k}" for k in range(80))
+    texts = [(d, 7, f"{d} {passage} {d}") for d in range(40)]
+    places = [(d, 7, np.arange(0, 60, 2, dtype=np.int32).tobytes()) for d in range(40)]
+    sent = []
+    for order in (1, -1):
+        rows = [spark.createDataFrame(x[::order], s).coalesce(1) for x, s in ((texts, "doc long, mark long, text string"), (places, "doc long, mark long, places binary"))]
+        for joined in (F.broadcast(rows[1]), rows[1].hint("shuffle_hash")):
+            around = suffixes._ordered(rows[0], joined).coalesce(1)
+            assert [r.doc for r in around.collect()] == list(range(40))
+            sent.append([tuple(r) for r in around.mapInArrow(suffixes._surroundings(25, 26), suffixes._AROUND).collect()])
+    assert all(s == sent[0] for s in sent)
