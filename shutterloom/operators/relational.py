@@ -161,9 +161,22 @@ def path_index(branches: Sequence[DataFrame]) -> DataFrame:
 
 
 def upper_median(df: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:
-    """The element in the middle of the sorted values, the upper one of two."""
-    values = F.array_sort(F.collect_list(value))
-    return df.groupBy(*by).agg(F.element_at(values, F.floor(F.count(value) / 2).cast("int") + 1).alias(name))
+    """The element in the middle of the sorted values, the upper one of two; nulls do not count.
+
+    A row's place in its group is its place in its bucket, the upper bits of a sketch's percentiles, moved on by the
+    rows of the buckets before, so no task sorts or holds a group.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, value)
+    ends = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx(value, [k / 64 for k in range(1, 64)], 1000).alias("_ends"))
+    rows = rows.join(small(ends), list(by))
+    rows = rows.withColumn("_bucket", F.size(F.filter("_ends", lambda e: e < F.col(value))))
+    counts = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))  # 64 rows a group
+    counts = counts.select(*by, "_bucket", "_rows", F.coalesce(before, F.lit(0)).alias("_before"))
+    middle = F.floor(F.col("_n") / 2)
+    met = rows.join(small(counts), [*by, "_bucket"]).where((F.col("_before") <= middle) & (middle < F.col("_before") + F.col("_rows")))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1
+    return met.withColumn("_place", place + F.col("_before")).where(F.col("_place") == middle).select(*by, F.col(value).alias(name))
 
 
 def first_known(df: DataFrame, by: Sequence[str], value: str, position: str, name: str = "value") -> DataFrame:

@@ -153,11 +153,12 @@ def j20(groups, errors):
     return J.tagged(groups, errors).select("group_key", F.array_join("tags", "|").alias("tags"))
 
 
-@query_of("j22_positional_join", {"students": ROSTER, "frames": FRAMES}, "SELECT s.pos, f.frame FROM (SELECT pos, row_number() OVER (ORDER BY class, number, pos) AS n FROM {students} AS a) AS s JOIN (SELECT frame, row_number() OVER (ORDER BY top, frame) AS n FROM {frames} AS b) AS f ON s.n = f.n")
+@query_of("j22_positional_join", {"students": ROSTER.replace(" WHERE c_custkey % 4 <> 1", ""), "frames": ALL_FRAMES}, "SELECT s.pos, f.frame FROM (SELECT pos, row_number() OVER (ORDER BY class, number, pos) AS n FROM {students} AS a) AS s JOIN (SELECT frame, row_number() OVER (ORDER BY top, frame) AS n FROM {frames} AS b) AS f ON s.n = f.n")
 def j22(students, frames):
-    """Students in order beside frames in order; both lists are those of one layout page."""
-    a = ranking.numbered(students, [], ["class", "number", "pos"], "n")
-    return a.join(ranking.numbered(frames, [], ["top", "frame"], "n"), "n").select("pos", "frame")
+    """Students in order beside frames in order, over whole tables; no task numbers all rows of either."""
+    a = ranking.numbered_in_all(students, ["class", "number", "pos"], ranking.text_lead(c("class"), F.lit(0)), "n")
+    b = ranking.numbered_in_all(frames, ["top", "frame"], F.floor(c("top") * 1000), "n")
+    return a.join(b, "n").select("pos", "frame")
 
 
 ANCHORS = "SELECT vec_id AS anchor, vec_id AS pos, embedding AS anchor_emb FROM embeddings WHERE vec_id % 10 = 0"
@@ -180,11 +181,10 @@ def j25(index, queries):
     return J.top_similar(index, queries, 5).select("query", "id", "rank")
 
 
-@query("x04_cosine", PHOTOS, "SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(list_transform(a.emb, lambda x: CAST(x AS DOUBLE)), list_transform(b.emb, lambda x: CAST(x AS DOUBLE))), 6) AS cosine FROM {source} AS a JOIN {source} AS b ON a.grp = b.grp AND a.id < b.id WHERE a.id % 7 = 0")
-def x04(df):
-    """X04 and X05 over pairs of a group."""
-    a, b = df.where("id % 7 = 0").alias("a"), df.alias("b")
-    pairs = a.join(b, (c("a.grp") == c("b.grp")) & (c("a.id") < c("b.id")))
+@query_of("x04_cosine", {"left": INDEX, "right": INDEX}, "SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(list_transform(a.emb, lambda x: CAST(x AS DOUBLE)), list_transform(b.emb, lambda x: CAST(x AS DOUBLE))), 6) AS cosine FROM {left} AS a JOIN {right} AS b ON b.id = a.id + 1")
+def x04(left, right):
+    """X04 and X05 of every vector and the one that follows it."""
+    pairs = left.alias("a").join(right.alias("b"), c("b.id") == c("a.id") + 1)
     return pairs.select(c("a.id").alias("a"), c("b.id").alias("b"), F.round(vectors.cosine(c("a.emb"), c("b.emb")), 6).alias("cosine"))
 
 
@@ -358,7 +358,7 @@ def h22(df):
     return df.withColumn("slot", slot).groupBy("page").pivot("slot", ["slot1", "slot2", "slot3"]).agg(F.min("frame"))
 
 
-@query_of("h23_student_frames", {"frames": FRAMES, "teachers": "SELECT p_partkey AS frame FROM part WHERE p_partkey % 15 = 0"}, "SELECT frame FROM {frames} AS f WHERE frame NOT IN (SELECT frame FROM {teachers} AS t)")
+@query_of("h23_student_frames", {"frames": ALL_FRAMES, "teachers": "SELECT p_partkey AS frame FROM part WHERE p_partkey % 15 = 0"}, "SELECT frame FROM {frames} AS f WHERE frame NOT IN (SELECT frame FROM {teachers} AS t)")
 def h23(frames, teachers):
     return frames.join(teachers, "frame", "left_anti").select("frame")
 

@@ -10,8 +10,8 @@ from ..functions import scalars as X
 from ..functions import tables as fixed
 from ..operators import ranking, relational, reports, review, staff
 from ..operators import tables as T
-from ..sources import files, rosters, sinks, workbooks, zips
-from ..sources.folders import shared_folder
+from ..sources import files, rosters, sinks, workbooks, zip_source, zips
+from ..sources.folders import shared_folder, written
 from .fold_queries import CARD_ROWS, ENTRIES, GROUPS, LISTED, PICTURES, PUPILS, STAFF, _errors, _records
 from .ranking_queries import BUCKETS, CLUB, CLUB_NG, CLUB_SCORE, PARTS, SNAP_SCORES, _club, _scored
 from .registry import query, query_of
@@ -222,6 +222,15 @@ def k07(df):
     return zips.unpacked(packed, (".jpg",)).select("member")
 
 
+@query("s06_zip_source", FILES, "SELECT concat(replace(replace(archive, '.zip', ''), '/', '_'), '.zip') AS archive, member, octet_length(encode(name)) AS size, md5(name) AS digest FROM {source} AS s")
+def s06(df):
+    """Archives written to a folder and read by the data source, members dealt over partitions."""
+    spark, folder = zip_source.registered(spark_of(df)), f"{shared_folder(spark_of(df))}/zips"
+    written(zip_source.written_archives(zips.archives(df.select("archive", "member", c("name").cast("binary").alias("content"))), folder), "archives")
+    rows = spark.read.format("zip").schema("archive string, member string, size long, content binary").load(folder)
+    return rows.select(F.substring_index("archive", "/", -1).alias("archive"), "member", "size", F.md5("content").alias("digest"))
+
+
 # --- sources ---
 
 
@@ -291,12 +300,12 @@ def s23(df):
     return rosters.sniffed(df)
 
 
-@query("s23_workbook_cells", CLUB, "SELECT club AS sheet, CAST(row_number() OVER (PARTITION BY club ORDER BY pos) + 1 AS INT) AS row, file FROM {source} AS s WHERE club IN (SELECT min(club) FROM {source} AS a UNION ALL SELECT max(club) FROM {source} AS b)")
+@query("s23_workbook_cells", CLUB, "SELECT club AS sheet, CAST(row_number() OVER (PARTITION BY club ORDER BY pos) + 1 AS INT) AS row, file FROM {source} AS s")
 def s23_cells(df):
-    """Two sheets of a workbook as cells."""
-    ends = df.agg(F.min("club").alias("a"), F.max("club").alias("b")).first()
+    """A workbook with a sheet for each club, as cells."""
+    clubs = [r.club for r in df.select("club").distinct().orderBy("club").collect()]
     path = f"{shared_folder(spark_of(df))}.xlsx"
-    workbooks.write_workbook({n: df.where(c("club") == n).orderBy("pos").select("file", "is_ng", "beauty") for n in dict.fromkeys((ends.a, ends.b))}, path)
+    workbooks.write_workbook({n: df.where(c("club") == n).orderBy("pos").select("file", "is_ng", "beauty") for n in clubs}, path)
     return workbooks.read_cells(spark_of(df), path).where("row > 1 and col = 1").select("sheet", "row", c("value").alias("file"))
 
 
