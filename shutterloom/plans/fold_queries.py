@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, providers, scores
 from ..functions import scalars as X
 from ..operators import clustering, fuzzy, geometry, islands, relational, review, selection, staff
-from ..sources import files, rosters
-from ..streaming import incremental
+from ..sources import arrivals, files, rosters, zip_source, zips
+from ..sources.folders import shared_folder, written
+from ..streaming import incremental, people
+from ..streaming.log import Log
 from .ranking_queries import EVALS, PHOTOS
 from .registry import ORACLES, QUERIES, inputs, query, query_of
 
@@ -401,13 +401,14 @@ def e07(df):
 
 
 def stream_counts(spark: SparkSession, sf_dir: str):
-    """Windowed counts of a stream that is driven to its end, with a watermark."""
+    """Windowed counts of a stream that is driven to its end, with a watermark; a log keeps the latest count of each window."""
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     counts = incremental.windowed_counts(stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind")), window="1 day")
-    name = f"counts_{uuid.uuid4().hex}"
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "kind", "n")
+    root = shared_folder(spark)
+    log = Log(spark, f"{root}/counts", "start timestamp, kind string, n long", ["start", "kind"], ["n"])
+    counts.writeStream.outputMode("update").foreachBatch(log.write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return log.read().select(F.date_format("start", "yyyy-MM-dd").alias("day"), "kind", "n")
 
 
 QUERIES["stream_windowed_counts"] = stream_counts
@@ -419,14 +420,56 @@ def stream_people(spark: SparkSession, sf_dir: str):
     source = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)
     faces = stream.select(c("label").alias("folder"), c("vec_id").alias("id"), c("vec_id").alias("name"), c("embedding").alias("emb"))
-    name = f"people_{uuid.uuid4().hex}"
-    incremental.recognised(faces, 0.30).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    root = shared_folder(spark)
+    found = incremental.recognised(faces, 0.30)
+    found.writeStream.format("parquet").option("path", f"{root}/people").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{root}/people")
 
 
 QUERIES["stream_people"] = stream_people
 
 
+def stream_numbers(spark: SparkSession, sf_dir: str):
+    """The last number shown before each event of a user, kept as state."""
+    source = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    number = F.when(c("event_id") % 3 == 0, c("event_id") % 100)
+    found = people.previous_numbers(stream.select(c("user_id").alias("folder"), c("event_id").alias("id"), c("event_id").alias("pos"), number.alias("number")))
+    root = shared_folder(spark)
+    found.writeStream.format("parquet").option("path", f"{root}/numbers").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{root}/numbers").select("folder", "id", "previous")
+
+
+QUERIES["c08_stream_numbers"] = stream_numbers
+ORACLES["c08_stream_numbers"] = "SELECT user_id AS folder, event_id AS id, last_value(CASE WHEN event_id % 3 = 0 THEN event_id % 100 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM events"
+
+
+@query("c09_merged_log", "SELECT o_custkey % 400 AS error_id, o_orderkey AS seq, o_orderstatus AS status FROM orders", "SELECT error_id, seq, status FROM (SELECT *, row_number() OVER (PARTITION BY error_id ORDER BY seq % 7 DESC, seq DESC) AS n FROM {source} AS s) AS t WHERE n = 1")
+def c09_log(df):
+    """Resolutions arrive in seven batches, each twice; the log keeps the latest row of each error."""
+    log = Log(df.sparkSession, f"{shared_folder(df.sparkSession)}/log", "error_id long, seq long, status string", ["error_id"], ["seq"], parts=3)
+    for number in range(7):
+        batch = df.where(c("seq") % 7 == number)
+        log.write(batch, number)
+        log.write(batch.withColumn("status", F.lit("repeated")), number)
+    return log.read()
+
+
+@query("s01_streamed_arrivals", "SELECT p_partkey AS id, concat('a', CAST(p_partkey % 20 AS STRING)) AS archive, concat(p_type, '/', CAST(p_partkey AS STRING)) AS member, p_name AS name FROM part", "SELECT concat(archive, '.zip') AS file, count(*) AS members FROM {source} AS s GROUP BY archive")
+def s01_arrivals(df):
+    """S01 to S11 as a stream: archives arrive in two goes, the query is started again for the second."""
+    spark, root = arrivals.registered(df.sparkSession), shared_folder(df.sparkSession)
+    zip_source.registered(spark)
+    packed = zips.archives(df.select("archive", "member", c("name").cast("binary").alias("content")))
+    for go in (0, 1):
+        written(zip_source.written_archives(packed.where(F.pmod(F.xxhash64("archive"), F.lit(2)) == go), f"{root}/in"), "archives")
+        stream = spark.readStream.format("arrivals").option("journal", f"{root}/journal").option("suffixes", ".zip").load(f"{root}/in")
+        stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.schema("path string, size long, modified timestamp").parquet(f"{root}/out").select(F.substring_index("path", "/", -1).alias("file"))
+    inside = spark.read.format("zip").schema("archive string, member string").load(f"{root}/in").groupBy(F.substring_index("archive", "/", -1).alias("file")).agg(F.count("*").alias("members"))
+    return told.join(inside, "file")
+
+
 def teacher_run(spark: SparkSession, sf_dir: str):
     """The teacher pipeline: records to people, cards to people, final names, counts of each method."""
     people = staff.staff_master(staff.prepared_records(_records(inputs(spark, sf_dir, STAFF))).join(inputs(spark, sf_dir, STAFF).select("pos", "school"), "pos"), "school")

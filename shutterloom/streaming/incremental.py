@@ -1,59 +1,14 @@
-"""Streams: people recognised as faces arrive, and resolution logs merged per batch."""
+"""Streams: people recognised as faces arrive, and counts per window."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..operators.clustering import SAME_PERSON
-
-
-def recognised(faces: DataFrame, least: float = SAME_PERSON, order: str = "name") -> DataFrame:
-    """C03 over a stream of faces (folder, id, name, emb): (folder, id, person).
-
-    The state of a folder is its centroids and their sizes. A batch is put in order first, so that with whole folders
-    per batch the result equals the batch operator's; across batches the order of arrival decides.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        dim = len(rows.emb.iloc[0])
-        flat, sizes = state.get if state.exists else ([], [])
-        centers, sizes = np.array(flat, float).reshape(-1, dim), list(sizes)
-        out: list[int] = []
-        for e in rows.emb:
-            e = np.asarray(e, float)
-            near = centers @ e
-            k = int(near.argmax()) if len(near) else -1
-            if k >= 0 and near[k] >= least:
-                mean = (centers[k] * sizes[k] + e) / (sizes[k] + 1)
-                centers[k], sizes[k] = mean / (np.linalg.norm(mean) + 1e-12), sizes[k] + 1
-            else:
-                k, centers, sizes = len(sizes), np.vstack((centers, e[None])), [*sizes, 1]
-            out.append(k)
-        state.update((centers.ravel().tolist(), [int(n) for n in sizes]))
-        yield pd.DataFrame({"folder": [key[0]] * len(rows), "id": rows.id.to_numpy(), "person": out})
 
-    kind = faces.schema["folder"].dataType.simpleString()
-    return faces.groupBy("folder").applyInPandasWithState(step, f"folder {kind}, id long, person int", "centers array<double>, sizes array<int>", "append", GroupStateTimeout.NoTimeout)
+from .people import recognised  # noqa: F401
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", window: str = "5 minutes", slide: str | None = None) -> DataFrame:
     """Events (ts, kind) per window and kind; rows later than `late` behind the newest are dropped."""
     over = F.window("ts", window, slide) if slide else F.window("ts", window)
     return events.withWatermark("ts", late).groupBy(over, "kind").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "kind", "n")
-
-
-def merge_log(spark: SparkSession, root: str):
-    """C09 as a sink: a function for foreachBatch that writes each batch as one part of the log, once, under its number."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{root}/batch={number:012d}")
-
-    return write
-
