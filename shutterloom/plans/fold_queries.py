@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import names, providers, scores
+from ..functions import answers, names, providers, scores
 from ..functions import scalars as X
 from ..operators import clustering, fuzzy, geometry, islands, relational, review, selection, staff
 from ..sources import arrivals, files, rosters, zip_source, zips
@@ -348,6 +348,15 @@ def m02(df):
     return rows.select("id", X.json_object(c("answer"), "technical double", "technical")["technical"].alias("technical"))
 
 
+@query("m02_stored_answers", "SELECT event_id AS id, event_type AS kind, user_id AS usr FROM events", "SELECT id, concat(kind, '-', CAST(usr AS STRING)) AS answer FROM {source} AS s")
+def m02_stored(df):
+    """Each distinct request is sent once, over two runs of which the second has all requests."""
+    store = answers.AnswerStore(df.sparkSession, f"{shared_folder(df.sparkSession)}/answers", "plain")
+    request, provider = F.concat_ws("-", "kind", "usr"), providers.FunctionProvider(lambda text: text)
+    store.ask(df.where("usr % 2 = 0"), request, provider)
+    return store.ask(df, request, provider).select("id", "answer")
+
+
 FACES = "SELECT event_id AS id, CAST(20 + event_id % 50 AS INT) AS width, CAST(25 + event_id % 40 AS INT) AS height FROM events"
 EYES_SQL = "SELECT id, least(width, height) >= {least} AND id % 7 <> 0 AS clear, least(width, height) >= {least} AND id % 7 <> 0 AND id % 3 = 0 AS closed, CASE WHEN least(width, height) < {least} OR id % 7 = 0 THEN 'low' WHEN id % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence FROM {source} AS s"
 

@@ -199,10 +199,11 @@ def k18(df):
     return sinks.read_json(spark_of(df), path, "class string, number int, name string, furigana string")
 
 
-@query("s29_missing_log", "SELECT event_id AS id FROM events", "SELECT 0 AS n FROM (SELECT count(*) FROM {source} AS s) AS t")
+@query("s29_missing_log", "SELECT event_id AS id, event_type AS error_id FROM events", "SELECT id FROM {source} AS s")
 def s29(df):
-    """A path that is not there is an empty table."""
-    return sinks.read_json(spark_of(df), f"{shared_folder(spark_of(df))}/none", "error_id string").agg(F.count("*").cast("int").alias("n"))
+    """A path that is not there is an empty table; none of the events is resolved by it."""
+    log = sinks.read_json(spark_of(df), f"{shared_folder(spark_of(df))}/none", "error_id string")
+    return df.join(log, "error_id", "left_anti").select("id")
 
 
 FILES = "SELECT concat('a', CAST(p_partkey % 20 AS STRING), '.zip') AS archive, concat(CASE p_partkey % 3 WHEN 0 THEN 'club/' WHEN 1 THEN 'other/' ELSE '' END, 'f', CAST(p_partkey AS STRING), CASE WHEN p_partkey % 2 = 0 THEN '.JPG' ELSE '.txt' END) AS member, p_name AS name FROM part"
@@ -461,11 +462,14 @@ def x62(df):
     )
 
 
-@query("p30_headers", "SELECT o_orderkey AS id FROM orders", "SELECT * FROM (VALUES ('Original Filename', '元ファイル名'), ('Card Name (OCR)', '札氏名（OCR）'), ('detection_layer', '検出レイヤー'), ('dedup_reduction_rate', '重複削減率'), ('other_passing_count', '通過写真枚数'), ('is_ng', 'NG判定'), ('matched', '照合済み'), ('zzz', 'zzz')) AS v(name, shown)")
+HEADERS = {"Original Filename": "元ファイル名", "Card Name (OCR)": "札氏名（OCR）", "detection_layer": "検出レイヤー", "dedup_reduction_rate": "重複削減率", "other_passing_count": "通過写真枚数", "is_ng": "NG判定", "matched": "照合済み", "zzz": "zzz"}
+
+
+@query("p30_headers", "SELECT o_orderkey AS id, CAST(o_orderkey % 8 AS INT) AS k FROM orders", "SELECT id, ['" + "', '".join(HEADERS) + "'][k + 1] AS name, ['" + "', '".join(HEADERS.values()) + "'][k + 1] AS shown FROM {source} AS s")
 def p30(df):
-    """Display names of columns and terms."""
-    names = ["Original Filename", "Card Name (OCR)", "detection_layer", "dedup_reduction_rate", "other_passing_count", "is_ng", "matched", "zzz"]
-    return spark_of(df).createDataFrame([(n, X.header(n)) for n in names], "name string, shown string")
+    """Display names of the columns and terms that rows name."""
+    names = F.array(*map(F.lit, HEADERS))
+    return df.select("id", names[c("k")].alias("name"), F.array(*[F.lit(X.header(n)) for n in HEADERS])[c("k")].alias("shown"))
 
 
 @query("h09_lists_and_unions", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS tag FROM orders", "SELECT id, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS n, CASE WHEN id % 3 = 0 THEN 'b' END AS extra FROM {source} AS s")
@@ -475,10 +479,12 @@ def h09(df):
     return T.united([rows.where("id % 3 <> 0"), rows.where("id % 3 = 0").withColumn("extra", F.lit("b"))])
 
 
-@query("h11_empty_evaluations", "SELECT o_orderkey AS id FROM orders", "SELECT CAST(count(*) FILTER (WHERE false) AS BIGINT) AS n, CAST(11 AS INT) AS columns FROM {source} AS s")
+@query("h11_empty_evaluations", "SELECT concat('p', CAST(o_orderkey AS STRING)) AS path FROM orders", "SELECT path, 0 AS known FROM {source} AS s")
 def h11(df):
-    empty = T.empty_evaluations(spark_of(df))
-    return empty.agg(F.count("*").alias("n"), F.lit(len(empty.columns)).alias("columns"))
+    """The empty table of evaluations takes rows that have only a path; all else is unknown."""
+    rows = T.empty_evaluations(spark_of(df)).unionByName(df, allowMissingColumns=True)
+    known = [F.when(F.col(n).isNotNull(), 1).otherwise(0) for n in rows.columns if n != "path"]
+    return rows.select("path", sum(known[1:], known[0]).alias("known"))
 
 
 @query("h29_frame_bounds", "SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS top, p_retailprice AS left_at FROM part", "SELECT id, round(left_at + 40 - left_at, 4) AS width, round(top + 44 - top, 4) AS height, top AS y FROM {source} AS s")
