@@ -138,19 +138,51 @@ def mostly_white(x: np.ndarray, share: float = 0.25) -> bool:
 
 
 def regions(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(pixels, x1, y1, x2, y2) of each region whose pixels touch, the largest first."""
-    labels = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        padded = np.pad(labels, 1)
-        spread = np.where(mask, np.max([padded[i : i + mask.shape[0], j : j + mask.shape[1]] for i in range(3) for j in range(3)], axis=0), 0)
-        if (spread == labels).all():
-            break
-        labels = spread
-    out = []
-    for label in np.unique(labels[labels > 0]):
-        ys, xs = np.nonzero(labels == label)
-        out.append((len(ys), int(xs.min()), int(ys.min()), int(xs.max()) + 1, int(ys.max()) + 1))
-    return sorted(out, key=lambda r: -r[0])
+    """(pixels, x1, y1, x2, y2) of each region whose pixels touch, also at corners, the largest first, then the upper.
+
+    Rows are cut into runs; runs of neighbouring rows that touch are tied, and ties are followed to the first run.
+    """
+    h, w = mask.shape
+    edges = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, begin = np.nonzero(edges == 1)
+    end = np.nonzero(edges == -1)[1]
+    if not len(row):
+        return []
+    # Runs as stretches of one line, each row on a stretch of its own, so that one search finds all that touch from below.
+    low, high = row * (w + 2) + begin, row * (w + 2) + end
+    first, last = np.searchsorted(high, low + w + 2, "left"), np.searchsorted(low, high + w + 2, "right")
+    n = np.maximum(last - first, 0)
+    upper = np.repeat(np.arange(len(row)), n)
+    lower = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+    tied = np.arange(len(row))
+    while len(upper):
+        a, b = tied[upper], tied[lower]
+        apart = a != b
+        upper, lower = upper[apart], lower[apart]
+        np.minimum.at(tied, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (tied[tied] != tied).any():
+            tied = tied[tied]
+    roots, region = np.unique(tied, return_inverse=True)
+    pixels = np.bincount(region, end - begin).astype(int)
+    x1, y1, x2, y2 = np.full(len(roots), w), np.full(len(roots), h), np.zeros(len(roots), int), np.zeros(len(roots), int)
+    for f, out, values in ((np.minimum, x1, begin), (np.minimum, y1, row), (np.maximum, x2, end), (np.maximum, y2, row + 1)):
+        f.at(out, region, values)
+    order = np.lexsort((np.arange(len(roots)), -pixels))
+    return [tuple(int(v[k]) for v in (pixels, x1, y1, x2, y2)) for k in order]
+
+
+def closed_and_opened(mask: np.ndarray, size: int) -> np.ndarray:
+    """Gaps narrower than a square of `size` pixels filled, then what is narrower taken away. Beyond the border nothing counts."""
+
+    def around(m: np.ndarray) -> np.ndarray:
+        before, after = size // 2, size - 1 - size // 2
+        total = np.pad(np.pad(m.astype(np.int64), ((before, after), (before, after))).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+        return total[size:, size:] - total[:-size, size:] - total[size:, :-size] + total[:-size, :-size]
+
+    there = around(np.ones(mask.shape, bool))
+    for grow in (True, False, False, True):
+        mask = around(mask) > 0 if grow else around(mask) == there
+    return mask
 
 
 def dense_text(x: np.ndarray, most: int = 20) -> bool:
@@ -165,16 +197,50 @@ def has_placard(x: np.ndarray) -> bool:
     return any(0.01 <= n / small[..., 0].size <= 0.30 and 1.0 <= (x2 - x1) / max(1, y2 - y1) <= 4.0 and (y1 + y2) / 2 >= small.shape[0] / 3 for n, x1, y1, x2, y2 in regions(white(small))) and h > 0 < w
 
 
+#: What makes a white region a card: shares of the picture's area, width by height, how far down it begins, the free
+#: border beside it, and the share of its box that is white. Fixed values.
+CARD = {"least": 0.008, "most": 0.25, "wide": (1.2, 3.5), "below": 0.30, "border": 0.05, "filled": 0.65}
+CARD_GAPS, CARD_MARGIN = 15, 12
+
+
+def card_box(x: np.ndarray) -> tuple[int, int, int, int] | None:
+    """(x1, y1, x2, y2) of the largest white region that can be a card, with a margin."""
+    h, w = x.shape[:2]
+    y = x.astype(np.int32)
+    top = y.max(2)
+    mask = (top >= 170) & ((top - y.min(2)) * 255 <= 40 * top)
+    for n, x1, y1, x2, y2 in regions(closed_and_opened(mask, CARD_GAPS)):
+        wide, tall = x2 - x1, y2 - y1
+        if CARD["least"] * h * w <= n <= CARD["most"] * h * w and CARD["wide"][0] < wide / tall < CARD["wide"][1] and y1 >= h * CARD["below"] and x1 >= w * CARD["border"] and x2 <= w * (1 - CARD["border"]) and n / (wide * tall) >= CARD["filled"]:
+            return max(0, x1 - CARD_MARGIN), max(0, y1 - CARD_MARGIN), min(w, x2 + CARD_MARGIN), min(h, y2 + CARD_MARGIN)
+    return None
+
+
 def card_region(x: np.ndarray) -> np.ndarray:
-    """The largest white region of a card's size and shape, with a margin, else the middle of the picture."""
+    """The card, else the lower middle of the picture."""
     h, w = x.shape[:2]
-    small = resized(x, 160)
-    scale = h / small.shape[0]
-    for n, x1, y1, x2, y2 in regions(white(small)):
-        if 0.02 <= n / small[..., 0].size <= 0.50 and 1.0 <= (x2 - x1) / max(1, y2 - y1) <= 6.0:
-            a, b, c, d = (int(v * scale) for v in (y1, y2, x1, x2))
-            return x[max(0, a - 10) : b + 10, max(0, c - 10) : d + 10]
-    return x[int(h * 0.25) : int(h * 0.75), int(w * 0.15) : int(w * 0.85)]
+    if box := card_box(x):
+        return x[box[1] : box[3], box[0] : box[2]]
+    return x[int(h * 0.45) : int(h * 0.85), int(w * 0.10) : int(w * 0.90)]
+
+
+def cards(pictures: DataFrame, key: str = "id") -> DataFrame:
+    """E15 and F23 of pictures (key, height, width, rgb): (key, found, x1, y1, x2, y2, placard); nulls for unreadable ones."""
+    kind = pictures.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            rows = []
+            for k, h, w, rgb in zip(p[key], p.height, p.width, p.rgb, strict=True):
+                if rgb is None or pd.isna(h):
+                    rows.append((k, None, None, None, None, None, None))
+                    continue
+                x = np.frombuffer(bytes(rgb), np.uint8).reshape(int(h), int(w), 3)
+                box = card_box(x)
+                rows.append((k, box is not None, *(box or (None,) * 4), has_placard(x)))
+            yield pd.DataFrame(rows, columns=[key, "found", "x1", "y1", "x2", "y2", "placard"]).astype({c: "Int32" for c in ("x1", "y1", "x2", "y2")} | {"found": "boolean", "placard": "boolean"})
+
+    return pictures.select(key, "height", "width", "rgb").mapInPandas(run, f"{key} {kind}, found boolean, x1 int, y1 int, x2 int, y2 int, placard boolean")
 
 
 def card_variants(x: np.ndarray) -> list[np.ndarray]:

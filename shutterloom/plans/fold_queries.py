@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import answers, names, providers, scores
+from ..functions import answers, names, pixels, providers, scores
 from ..functions import scalars as X
 from ..operators import clustering, fuzzy, geometry, islands, relational, review, selection, staff
 from ..sources import arrivals, files, rosters, zip_source, zips
@@ -406,6 +406,20 @@ def e07(df):
     return providers.photo_features(df.withColumn("rgb", F.unhex(F.array_join(ramp, ""))))
 
 
+CARD_PICTURES = "SELECT p_partkey AS id, CAST(5 + p_partkey % 40 AS INT) AS x, CAST(p_partkey % 5 * 8 + 8 AS INT) AS y, CAST(20 + p_partkey % 7 * 5 AS INT) AS w FROM part"
+
+
+@query("e15_card_boxes", CARD_PICTURES, "SELECT id, y >= 24 AND x >= 8 AND x + w <= 112 AS found, CASE WHEN y >= 24 AND x >= 8 AND x + w <= 112 THEN greatest(0, x - 12) END AS x1, CASE WHEN y >= 24 AND x >= 8 AND x + w <= 112 THEN y - 12 END AS y1, CASE WHEN y >= 24 AND x >= 8 AND x + w <= 112 THEN least(120, x + w + 12) END AS x2, CASE WHEN y >= 24 AND x >= 8 AND x + w <= 112 THEN least(80, y + 28) END AS y2 FROM {source} AS s")
+def e15(df):
+    """A white card of 16 rows on each of many dark pictures of 120 by 80, some too high or so near the side that white reaches it."""
+    white = lambda n: F.repeat(F.lit("FF"), (n * 3).cast("int"))
+    dark = lambda n: F.repeat(F.lit("14"), (n * 3).cast("int"))
+    line = F.concat(dark(c("x")), white(c("w")), dark(120 - c("x") - c("w")))
+    rgb = F.unhex(F.concat(dark(120 * c("y")), F.repeat(line, 16), dark(120 * (64 - c("y")))))
+    pictures = df.select("id", F.lit(80).alias("height"), F.lit(120).alias("width"), rgb.alias("rgb"))
+    return pixels.cards(pictures).drop("placard")
+
+
 # --- streams ---
 
 

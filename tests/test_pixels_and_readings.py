@@ -73,6 +73,35 @@ def test_scaling_marks_and_regions():
     assert len(pixels.card_variants(card)) == 2
 
 
+def test_regions_equal_a_flood_fill():
+    rng = np.random.default_rng(3)
+    for share in (0.05, 0.3, 0.5, 0.9, 0.0, 1.0):
+        mask = rng.random((23, 31)) < share
+        left, wanted = {tuple(p) for p in np.argwhere(mask)}, []
+        while left:
+            todo, region = [left.pop()], []
+            while todo:
+                y, x = todo.pop()
+                region.append((y, x))
+                near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+            ys, xs = zip(*region, strict=True)
+            wanted.append((len(region), min(xs), min(ys), max(xs) + 1, max(ys) + 1))
+        assert sorted(pixels.regions(mask)) == sorted(wanted)
+        assert [r[0] for r in pixels.regions(mask)] == sorted((r[0] for r in wanted), reverse=True)
+
+
+def test_gaps_are_closed_and_specks_taken_away():
+    mask = np.zeros((60, 80), bool)
+    mask[20:45, 20:60] = True
+    mask[30:33, 25:50] = False  # writing on the card
+    mask[5:9, 5:9] = True
+    wanted = np.zeros_like(mask)
+    wanted[20:45, 20:60] = True
+    assert (pixels.closed_and_opened(mask, 9) == wanted).all()
+
+
 def test_injected_readers(spark):
     df = spark.createDataFrame([(1, "3-1|12"), (2, ""), (3, "boom")], "id long, raw string")
 
