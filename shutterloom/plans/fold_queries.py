@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, names, pixels, providers, scores
 from ..functions import scalars as X
-from ..operators import clustering, fuzzy, geometry, islands, relational, review, selection, staff
+from ..operators import clustering, fuzzy, geometry, islands, relational, review, selection, staff, tables
 from ..sources import arrivals, files, rosters, zip_source, zips
 from ..sources.folders import shared_folder, written
 from ..streaming import incremental, people
@@ -95,6 +95,26 @@ def x21(df):
     return rows.select("pos", "school", F.coalesce(F.try_element_at(others, F.lit(1)), F.lit("")).alias("first_subject"), F.array_contains("subjects", "教頭").alias("office"))
 
 
+@query("f18_named_records", STAFF.replace("s_name AS teacher_name", "CASE s_suppkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE s_name END AS teacher_name"), "SELECT pos FROM {source} AS s WHERE pos % 5 > 1")
+def f18(df):
+    """records without a name go."""
+    return staff.prepared_records(_records(df)).select("pos")
+
+
+@query("f16_new_people", STAFF.replace("s_name AS teacher_name", "substr(md5(CAST(s_suppkey AS STRING)), 1, 12) AS teacher_name").replace("'' AS notes", "CASE WHEN s_suppkey % 4 = 1 THEN '氏名は不鮮明' ELSE '' END AS notes").replace("CASE s_suppkey % 3 WHEN 0 THEN 'timetable' WHEN 1 THEN 'roster' ELSE 'previous_layout' END", "'timetable'"), "SELECT school, teacher_name FROM {source} AS s WHERE confidence >= 0.9 AND pos % 4 <> 1")
+def f16(df):
+    """F16: of a timetable without a roster, records that are sure and in no doubt become people."""
+    rows = staff.prepared_records(_records(df)).join(df.select("pos", "school"), "pos")
+    return staff.staff_master(rows, "school").select("school", "teacher_name")
+
+
+@query("h26_fitted_plates", "SELECT p_partkey AS id, CAST(p_size * 10 AS DOUBLE) AS image_w, p_retailprice AS image_h, CAST(100 + p_partkey % 50 AS DOUBLE) AS scale FROM part", "SELECT id, round(w * scale / 100, 4) AS w, round(h * scale / 100, 4) AS h, round((36 - w * scale / 100) / 2 + 1.5, 4) AS x, round((44 - h * scale / 100) / 2 - 2, 4) AS y FROM (SELECT *, CASE WHEN image_w / image_h > 36.0 / 44 THEN 44 * image_w / image_h ELSE 36.0 END AS w, CASE WHEN image_w / image_h > 36.0 / 44 THEN 44.0 ELSE 36 / (image_w / image_h) END AS h FROM {source} AS s) AS t")
+def h26(df):
+    """Pictures that fill a frame, scaled around its centre and shifted."""
+    fit = tables.fitted(c("image_w"), c("image_h"), F.lit(36.0), F.lit(44.0), c("scale"), F.lit(1.5), F.lit(-2.0))
+    return df.select("id", *[F.round(fit[n], 4).alias(n) for n in ("w", "h", "x", "y")])
+
+
 @query("c04_staff_master", STAFF)
 def c04(df):
     rows = staff.prepared_records(_records(df)).join(df.select("pos", "school"), "pos")
@@ -239,7 +259,9 @@ def k13(portraits, roster):
     return review.manifest(portraits, roster, "2025", "North").select("class_id", "students", "absent")
 
 
-@query_of("j14_card_owners", {"cards": "SELECT user_id AS folder, event_id AS idx, CAST(event_id % 50 AS INT) AS number FROM events WHERE event_type = 'click'", "groups": "SELECT user_id AS folder, event_id AS place FROM events WHERE event_type = 'view'"})
+@query_of("j14_card_owners", {"cards": "SELECT user_id AS folder, event_id AS idx, CAST(event_id % 50 AS INT) AS number FROM events WHERE event_type = 'click'", "groups": "SELECT user_id AS folder, event_id AS place FROM events WHERE event_type = 'view'"}, """WITH near AS (SELECT k.folder, k.idx, k.number, g.group_id, abs(g.place - k.idx) AS d, row_number() OVER (PARTITION BY k.folder, k.idx ORDER BY abs(g.place - k.idx) NULLS LAST, g.group_id) AS r
+ FROM {cards} AS k LEFT JOIN (SELECT folder, place, CAST(floor(place / 500) AS BIGINT) AS group_id FROM {groups} AS g0) AS g ON g.folder = k.folder AND abs(g.place - k.idx) <= 120)
+ SELECT folder, idx, CASE WHEN row_number() OVER (PARTITION BY folder, group_id ORDER BY idx) = 1 THEN group_id END AS group_id, number FROM near WHERE r = 1""")
 def j14(cards, groups):
     """J13 and J14 in their order."""
     groups = groups.withColumn("group_id", F.floor(c("place") / 500)).groupBy("folder", "group_id").agg(F.collect_list("place").alias("places"))
