@@ -26,7 +26,10 @@ SHARE, EPOCHS, SEED = 0.9, 1, 7
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose toxicity score reaches the threshold; the scorer is fitted on the labelled documents."""
+    """Drop documents whose toxicity score reaches the threshold; the scorer is fitted on the labelled documents.
+
+    Null and empty texts have a score and mostly stay; rows that repeat have one score; without labels nothing tells texts
+    apart. Columns may have any names. An empty table stays empty."""
     labels = table(spark, sf_dir, "labels")
     model = toxicity.fit(toxicity.training_rows(docs, labels, F.lit(True)))
     return toxicity.scored(docs, model, "_score").where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
@@ -43,17 +46,26 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut every passage that an earlier document, or an earlier place of the same one, has too."""
+    """Cut every passage that an earlier document, or an earlier place of the same one, has too.
+
+    Null and empty texts and rows without id stay as they are; a text of which nothing is left goes; of rows with equal
+    id and text one stays. Ids are numbers. Columns may have any names. An empty table stays empty."""
     return suffixes.without_repeats(docs, suffixes.repeats(docs, Tables(spark), PASSAGE), PASSAGE)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Choose documents so that languages and sources come near their weights."""
+    """Choose documents so that languages and sources come near their weights.
+
+    A null language or source is a branch like any other, of weight 1; null and empty texts have no tokens; rows that
+    share an id stand or fall together. Columns may have any names. An empty table stays empty."""
     return mixing.mixed_to_weights(docs, LEVELS, WEIGHTS, None, SHARE, EPOCHS, SEED).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and whether they decode to it."""
+    """Token ids of each text, and whether they decode to it.
+
+    Null and empty texts have no ids; every row is encoded, repeated ones too. Columns named as the added ones are
+    replaced. An empty table stays empty."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rows = docs.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     out = bpe.with_tokens(rows, ranks, public_tokenizers.PATTERN, lambda ids, replay: (len(ids), ids, bpe.digests(ids, replay)[2]), "n_tokens long, token_ids array<int>, decoded_sha256 string")
