@@ -279,3 +279,29 @@ def test_a_task_that_runs_again_meets_its_rows_in_the_same_order(spark):
             assert [r.doc for r in around.collect()] == list(range(40))
             sent.append([tuple(r) for r in around.mapInArrow(suffixes._surroundings(25, 26), suffixes._AROUND).collect()])
     assert all(s == sent[0] for s in sent)
+
+
+# --- 10 again ---
+
+
+def test_of_thousands_of_rules_few_run_on_a_url(spark):
+    from shutterloom.llm import url_rules
+
+    rng = random.Random(4)
+    syllables = ["ba", "ko", "ri", "shop", "news", "mix", "tu", "lan", "vex", "pro"]
+    hosts = sorted({".".join(["".join(rng.choice(syllables) for _ in range(rng.randint(2, 4))) for _ in range(rng.randint(1, 2))] + [rng.choice(["com", "org", "example"])]) for _ in range(3500)})[:3000]
+    rules = [(rng.choice(["allow", "block"]), h, rng.choice(["/", "/a/", "/list", ""])) for h in hosts]
+    urls = [f"https://{rng.choice(['', 'www.', 'x.y.'])}{rng.choice(hosts)}{rng.choice(['/', '/a/b', '/lists?q', '', '/z'])}" for _ in range(400)]
+    table = url_rules.host_path_rules(spark, rules, own=[])
+    got = {r.url: (r.rule, r.verdict) for r in url_rules.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), table).join(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), "page_id").collect()}
+    for url in urls:
+        rest = url.split("://", 1)[1]
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and (path.startswith(p))]
+        best = max(fits, default=None)
+        assert got[url] == ((best[1], best[2]) if best else (None, "allow"))
+    sizes = [r.n for r in url_rules.filed(table).where("token like '%*'").select((F.length("token") - 1).alias("n")).distinct().collect()]
+    targets = spark.createDataFrame([(u, u.split("://", 1)[1]) for u in set(urls)], "url string, target string")
+    tokens = targets.select("url", F.explode(url_rules.url_tokens(F.col("target"), sorted(sizes))).alias("token"))
+    met = tokens.join(url_rules.rule_index(table, tokens), "token").groupBy("url").count()
+    assert met.agg(F.avg("count")).first()[0] < 12, "of 3,000 rules a handful runs on each url"
