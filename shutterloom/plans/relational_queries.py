@@ -181,11 +181,10 @@ def j25(index, queries):
     return J.top_similar(index, queries, 5).select("query", "id", "rank")
 
 
-@query_of("x04_cosine", {"left": INDEX, "right": INDEX}, "SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(list_transform(a.emb, lambda x: CAST(x AS DOUBLE)), list_transform(b.emb, lambda x: CAST(x AS DOUBLE))), 6) AS cosine FROM {left} AS a JOIN {right} AS b ON b.id = a.id + 1")
-def x04(left, right):
-    """X04 and X05 of every vector and the one that follows it."""
-    pairs = left.alias("a").join(right.alias("b"), c("b.id") == c("a.id") + 1)
-    return pairs.select(c("a.id").alias("a"), c("b.id").alias("b"), F.round(vectors.cosine(c("a.emb"), c("b.emb")), 6).alias("cosine"))
+@query("x04_cosine", PHOTOS, "SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(list_transform(a.emb, lambda x: CAST(x AS DOUBLE)), list_transform(b.emb, lambda x: CAST(x AS DOUBLE))), 6) AS cosine FROM {source} AS a JOIN {source} AS b ON a.grp = b.grp AND a.id < b.id")
+def x04(df):
+    """X04 and X05 over all pairs of a group, each row of which meets all others."""
+    return J.pairs_of(df, "grp", "id", "emb").select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 VECTORS = "SELECT vec_id AS id, label AS grp, embedding AS emb FROM embeddings"
