@@ -18,17 +18,25 @@ def bounds(top: Column, left: Column, bottom: Column, right: Column) -> Column:
     return F.struct(top.alias("top"), left.alias("left"), bottom.alias("bottom"), right.alias("right"), (right - left).alias("width"), (bottom - top).alias("height"))
 
 
+def _guides_at(guides: DataFrame, by: str) -> DataFrame:
+    """Distinct heights of guides (by, y) with the number of guides there."""
+    return guides.groupBy(by, "y").agg(F.count("*").alias("_guides"))
+
+
 def canonical_offsets(frames: DataFrame, guides: DataFrame, by: str) -> DataFrame:
     """Per page the usual offsets of a frame's first guide and of later ones: (by, top_offset, bottom_offset).
 
-    frames: by, frame, top, bottom; guides: by, y. Guides count strictly inside a frame by half a millimetre; lower ones
-    from 5 mm below the first.
+    frames: by, frame, top, bottom, each frame once; guides: by, y. Guides count strictly inside a frame by half a
+    millimetre; lower ones from 5 mm below the first. Frames of equal edges and guides of equal height meet once, with
+    their numbers, so pairs grow with the different heights of a page.
     """
-    inside = relational.within_bands(guides, frames.withColumn("low", F.col("top") + 0.5).withColumn("high", F.col("bottom") - 0.5), [by], "y", "low", "high", CELL)
-    first = F.min("y").over(Window.partitionBy(by, "frame"))
-    inside = inside.withColumn("first", first).withColumn("offset", F.col("y") - F.col("top"))
-    tops = clustering.modal_values(inside.where("y = first"), by, "offset").withColumnRenamed("offset", "top_offset")
-    lower = clustering.modal_values(inside.where(F.col("y") > F.col("first") + 5), by, "offset").withColumnRenamed("offset", "bottom_offset")
+    spans = frames.groupBy(by, "top", "bottom").agg(F.count("*").alias("_frames")).withColumn("low", F.col("top") + 0.5).withColumn("high", F.col("bottom") - 0.5)
+    first = relational.ends_within(guides, spans, [by], "y", "low", "high").select(by, "low", "high", "first")
+    spans = spans.join(first, [by, "low", "high"])
+    inside = relational.within_bands(_guides_at(guides, by), spans, [by], "y", "low", "high", CELL)
+    inside = inside.withColumn("offset", F.col("y") - F.col("top")).withColumn("_rows", F.col("_guides") * F.col("_frames"))
+    tops = clustering.modal_values(inside.where("y = first"), by, "offset", rows_of="_rows").withColumnRenamed("offset", "top_offset")
+    lower = clustering.modal_values(inside.where(F.col("y") > F.col("first") + 5), by, "offset", rows_of="_rows").withColumnRenamed("offset", "bottom_offset")
     return tops.drop("n").join(lower.drop("n"), by)
 
 
@@ -56,10 +64,10 @@ def strict_ratios(frames: DataFrame, guides: DataFrame, by: str) -> DataFrame:
 
 def own_guides(guides: DataFrame, student_frames: DataFrame, canonical: DataFrame, by: str, reach: float = 1.5) -> DataFrame:
     """Guides that are not where a student row has its guides, for frames outside the grid."""
-    rows = student_frames.join(relational.small(canonical), by)
+    rows = student_frames.select(by, "top").distinct().join(relational.small(canonical), by)
     taken = rows.select(by, F.explode(F.array(F.col("top") + F.col("top_offset"), F.col("top") + F.col("bottom_offset"))).alias("at")).distinct()
     bands = taken.withColumn("low", F.col("at") - reach - 1e-9).withColumn("high", F.col("at") + reach + 1e-9)
-    hit = relational.within_bands(guides, bands, [by], "y", "low", "high", CELL).select(by, "y").distinct()
+    hit = relational.within_bands(_guides_at(guides, by), bands, [by], "y", "low", "high", CELL).select(by, "y").distinct()
     return guides.join(hit, [by, "y"], "left_anti")
 
 
