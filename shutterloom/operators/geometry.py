@@ -42,16 +42,17 @@ def canonical_offsets(frames: DataFrame, guides: DataFrame, by: str) -> DataFram
 
 def guide_ratios(frames: DataFrame, guides: DataFrame, canonical: DataFrame, by: str) -> DataFrame:
     """Per frame the guides nearest to the canonical offsets, within REACH, as shares of its height; null if one is missing."""
-    rows = frames.join(relational.small(canonical), by)
-    wanted = rows.select(by, "frame", "top", "bottom", F.explode(F.array(F.struct(F.lit("top").alias("kind"), (F.col("top") + F.col("top_offset")).alias("target")), F.struct(F.lit("bottom").alias("kind"), (F.col("top") + F.col("bottom_offset")).alias("target")))).alias("t"))
-    wanted = wanted.select(by, "frame", "top", "bottom", "t.*").withColumn("low", F.col("target") - REACH - 1e-9).withColumn("high", F.col("target") + REACH + 1e-9)
-    near = relational.within_bands(guides, wanted, [by], "y", "low", "high", CELL)
-    best = near.groupBy(by, "frame").pivot("kind", ["top", "bottom"]).agg(F.min_by("y", F.struct(F.abs(F.col("y") - F.col("target")), "y")))
-    best = best.withColumnRenamed("top", "top_y").withColumnRenamed("bottom", "bottom_y")
+    rows = frames.select(by, "top", "bottom").distinct().join(relational.small(canonical), by)
+    wanted = rows.select(by, "top", "bottom", F.explode(F.array(F.struct(F.lit("top").alias("kind"), (F.col("top") + F.col("top_offset")).alias("target")), F.struct(F.lit("bottom").alias("kind"), (F.col("top") + F.col("bottom_offset")).alias("target")))).alias("t"))
+    wanted = wanted.select(by, "top", "bottom", "t.*").withColumn("low", F.col("target") - REACH - 1e-9).withColumn("high", F.col("target") + REACH + 1e-9)
+    near = relational.within_bands(_guides_at(guides, by), wanted, [by], "y", "low", "high", CELL)
+    near = near.select(by, F.col("top").alias("_top"), F.col("bottom").alias("_bottom"), "kind", "y", "target")
+    best = near.groupBy(by, "_top", "_bottom").pivot("kind", ["top", "bottom"]).agg(F.min_by("y", F.struct(F.abs(F.col("y") - F.col("target")), "y")))
+    best = best.select(by, F.col("_top").alias("top"), F.col("_bottom").alias("bottom"), F.col("top").alias("top_y"), F.col("bottom").alias("bottom_y"))
     height = F.col("bottom") - F.col("top")
     both = F.col("top_y").isNotNull() & F.col("bottom_y").isNotNull()
     share = lambda c: F.when(both, F.round((F.col(c) - F.col("top")) / height, 4))
-    return frames.join(best, [by, "frame"], "left").select(by, "frame", share("top_y").alias("top_ratio"), share("bottom_y").alias("bottom_ratio"))
+    return frames.join(best, [by, "top", "bottom"], "left").select(by, "frame", share("top_y").alias("top_ratio"), share("bottom_y").alias("bottom_ratio"))
 
 
 def strict_ratios(frames: DataFrame, guides: DataFrame, by: str) -> DataFrame:
