@@ -57,10 +57,9 @@ def guide_ratios(frames: DataFrame, guides: DataFrame, canonical: DataFrame, by:
 
 def strict_ratios(frames: DataFrame, guides: DataFrame, by: str) -> DataFrame:
     """Per frame (by, frame, top, bottom) the first and last guide strictly inside, as shares of its height; null with fewer than two."""
-    inside = relational.within_bands(guides, frames, [by], "y", "top", "bottom", CELL)
-    ends = inside.groupBy(by, "frame").agg(F.count("*").alias("_n"), F.min("y").alias("_first"), F.max("y").alias("_last")).where("_n >= 2")
+    ends = relational.ends_within(guides, frames, [by], "y", "top", "bottom").where("n >= 2")
     share = lambda c: F.round((F.col(c) - F.col("top")) / (F.col("bottom") - F.col("top")), 3)
-    return frames.join(ends, [by, "frame"], "left").select(by, "frame", share("_first").alias("top_ratio"), share("_last").alias("bottom_ratio"))
+    return frames.join(ends, [by, "top", "bottom"], "left").select(by, "frame", share("first").alias("top_ratio"), share("last").alias("bottom_ratio"))
 
 
 def own_guides(guides: DataFrame, student_frames: DataFrame, canonical: DataFrame, by: str, reach: float = 1.5) -> DataFrame:
