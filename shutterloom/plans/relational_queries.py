@@ -103,8 +103,8 @@ FRAMES = f"{ALL_FRAMES} WHERE p_partkey % 5 = 0"
 def j12(guides, frames):
     """First and last guide strictly inside each frame."""
     bands = frames.withColumn("low", c("top") + 0.5).withColumn("high", c("bottom") - 0.5)
-    rows = J.within_bands(guides, bands, ["page"], "y", "low", "high", 10.0)
-    return rows.groupBy("frame").agg(F.count("*").alias("n"), F.round(F.min(c("y") - c("top")), 4).alias("first_guide"), F.round(F.max(c("y") - c("top")), 4).alias("last_guide"))
+    rows = bands.join(J.ends_within(guides, bands, ["page"], "y", "low", "high"), ["page", "low", "high"])
+    return rows.groupBy("frame").agg(F.sum("n").alias("n"), F.round(F.min(c("first") - c("top")), 4).alias("first_guide"), F.round(F.max(c("last") - c("top")), 4).alias("last_guide"))
 
 
 CARDS = "SELECT user_id AS usr, event_id AS card FROM events WHERE event_type = 'click'"
