@@ -53,3 +53,25 @@ def test_bands_of_equal_guides_meet_once(spark):
 def test_values_that_stand_for_many(spark):
     rows = spark.createDataFrame([("a", 1.0, 5), ("a", 1.4, 1), ("a", 9.0, 4), ("a", 9.3, 1), ("b", 2.0, 1)], "g string, v double, times long")
     assert {tuple(r) for r in clustering.modal_values(rows, "g", "v", rows_of="times").collect()} == {("a", 1.1, 6), ("b", 2.0, 1)}
+
+
+def test_pairs_near_in_time_without_a_shuffle_of_pairs(spark):
+    import datetime
+
+    draw, start = random.Random(5), datetime.datetime(2024, 5, 1)
+    photos = [(k, draw.choice("ab"), start + datetime.timedelta(seconds=draw.randrange(9000)) if draw.random() < 0.9 else None, k if draw.random() < 0.9 else None, [draw.random() - 0.5 for _ in range(4)]) for k in range(120)]
+    rules = ((0.5, 1200, 8), (0.1, 300, None))
+    df = spark.createDataFrame(photos, "id long, grp string, ts timestamp, seq long, emb array<double>")
+    got = relational.similar_pairs(df, "grp", rules)
+    wanted = set()
+    for i, g, t, s, x in photos:
+        for j, h, u, z, y in photos:
+            if i < j and g == h:
+                cosine = sum(a * b for a, b in zip(x, y, strict=True)) / (sum(a * a for a in x) ** 0.5 * sum(b * b for b in y) ** 0.5)
+                seconds = None if t is None or u is None else abs((t - u).total_seconds())
+                steps = None if s is None or z is None else abs(s - z)
+                if any(cosine >= least and ((seconds is not None and seconds <= within) or (apart is not None and steps is not None and steps <= apart)) for least, within, apart in rules):
+                    wanted.add((i, j))
+    rows = [(r.a_id, r.b_id) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == wanted and len(wanted) > 50
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
