@@ -75,3 +75,14 @@ def test_pairs_near_in_time_without_a_shuffle_of_pairs(spark):
     rows = [(r.a_id, r.b_id) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == wanted and len(wanted) > 50
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_order_of_a_report_rounds_as_its_sql(spark, monkeypatch):
+    from shutterloom.plans import report_queries
+
+    # The shortest decimals of these doubles are ties of four places; scaled, they lie just below.
+    rows = spark.createDataFrame([("a", 1, 0.00015), ("a", 2, 0.00145), ("a", 3, 0.00465)], "grp string, pos long, score double").withColumns({n: F.lit(0.5) for n in ("focus", "bright", "comp", "rare")})
+    monkeypatch.setattr(report_queries, "_scored", lambda df: rows)
+    got = {r.file: r.total for r in report_queries._photos(rows).collect()}
+    wanted = {f"IMG_{k}.jpg": int(abs(x) * 10000 + 0.5) / 10000 for k, x in ((1, 0.00015), (2, 0.00145), (3, 0.00465))}
+    assert got == wanted and any(wanted[f"IMG_{r.pos}.jpg"] != r.old for r in rows.select("pos", F.round("score", 4).alias("old")).collect())
