@@ -86,3 +86,15 @@ def test_order_of_a_report_rounds_as_its_sql(spark, monkeypatch):
     got = {r.file: r.total for r in report_queries._photos(rows).collect()}
     wanted = {f"IMG_{k}.jpg": int(abs(x) * 10000 + 0.5) / 10000 for k, x in ((1, 0.00015), (2, 0.00145), (3, 0.00465))}
     assert got == wanted and any(wanted[f"IMG_{r.pos}.jpg"] != r.old for r in rows.select("pos", F.round("score", 4).alias("old")).collect())
+
+
+def test_sheets_that_go_on_are_read_as_one(spark, tmp_path):
+    from shutterloom.sources import workbooks
+
+    df = spark.range(0, 23, numPartitions=3).select(F.concat(F.lit("f"), "id").alias("file"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("n"), F.lit("z").alias("z")).orderBy("n", "file")
+    path = str(tmp_path / "book.xlsx")
+    parts = workbooks.write_sheets({"a": df, "a (2)": df.limit(2)}, path, 6)
+    assert parts == {"a": ["a", "a (2)", "a (3)", "a (4)", "a (5)"], "a (2)": ["a (2) (2)"]}
+    got = workbooks.as_table(workbooks.read_back(spark, path, {"a": parts["a"]}, 6), "a", ["file", "n", "z"]).orderBy("row").collect()
+    assert [(r.row, r.file, r.n, r.z) for r in got] == [(k, r.file, None if r.n is None else str(r.n), r.z) for k, r in enumerate(df.collect(), 2)]
+    assert {r.sheet for r in workbooks.read_cells(spark, path, ["a (3)"]).collect()} == {"a (3)"}
