@@ -98,3 +98,21 @@ def test_sheets_that_go_on_are_read_as_one(spark, tmp_path):
     got = workbooks.as_table(workbooks.read_back(spark, path, {"a": parts["a"]}, 6), "a", ["file", "n", "z"]).orderBy("row").collect()
     assert [(r.row, r.file, r.n, r.z) for r in got] == [(k, r.file, None if r.n is None else str(r.n), r.z) for k, r in enumerate(df.collect(), 2)]
     assert {r.sheet for r in workbooks.read_cells(spark, path, ["a (3)"]).collect()} == {"a (3)"}
+
+
+def test_equal_pictures_are_looked_at_once(spark):
+    import numpy as np
+
+    from shutterloom.functions import pixels
+
+    def picture(x, y, w):
+        out = np.full((80, 120, 3), 20, np.uint8)
+        out[y : y + 16, x : x + w] = 255
+        return out
+
+    shapes = [(20, 40, 40), (20, 40, 40), (5, 40, 40), (20, 8, 40)]
+    rows = [(k, 80, 120, bytearray(picture(*s).tobytes())) for k, s in enumerate(shapes)] + [(4, 80, 120, bytearray(80 * 120 * 3)), (5, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, height int, width int, rgb binary").coalesce(1)
+    got = {r.id: (r.found, r.x1, r.y1, r.x2, r.y2) for r in pixels.cards(df, placard=False).collect()}
+    assert got == {0: (True, 8, 28, 72, 68), 1: (True, 8, 28, 72, 68)} | {k: (False, None, None, None, None) for k in (2, 3, 4)} | {5: (None,) * 5}
+    assert [r.placard for r in pixels.cards(df).orderBy("id").collect()] == [pixels.has_placard(picture(*s)) for s in shapes] + [False, None]
