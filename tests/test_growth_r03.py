@@ -116,3 +116,24 @@ def test_equal_pictures_are_looked_at_once(spark):
     got = {r.id: (r.found, r.x1, r.y1, r.x2, r.y2) for r in pixels.cards(df, placard=False).collect()}
     assert got == {0: (True, 8, 28, 72, 68), 1: (True, 8, 28, 72, 68)} | {k: (False, None, None, None, None) for k in (2, 3, 4)} | {5: (None,) * 5}
     assert [r.placard for r in pixels.cards(df).orderBy("id").collect()] == [pixels.has_placard(picture(*s)) for s in shapes] + [False, None]
+
+
+def test_lists_of_keys_meet_without_grams(spark, monkeypatch):
+    from difflib import SequenceMatcher
+
+    from shutterloom.operators import fuzzy
+
+    monkeypatch.setattr(fuzzy, "KEYS_AT_ONCE", 7)
+    draw = random.Random(6)
+    sides = [[(draw.choice("xy"), "".join(draw.choice("abcé") for _ in range(draw.randrange(0, 9)))) for _ in range(60)] for _ in "ab"]
+    left, right = (spark.createDataFrame(s, "school string, key string") for s in sides)
+    true = {(s, a, b): SequenceMatcher(None, a, b).ratio() for s, a in sides[0] for t, b in sides[1] if s == t and a and b}
+    got = [tuple(r) for r in fuzzy.similar_keys(left, right, 0.6).select("school", "a", "b", "similarity").collect()]
+    assert len(got) == len({g[:3] for g in got}) and {g[:3]: g[3] for g in got} == {k: v for k, v in true.items() if v >= 0.6}
+    near = {(r.school, r.a, r.b): r.similarity for r in fuzzy.nearest_keys(left, right, 3, 0.3).collect()}
+    for s, a in {k[:2] for k in true}:
+        mine = {k: v for k, v in true.items() if k[:2] == (s, a) and v >= 0.3}
+        least = sorted(mine.values(), reverse=True)[2] if len(mine) > 2 else 0.3
+        assert {k: v for k, v in near.items() if k[:2] == (s, a) and v >= least} == {k: v for k, v in mine.items() if v >= least}
+    # Two lists meet in one row, however many letters their keys have in common.
+    assert "explode" not in fuzzy.similar_keys(left, right, 0.6)._jdf.queryExecution().optimizedPlan().toString()
