@@ -137,3 +137,59 @@ def test_lists_of_keys_meet_without_grams(spark, monkeypatch):
         assert {k: v for k, v in near.items() if k[:2] == (s, a) and v >= least} == {k: v for k, v in mine.items() if v >= least}
     # Two lists meet in one row, however many letters their keys have in common.
     assert "explode" not in fuzzy.similar_keys(left, right, 0.6)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ratios_and_their_bounds_are_those_of_difflib():
+    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    from shutterloom.functions import names
+    from shutterloom.operators import fuzzy
+
+    draw = random.Random(8)
+    for letters, most in (("ab", 12), ("abcdé", 70), ("ab0123456789", 150)):
+        keys = ["".join(draw.choice(letters) for _ in range(draw.randrange(0, most))) for _ in range(40)]
+        table = fuzzy.KeyTable(keys[20:])
+        table.put(3, "b" * 5 + "a")
+        true = np.array([[SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for b in table.keys] for a in keys[:20]])
+        assert [[names.ratio_of(a, b) for b in table.keys] for a in keys[:20]] == true.tolist()
+        bounds = table.bounds(keys[:20])
+        assert (bounds >= true).all() and (bounds < 1).any()
+
+
+def test_pairs_of_nearest_keys_are_scored_best_first(spark, monkeypatch):
+    from shutterloom.functions import names
+    from shutterloom.operators import fuzzy
+
+    left, right = [f"supplier#{k:06d}" for k in range(20)], [f"supplier#{k * 977 % 10**6:06d}" for k in range(300)]
+    scored = []
+    monkeypatch.setattr(names, "ratio_of", lambda a, b, f=names.ratio_of: (scored.append(1), f(a, b))[1])
+    found = list(fuzzy._best_first(left, right, fuzzy._bounds(left, right), 5, 0.3))
+    assert len(scored) < 0.5 * len(left) * len(right)
+    for i, a in enumerate(left):
+        every = {j: names.ratio_of(a, b) for j, b in enumerate(right)}
+        least = sorted(every.values())[-5]
+        assert {j: r for k, j, r in found if k == i} == {j: r for j, r in every.items() if r >= least}
+
+
+def test_people_of_a_fold_are_those_of_comparing_all(spark):
+    from shutterloom.functions import names
+    from shutterloom.operators import staff
+
+    draw = random.Random(9)
+    for _ in range(40):
+        people = staff.People()
+        for _ in range(draw.randrange(0, 12)):
+            people.add(staff.Person("".join(draw.choice("abc") for _ in range(5)), {draw.choice("xyz")}))
+        if people.list:
+            people.take(0, staff.Person("abcabcabc", {"z"}), longer_name=True)
+        record = staff.Person("".join(draw.choice("abc") for _ in range(5)), {draw.choice("xyz"), "y"})
+        every = [(names.similarity_of(record.name, p.name) + (0.3 if record.subjects & p.subjects else 0.0), -k) for k, p in enumerate(people.list)]
+        score, k = max(every, default=(-1.0, 1))
+        same = next((k for k, p in enumerate(people.list) if p.key == record.key), None)
+        assert people.best(record, 0.3)[:2] == ((-k, score) if same is None else (same, 999.0))
+        if people.list:
+            times = [(staff.timetable_score(record, p), -k) for k, p in enumerate(people.list)]
+            got = people.highest(record, people.shared(record, 0.35), people.same_main(record, 0.25), staff.np.full(len(people.list), -0.0))
+            assert (got[1], -got[0]) == max(times)
