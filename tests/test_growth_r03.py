@@ -171,6 +171,9 @@ def test_pairs_of_nearest_keys_are_scored_best_first(spark, monkeypatch):
         every = {j: names.ratio_of(a, b) for j, b in enumerate(right)}
         least = sorted(every.values())[-5]
         assert {j: r for k, j, r in found if k == i} == {j: r for j, r in every.items() if r >= least}
+    # Of ties at the end those that come first stay.
+    few = [(i, j) for i, j, _ in fuzzy._best_first(left, right, fuzzy._bounds(left, right), 5, 0.3, [-j for j in range(300)])]
+    assert few == [(i, j) for i, a in enumerate(left) for j in sorted(sorted(range(300), key=lambda j: (-names.ratio_of(a, right[j]), -j))[:5], key=[y for x, y in few if x == i].index)]
 
 
 def test_people_of_a_fold_are_those_of_comparing_all(spark):
