@@ -8,7 +8,7 @@ the vectors: all but a few where they lie in clusters, hardly any where they poi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,10 @@ from .relational import blocks
 PIVOTS = 1024
 #: Vectors of a list part, and of the parts that are sent to every machine at once, about.
 MEMBERS, BLOCK = 256, 10_000
+#: Vectors of the matrices that meet: queries, and members of lists.
+QUERIES_AT_ONCE, MEMBERS_AT_ONCE = 1_024, 4_096
+#: What a product of matrices can differ from a sum in order, for vectors of length one; all that may be best is summed again in order.
+LOST = 1e-11
 #: Added to bounds, for what is lost in angles and products.
 SLACK = 1e-6
 TINY = 1e-12
@@ -43,6 +47,23 @@ def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x / np.where(n > 0, n, 1)[:, None], n
 
 
+def _packed(x: np.ndarray) -> list[bytes]:
+    """Rows as bytes."""
+    return [r.tobytes() for r in np.ascontiguousarray(x)]
+
+
+def _unpacked(rows: Iterable[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), float).reshape(-1, width)
+
+
+def _in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed in the order of the components."""
+    out = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        out += x[:, d] * y[:, d]
+    return out
+
+
 class VectorIndex:
     """Vectors (id, pos, emb) in lists, written under `path`: a table `lists` of (list, part, members), where a part has
     some MEMBERS vectors, and a table `pivots` of (list, pivot, widest, longest, rows).
@@ -83,10 +104,10 @@ class VectorIndex:
                     cosine = unit @ pivots.T
                     near = np.where(zero, near, cosine.argmax(axis=1))
                     angle = np.where(zero, angle, np.arccos(np.clip(cosine.max(axis=1), -1, 1)))
-                yield p.assign(list=near.astype("int32"), angle=angle, norm=norm, emb=list(clean))
+                yield p.assign(list=near.astype("int32"), angle=angle, norm=norm, emb=_packed(clean))
 
         kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
-        rows = written(vectors.mapInPandas(dealt, f"id {kinds['id']}, pos {kinds['pos']}, emb array<double>, list int, angle double, norm double"), "dealt")
+        rows = written(vectors.mapInPandas(dealt, f"id {kinds['id']}, pos {kinds['pos']}, emb binary, list int, angle double, norm double"), "dealt")
         lists = rows.groupBy("list").agg(F.max("angle").alias("widest"), F.max("norm").alias("longest"), F.count("*").alias("rows"))
         centers = spark.createDataFrame([(k, [float(x) for x in p]) for k, p in enumerate([*pivots, np.zeros(width)])], "list int, pivot array<double>")
         lists.join(F.broadcast(centers), "list").write.parquet(f"{path}/pivots")
@@ -102,24 +123,31 @@ class VectorIndex:
         kind = queries.schema["query"].dataType.simpleString()
         pivots, widest, longest, sizes, numbers, width = self.pivots, self.widest, self.longest, self.sizes, self.numbers, self.pivots.shape[1]
 
-        def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in batches:
-                clean = _rows(p.emb, width)
-                unit, norm = _unit(clean)
+                x = _rows(p.emb, width)
+                yield p.assign(emb=_packed(x), norm=np.linalg.norm(x, axis=1))
+
+        def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Of each query the lists of highest bounds that hold k vectors; with `least`, all others that could hold a better one."""
+            for p in batches:
+                unit, norm = _unit(_unpacked(p.emb, width))
                 angle = np.arccos(np.clip(unit @ pivots.T, -1, 1)) - widest
                 most = np.cos(np.clip(angle, 0, np.pi)) * (1 if cosine else norm[:, None] * longest) + SLACK
                 order = np.argsort(-most, axis=1, kind="stable")
                 first = np.minimum((np.cumsum(sizes[order], axis=1) < k).sum(axis=1) + 1, len(numbers))
-                yield p.assign(emb=list(clean), norm=norm, lists=list(numbers[order].astype("int32")), most=list(np.take_along_axis(most, order, axis=1)), first=first.astype("int32"))
+                after = np.arange(len(numbers)) >= first[:, None]
+                wanted = after & (np.take_along_axis(most, order, axis=1) >= p.least.to_numpy(float)[:, None]) if "least" in p else ~after
+                yield p[["query", "emb", "norm"]].assign(lists=[numbers[o[w]].astype("int32") for o, w in zip(order, wanted, strict=True)])
 
-        asked = queries.select("query", "emb").distinct().mapInPandas(bounds, f"query {kind}, emb array<double>, norm double, lists array<int>, most array<double>, first int")
-        asked = written(asked, "asked")
-        # First the lists of highest bounds that hold k vectors, then all that could still hold a better one.
-        found = written(self._searched(asked.withColumn("lists", F.slice("lists", F.lit(1), F.col("first"))), k, cosine), "first")
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        asked = queries.select("query", "emb").distinct().repartition(tasks, "query").mapInPandas(clean, f"query {kind}, emb binary, norm double")
+        asked = written(asked, "asked").repartition(tasks, "query")
+        shape = f"query {kind}, emb binary, norm double, lists array<int>"
+        found = written(self._searched(asked.mapInPandas(lists, shape), k, cosine), "first")
         least = found.groupBy(F.col("query").alias("_query")).agg(F.min("score").alias("least"), F.count("*").alias("n"))
-        rest = asked.join(least, F.col("query").eqNullSafe(F.col("_query")), "left")
-        hopes = F.filter(F.slice(F.arrays_zip("lists", "most"), F.col("first") + 1, F.greatest(F.lit(0), F.size("lists") - F.col("first"))), lambda x: F.coalesce(x["most"] >= F.when(F.col("n") >= k, F.col("least")), F.lit(True)))
-        rest = written(rest.select("query", "emb", "norm", F.transform(hopes, lambda x: x["lists"]).alias("lists")).where("size(lists) > 0"), "rest")
+        rest = asked.join(least, F.col("query").eqNullSafe(F.col("_query")), "left").select("query", "emb", "norm", F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(float("-inf"))).alias("least"))
+        rest = rest.repartition(tasks, "query").mapInPandas(lists, shape).where("size(lists) > 0")
         return self._best(found.drop("rank").unionByName(self._searched(rest, k, cosine).drop("rank")), k)
 
     def _best(self, found: DataFrame, k: int) -> DataFrame:
@@ -127,29 +155,115 @@ class VectorIndex:
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     def _searched(self, asked: DataFrame, k: int, cosine: bool) -> DataFrame:
-        """The k best of the lists of each query (query, emb, norm, lists). The side with fewer vectors is sent to the other,
-        in blocks; a query and a list part make one row, whatever the part's size."""
-        out = []
+        """The k best of the lists of each query (query, emb, norm, lists). Queries and members of lists meet as matrices; the
+        side with fewer vectors is sent to the other, in blocks."""
+        queries, width = self._matrices_of(asked), self.pivots.shape[1]
+        kinds = {f.name: f.dataType.simpleString() for f in self.lists.schema["members"].dataType.elementType.fields}
+        kind = asked.schema["query"].dataType.simpleString()
         if self.sizes.sum() <= asked.count():
-            each = asked.select("query", "emb", "norm", F.explode("lists").alias("list"))
-            out = [each.join(F.broadcast(block), "list") for block in self._blocks()]
+            pairs = [queries.crossJoin(F.broadcast(self._members(block, k))) for block in self._blocks()]
         else:
-            for block in blocks(asked, "query"):
-                pairs = self.lists.join(F.broadcast(block.select("query", F.explode("lists").alias("list"))), "list")
-                vectors = block.select(F.col("query").alias("_query"), "emb", "norm")
-                out.append(pairs.join(F.broadcast(vectors), F.col("query").eqNullSafe(F.col("_query"))))
+            tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            members = self._members(self.lists.repartitionByRange(tasks, "list", "part"), k)
+            pairs = [members.crossJoin(F.broadcast(self._matrices_of(block))) for block in blocks(asked, "query")]
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in batches:
+                for r in p.itertuples(index=False):
+                    x, y = (np.frombuffer(b, float).reshape(-1, width) for b in (r.queries, r.members))
+                    i, j, score = _met(x, np.asarray(r.query_norms), np.split(r.query_lists, np.cumsum(r.query_sizes)[:-1]), y, np.asarray(r.norms), np.asarray(r.lists), k, cosine)
+                    yield pd.DataFrame({"query": np.asarray(r.query)[i], "id": np.asarray(r.id)[j], "pos": np.asarray(r.pos)[j], "score": score})
+
         found = None
-        for met in out:
-            dot = lambda m: F.aggregate(F.zip_with(F.col("emb"), m["emb"], lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-            score = (lambda m: dot(m) / (F.col("norm") * m["norm"] + F.lit(TINY))) if cosine else dot
-            scored = F.transform("members", lambda m: F.struct((-score(m)).alias("less"), m["pos"].alias("pos"), m["id"].alias("id")))
-            best = F.array(F.array_min(scored)) if k == 1 else F.slice(F.array_sort(scored), 1, k)
-            rows = met.select("query", F.explode(best).alias("x")).select("query", F.col("x.id").alias("id"), F.col("x.pos").alias("pos"), (-F.col("x.less")).alias("score"))
+        for met in pairs:
+            rows = met.mapInPandas(best, f"query {kind}, id {kinds['id']}, pos {kinds['pos']}, score double")
             found = rows if found is None else found.unionByName(rows)
         return self._best(found, k)
 
+    @staticmethod
+    def _matrices_of(asked: DataFrame) -> DataFrame:
+        """Queries as matrices of QUERIES_AT_ONCE rows at most, those of a task that want the same list first beside each other."""
+        kind = asked.schema["query"].dataType.simpleString()
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in batches:
+                p = p[[len(x) > 0 for x in p.lists]]
+                p = p.iloc[np.argsort([x[0] for x in p.lists], kind="stable")]
+                for at in range(0, len(p), QUERIES_AT_ONCE):
+                    q = p.iloc[at : at + QUERIES_AT_ONCE]
+                    yield pd.DataFrame({"query": [q["query"].tolist()], "queries": [b"".join(q.emb)], "query_norms": [q.norm.to_numpy()], "query_lists": [np.concatenate(q.lists.to_numpy())], "query_sizes": [q.lists.map(len).to_numpy("int32")]})
+
+        return asked.mapInPandas(run, f"query array<{kind}>, queries binary, query_norms array<double>, query_lists array<int>, query_sizes array<int>")
+
+    def _members(self, parts: DataFrame, k: int) -> DataFrame:
+        """Members of list parts as matrices of about MEMBERS_AT_ONCE rows, in order of list, pos and id. Of equal vectors of
+        a matrix only the first k can be among the k best; the others go."""
+        kinds = {f.name: f.dataType.simpleString() for f in self.lists.schema["members"].dataType.elementType.fields}
+
+        def matrix(rows: list[pd.DataFrame]) -> pd.DataFrame:
+            p = pd.concat(rows).sort_values(["list", "pos", "id"], kind="stable", na_position="first")
+            p = p[p.groupby(["list", "emb"], sort=False).cumcount() < k]
+            return pd.DataFrame({"lists": [p.list.to_numpy("int32")], "id": [p.id.tolist()], "pos": [p.pos.tolist()], "members": [b"".join(p.emb)], "norms": [p.norm.to_numpy()]})
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows, n = [], 0
+            for p in batches:
+                for r in p.itertuples(index=False):
+                    rows.append(pd.DataFrame([tuple(m[c] for c in ("pos", "id", "emb", "norm")) for m in r.members], columns=["pos", "id", "emb", "norm"], dtype=object).astype({"norm": float}).assign(list=r.list))
+                    n += len(rows[-1])
+                    if n >= MEMBERS_AT_ONCE:
+                        yield matrix(rows)
+                        rows, n = [], 0
+            if rows:
+                yield matrix(rows)
+
+        return parts.select("list", "members").mapInPandas(run, f"lists array<int>, id array<{kinds['id']}>, pos array<{kinds['pos']}>, members binary, norms array<double>")
+
     def _blocks(self) -> list[DataFrame]:
         """The list parts in blocks of about BLOCK vectors."""
         n = max(1, int(-(-self.sizes.sum() // BLOCK)))
-        rows = self.lists.select("list", "members")
+        rows = self.lists
         return [rows.where(F.pmod(F.xxhash64("list", "part"), F.lit(n)) == i) for i in range(n)] if n > 1 else [rows]
+
+
+def _met(x: np.ndarray, x_norms: np.ndarray, wanted: list[np.ndarray], y: np.ndarray, y_norms: np.ndarray, lists: np.ndarray, k: int, cosine: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in x, place in y, score) of the k best rows of y, of the lists that each row of x wants, with all that tie with
+    the last. `lists` ascends."""
+    who = np.repeat(np.arange(len(x)), [len(w) for w in wanted])
+    what = np.concatenate(wanted) if len(wanted) else np.empty(0, int)
+    order = np.argsort(what, kind="stable")
+    who, what = who[order], what[order]
+    reached = np.full(len(x), -np.inf)
+    longest = y_norms.max(initial=0.0)
+    slack = LOST * (np.ones(len(x)) if cosine else np.maximum(x_norms * longest, TINY))
+    found = []
+    starts = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]]) if len(lists) else np.empty(0, int)
+    for start, end in zip(starts, [*starts[1:], len(lists)], strict=True):
+        q = who[np.searchsorted(what, lists[start]) : np.searchsorted(what, lists[start], "right")]
+        for at in range(0, len(q), 256):
+            rows = q[at : at + 256]
+            zero = rows[x_norms[rows] == 0]  # all scores are zero
+            for i in zero:
+                found.append((np.full(min(k, end - start), i), start + np.arange(min(k, end - start))))
+            rows = rows[x_norms[rows] != 0]
+            s = x[rows] @ y[start:end].T
+            if cosine:
+                s /= x_norms[rows][:, None] * y_norms[start:end] + TINY
+            if end - start >= k:
+                reached[rows] = np.maximum(reached[rows], np.partition(s, -k, axis=1)[:, -k])
+            i, j = np.nonzero(s >= (reached[rows] - slack[rows])[:, None])
+            found.append((rows[i], start + j))
+    i, j = (np.concatenate([f[c] for f in found]).astype(int) if found else np.empty(0, int) for c in (0, 1))
+    score = np.zeros(len(i))
+    for at in range(0, len(i), 65_536):
+        part = slice(at, at + 65_536)
+        score[part] = _in_order(x[i[part]], y[j[part]])
+        if cosine:
+            score[part] /= x_norms[i[part]] * y_norms[j[part]] + TINY
+    # All of a place that ties with its k-th best stay: rows of several lists are not in one order.
+    order = np.lexsort((-score, i))
+    i, j, score = i[order], j[order], score[order]
+    begin = np.searchsorted(i, i)
+    last = np.minimum(begin + k - 1, np.searchsorted(i, i, "right") - 1)
+    kept = score >= score[last]
+    return i[kept], j[kept], score[kept]

@@ -196,3 +196,35 @@ def test_people_of_a_fold_are_those_of_comparing_all(spark):
             times = [(staff.timetable_score(record, p), -k) for k, p in enumerate(people.list)]
             got = people.highest(record, people.shared(record, 0.35), people.same_main(record, 0.25), staff.np.full(len(people.list), -0.0))
             assert (got[1], -got[0]) == max(times)
+
+
+def test_searches_meet_as_matrices(spark, monkeypatch):
+    import numpy as np
+
+    from shutterloom.operators import vector_index
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(40, 6)), np.repeat(rng.normal(size=(30, 6)), 2, axis=0)
+    x[3] = 0
+    lists = np.sort(rng.integers(0, 5, 60))
+    wanted = [rng.permutation(5)[: rng.integers(0, 6)].astype("int32") for _ in x]
+    norms = [np.linalg.norm(v, axis=1) for v in (x, y)]
+    for cosine in (True, False):
+        i, j, s = vector_index._met(x, norms[0], wanted, y, norms[1], lists, 3, cosine)
+        for q in range(40):
+            every = {}
+            for m in range(60):
+                if lists[m] in wanted[q]:
+                    dot = 0.0
+                    for d in range(6):
+                        dot += float(x[q, d]) * float(y[m, d])
+                    every[m] = dot / (norms[0][q] * norms[1][m] + vector_index.TINY) if cosine else dot
+            least = sorted(every.values())[-3:][:1]
+            got = dict(zip(j[i == q].tolist(), s[i == q].tolist(), strict=True))
+            assert all(every[m] == v for m, v in got.items())
+            assert q == 3 or got == {m: v for m, v in every.items() if v >= least[0]}
+            assert q != 3 or {min(m for m in every if lists[m] == n) for n in {lists[m] for m in every}} <= got.keys()
+    # A query and a part of a list make no row of their own.
+    rows = spark.createDataFrame([(k, k, v.tolist()) for k, v in enumerate(y)], "id long, pos long, emb array<double>")
+    found = vector_index.VectorIndex.build(rows).nearest(rows.select(F.col("id").alias("query"), "emb"), 2)
+    assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
