@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -55,8 +55,13 @@ class Album:
             self.pick(i, reason, strict)
 
 
+#: Photos of a folder that are chosen in all, at most: MOST, and before those what an event's rule asks for.
+ALL = MOST + max(len(r.tag_groups) + r.landmarks + r.cheering[0] + 1 for r in EVENT_RULES.values())
+
+
 def choose(rows: list[dict], event: str) -> list[tuple[int, str]]:
-    """(place in `rows`, reason) of the chosen rows. `rows` are acceptable photos in order of preference."""
+    """(place in `rows`, reason) of the chosen rows. `rows` are acceptable photos in order of preference; with `in_bucket`,
+    the photos of a row's bucket, they may be those of can_be_chosen()."""
     rule = EVENT_RULES[event]
     album = Album(rows, rule.transit_most)
     everywhere = range(len(rows))
@@ -77,13 +82,15 @@ def choose(rows: list[dict], event: str) -> list[tuple[int, str]]:
             waiting.setdefault(rows[i][key], []).append(i)
         for places in waiting.values():
             places.sort(key=lambda i: -rows[i]["total"])
+        held = {k: rows[places[0]].get("in_bucket", len(places)) for k, places in waiting.items()}
         went_on = True
         while went_on and len(album.chosen) < MOST:
             went_on = False
             # Small buckets first, by what they held when the round began.
-            for places in sorted(waiting.values(), key=len):
-                if places and len(album.chosen) < MOST:
-                    went_on |= album.pick(places.pop(0), f"balanced: {key}")
+            for k in sorted(waiting, key=held.copy().__getitem__):
+                if waiting[k] and len(album.chosen) < MOST:
+                    held[k] -= 1
+                    went_on |= album.pick(waiting[k].pop(0), f"balanced: {key}")
     album.until(full(MOST), everywhere, "top")
     if len(album.chosen) < LEAST:
         album.until(full(LEAST), everywhere, "fallback_relaxed", strict=False)
@@ -91,6 +98,28 @@ def choose(rows: list[dict], event: str) -> list[tuple[int, str]]:
     return list(album.chosen.items())
 
 
+def can_be_chosen(rows: DataFrame) -> DataFrame:
+    """The rows of select() that choose() can come to, with `in_bucket`, the rows of their bucket.
+
+    Of photos that no limit tells apart each phase takes the first that is left, and limits only get tighter, so the first
+    ALL + 1 of them are enough. Rounds over buckets take one photo of each at a time; every round but the last chooses one,
+    so the first MOST + 1 of a bucket by total are enough.
+    """
+    number = lambda n: F.when(~F.isnan(F.col(n).cast("double")), F.col(n)).desc_nulls_last()
+    preferred = [number("event_relevance"), number("grade_relevance"), number("total"), F.asc_nulls_last("path")]
+    rule = lambda test: F.col("event").isin(*[e for e, r in EVENT_RULES.items() if test(r)])
+    bucket = F.when(rule(lambda r: r.by_class), F.col("class_key")).when(rule(lambda r: r.by_day), F.col("day_hint"))
+    rows = rows.withColumn("_bucket", bucket)
+    alike = ["folder", "tags", "class_key", "person", "face_visible", "has_burst", "landmark_visible", "cheering_shot", "ball_visible"]
+    rows = rows.withColumn("_alike", F.row_number().over(Window.partitionBy(*alike).orderBy(*preferred)))
+    by_total = Window.partitionBy("folder", "_bucket").orderBy(number("total"), *preferred)
+    rows = rows.withColumn("_place", F.when(F.col("_bucket").isNotNull(), F.row_number().over(by_total)))
+    sizes = rows.groupBy("folder", "_bucket").agg(F.count("*").alias("in_bucket"))
+    kept = rows.where((F.col("_alike") <= ALL + 1) | (F.col("_place") <= MOST + 1))
+    same = kept["folder"].eqNullSafe(sizes["folder"]) & kept["_bucket"].eqNullSafe(sizes["_bucket"])
+    return kept.join(sizes, same).select(*[kept[n] for n in rows.columns if not n.startswith("_")], "in_bucket")
+
+
 def select(evaluated: DataFrame, default_event: str = "general") -> DataFrame:
     """(folder, path, total, event, reason, place): at most MOST photos per folder, by total score.
 
@@ -119,4 +148,4 @@ def select(evaluated: DataFrame, default_event: str = "general") -> DataFrame:
         got.sort(key=lambda g: (-g[0]["total"], g[0]["path"]))
         return pd.DataFrame([(r["folder"], r["path"], r["total"], r["event"], why, k) for k, (r, why) in enumerate(got, 1)], columns=["folder", "path", "total", "event", "reason", "place"])
 
-    return rows.groupBy("folder").applyInPandas(fold, "folder string, path string, total double, event string, reason string, place int")
+    return can_be_chosen(rows).groupBy("folder").applyInPandas(fold, "folder string, path string, total double, event string, reason string, place int")
