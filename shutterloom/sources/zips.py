@@ -6,10 +6,12 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Members handed on at once, and bytes of their content.
+ROWS, BYTES = 1_000, 4 << 20
 MEMBERS = "archive string, member string, size long, content binary"
 
 
@@ -35,16 +37,30 @@ def members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -> D
 def unpacked(archives: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """The members of archives (archive, content), one row each, folders left out; with `suffixes` those that end so."""
 
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for archive, content in zip(frame.archive, frame.content, strict=True):
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                    infos = [(checked(i.filename), i) for i in z.infolist() if not i.is_dir()]
-                    for name, info in infos:
-                        if not suffixes or name.lower().endswith(suffixes):
-                            yield pd.DataFrame({"archive": [archive], "member": [name], "size": [info.file_size], "content": [z.read(info)]})
+    schema = pa.schema([("archive", pa.string()), ("member", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return archives.mapInPandas(unpack, MEMBERS)
+    def unpack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for archive, content in zip(*(frame.column(n) for n in ("archive", "content")), strict=True):
+                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as z:
+                    for info in z.infolist():
+                        checked(info.filename)
+                    rows, size = [], 0
+                    for info in z.infolist():
+                        name = checked(info.filename)
+                        if not info.is_dir() and (not suffixes or name.lower().endswith(suffixes)):
+                            rows.append((archive.as_py(), name, info.file_size, z.read(info)))
+                            size += info.file_size
+                            if len(rows) == ROWS or size >= BYTES:
+                                yield batch(rows)
+                                rows, size = [], 0
+                    if rows:
+                        yield batch(rows)
+
+    return archives.select("archive", "content").mapInArrow(unpack, MEMBERS)
 
 
 def top_folders(rows: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
@@ -53,13 +69,26 @@ def top_folders(rows: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
 
 
 def archives(rows: DataFrame) -> DataFrame:
-    """Members (archive, member, content) as one zip per archive: (archive, content). An archive is built in one task."""
+    """Members (archive, member, content) as one zip per archive: (archive, content). An archive is built in one task,
+    through which its members pass in order, so the task holds the packed archive and what its directory says."""
 
-    def pack(p: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for r in p.sort_values("member", kind="stable").itertuples(index=False):
-                z.writestr(checked(r.member), bytes(r.content))
-        return pd.DataFrame({"archive": [p.archive.iloc[0]], "content": [out.getvalue()]})
+    def packed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ended() -> pa.RecordBatch:
+            z.close()
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.string()), pa.array([out.getbuffer()], pa.binary())], ["archive", "content"])
 
-    return rows.select("archive", "member", "content").groupBy("archive").applyInPandas(pack, "archive string, content binary")
+        z = out = current = None
+        for frame in frames:
+            for archive, member, content in zip(*(frame.column(n).to_pylist() for n in ("archive", "member", "content")), strict=True):
+                if z is None or archive != current:
+                    if z is not None:
+                        yield ended()
+                    out, current = io.BytesIO(), archive
+                    z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                z.writestr(checked(member), content)
+        if z is not None:
+            yield ended()
+
+    rows = rows.select("archive", "member", "content")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "archive").sortWithinPartitions("archive", "member").mapInArrow(packed, "archive string, content binary")
