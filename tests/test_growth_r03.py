@@ -228,3 +228,35 @@ def test_searches_meet_as_matrices(spark, monkeypatch):
     rows = spark.createDataFrame([(k, k, v.tolist()) for k, v in enumerate(y)], "id long, pos long, emb array<double>")
     found = vector_index.VectorIndex.build(rows).nearest(rows.select(F.col("id").alias("query"), "emb"), 2)
     assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_memory_of_reading_a_workbook_does_not_grow_with_its_rows(spark, tmp_path):
+    import tracemalloc
+    from unittest.mock import MagicMock
+
+    import pyarrow as pa
+
+    from shutterloom.sources import workbooks
+
+    # The function that read_cells() gives to the tasks.
+    reader = MagicMock()
+    workbooks.read_cells(reader, "any")
+    (call,) = [c for c in reader.mock_calls if c[0].endswith("mapInArrow")]
+    task = call.args[0]
+
+    def peak(read):
+        tracemalloc.start()
+        n = sum(read())
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return n, most
+
+    few, many = [], []
+    for rows, found in ((16_000, few), (96_000, many)):
+        path = tmp_path / f"{rows}.xlsx"
+        workbooks.write_workbook({"a": spark.range(rows, numPartitions=1).select(F.concat(F.lit("IMG_"), "id").alias("file"), "id")}, f"file://{path}")
+        content = path.read_bytes()
+        frame = pa.RecordBatch.from_pydict({"path": pa.array(["f"]), "content": pa.array([content], pa.binary())})
+        found += [peak(lambda: (1 for _ in workbooks.cells_of(content))), peak(lambda: (b.num_rows for b in task(iter([frame]))))]
+        assert [n for n, _ in found] == [2 * rows + 2] * 2
+    assert all(most < 1.5 * least for (_, least), (_, most) in zip(few, many, strict=True)), (few, many)
