@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..functions import vectors
+from ..functions import scores, vectors
 from ..operators import ranking, relational as J
 from .ranking_queries import CLUB, PARTS, PHOTOS
 from .registry import query, query_of
@@ -184,7 +184,7 @@ def j25(index, queries):
 @query("x04_cosine", PHOTOS, "SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(list_transform(a.emb, lambda x: CAST(x AS DOUBLE)), list_transform(b.emb, lambda x: CAST(x AS DOUBLE))), 6) AS cosine FROM {source} AS a JOIN {source} AS b ON a.grp = b.grp AND a.id < b.id")
 def x04(df):
     """X04 and X05 over all pairs of a group, each row of which meets all others."""
-    return J.pairs_of(df, "grp", "id", "emb").select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return J.pairs_of(df, "grp", "id", "emb").select("a", "b", scores.rounded_away(c("cosine"), 6).alias("cosine"))
 
 
 VECTORS = "SELECT vec_id AS id, label AS grp, embedding AS emb FROM embeddings"
