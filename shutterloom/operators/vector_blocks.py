@@ -19,6 +19,18 @@ BLOCK, PAIRS_AT_ONCE = 2_048, 262_144
 LOST = 1e-9
 
 
+class Numbers:
+    """Numbers of which some may be unknown."""
+
+    def __init__(self, values: pa.Array):
+        self.known = values.is_valid().to_numpy(zero_copy_only=False)
+        self.values = values.fill_null(0).to_numpy(zero_copy_only=False)
+
+    def apart(self, i: np.ndarray, other: Numbers, j: np.ndarray) -> np.ndarray:
+        """Differences, NaN where a number is unknown."""
+        return np.where(self.known[i] & other.known[j], self.values[i] - other.values[j], np.nan)
+
+
 class Block:
     """Rows of a block. Vectors of one length are a matrix; those without a norm (null, or with nulls) are in none."""
 
@@ -40,6 +52,9 @@ class Block:
     def column(self, name: str) -> np.ndarray:
         return self.rows[name].combine_chunks().to_numpy(zero_copy_only=False)
 
+    def numbers(self, name: str) -> Numbers:
+        return Numbers(self.rows[name].combine_chunks())
+
     def cosines(self, start: int, end: int, other: Block) -> np.ndarray:
         """X04 of some rows and all of another block; vectors of different lengths have a product of 0."""
         dots = np.zeros((end - start, len(other)))
