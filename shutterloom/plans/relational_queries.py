@@ -95,11 +95,9 @@ def w10(separators):
 
 GUIDES = "SELECT p_brand AS page, p_partkey AS guide, p_retailprice / 10 AS y FROM part"
 ALL_FRAMES = "SELECT p_brand AS page, p_partkey AS frame, p_retailprice / 10 + 3.3 AS top, p_retailprice / 10 + 3.3 + p_size AS bottom FROM part"
-#: A share of them, to stand among guides.
-FRAMES = f"{ALL_FRAMES} WHERE p_partkey % 5 = 0"
 
 
-@query_of("j12_guides_in_frames", {"guides": GUIDES, "frames": FRAMES}, "SELECT frame, count(*) AS n, round(min(y - top), 4) AS first_guide, round(max(y - top), 4) AS last_guide FROM {guides} AS g JOIN {frames} AS f ON g.page = f.page AND y > top + 0.5 AND y < bottom - 0.5 GROUP BY frame")
+@query_of("j12_guides_in_frames", {"guides": GUIDES, "frames": ALL_FRAMES}, "SELECT frame, count(*) AS n, round(min(y - top), 4) AS first_guide, round(max(y - top), 4) AS last_guide FROM {guides} AS g JOIN {frames} AS f ON g.page = f.page AND y > top + 0.5 AND y < bottom - 0.5 GROUP BY frame")
 def j12(guides, frames):
     """First and last guide strictly inside each frame."""
     bands = frames.withColumn("low", c("top") + 0.5).withColumn("high", c("bottom") - 0.5)
